@@ -18,7 +18,7 @@ def _lit_list(words) -> str:
 STOP_SQL = _lit_list(stop_words())
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
-# name -> (sql body, dependencies)
+# lambda name: (sql body, dependencies)
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "questions": ("""
         SELECT doc_id AS post_id,
