@@ -107,3 +107,53 @@ def with_ctes(body: str, *names: str) -> str:
 def ranked(scores_cte: str, k: int, qid: str = "query_id", pid: str = "post_id") -> str:
     return (f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {qid} "
             f"ORDER BY sim DESC, {pid}) AS INTEGER) AS rank FROM {scores_cte}) WHERE rank <= {k}")
+
+
+def _wv_dims(tok: str) -> str:
+    return ", ".join(
+        f"CAST(('0x' || substr(md5({tok}), {4 * i + 1}, 4)) AS INTEGER) / 65535.0 - 0.5 AS v{i}"
+        for i in range(8))
+
+
+CTES.update({
+    # fixture word vectors, one column per dim
+    "wv": (f"""SELECT token, {_wv_dims('token')} FROM (
+        SELECT DISTINCT term AS token FROM qtf) """, ("qtf",)),
+    # unit-normalised token vectors of question fields, averaged per (post, field)
+    "dense_docs": (f"""
+        SELECT post_id, field, {', '.join(f'avg(v{i} / n) AS v{i}' for i in range(8))}
+        FROM (SELECT f.post_id, f.field, w.*, sqrt({' + '.join(f'w.v{i} * w.v{i}' for i in range(8))}) AS n
+              FROM (SELECT post_id, field, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS token
+                    FROM qfields) f JOIN wv w USING (token)
+              WHERE f.token NOT IN {STOP_SQL})
+        GROUP BY post_id, field""", ("qfields", "wv")),
+    "dense_queries": (f"""
+        SELECT query_id, {', '.join(f'avg(v{i} / n) AS v{i}' for i in range(8))}
+        FROM (SELECT f.query_id, w.*, sqrt({' + '.join(f'w.v{i} * w.v{i}' for i in range(8))}) AS n
+              FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS token
+                    FROM queries) f JOIN wv w USING (token)
+              WHERE f.token NOT IN {STOP_SQL})
+        GROUP BY query_id""", ("queries", "wv")),
+    "dense_raw": (f"""
+        SELECT query_id, post_id, sum(
+            ({' + '.join(f'q.v{i} * d.v{i}' for i in range(8))})
+            / (sqrt({' + '.join(f'q.v{i} * q.v{i}' for i in range(8))})
+               * sqrt({' + '.join(f'd.v{i} * d.v{i}' for i in range(8))}))) AS sim
+        FROM dense_queries q, dense_docs d GROUP BY query_id, post_id""",
+                  ("dense_queries", "dense_docs")),
+    "dense_scores": ("SELECT query_id, post_id, round(sim, 6) AS sim FROM dense_raw", ("dense_raw",)),
+    "sparse_raw": ("""
+        SELECT query_id, post_id, sum(q.weight * p.weight) AS sim
+        FROM qpost q JOIN postings p USING (term) GROUP BY ALL""", ("qpost", "postings")),
+    "hybrid_scores": ("""
+        SELECT query_id, post_id, round(coalesce(d.sim, 0) + coalesce(s.sim, 0), 6) AS sim
+        FROM dense_raw d FULL OUTER JOIN sparse_raw s USING (query_id, post_id)""",
+                      ("dense_raw", "sparse_raw")),
+    # embeddings as a two-field dense index (halves of the vector)
+    "emb_knn": ("""
+        SELECT a.vec_id AS query_id, b.vec_id AS post_id, round(
+            list_cosine_similarity(CAST(a.embedding[1:32] AS DOUBLE[]), CAST(b.embedding[1:32] AS DOUBLE[]))
+          + list_cosine_similarity(CAST(a.embedding[33:64] AS DOUBLE[]), CAST(b.embedding[33:64] AS DOUBLE[])),
+          6) AS sim
+        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id""", ()),
+})

@@ -63,3 +63,88 @@ def sparse_search(questions: DataFrame, queries: DataFrame, k: int = 10,
     out = ranked.join(questions.select("post_id", "title"), "post_id")
     out = out.select("query_id", "rank", "post_id", "sim", "title")
     return on_results(out) if on_results else out
+
+
+# ------------------------------------------------------------------ dense / hybrid
+from ..operators import dense  # noqa: E402
+
+FIELDS = ["title", "body"]
+
+
+def build_dense_index(questions: DataFrame, word_vectors: DataFrame,
+                      fields: dict[str, str] | None = None, id_col: str = "post_id",
+                      oov: str = "skip") -> DataFrame:
+    """V8/V9 (dense): (post_id, field, vector) mean unit word vectors."""
+    long = stack_fields(questions, id_col, fields or {"title": "title", "body": "body"})
+    return dense.doc_vectors(long, word_vectors, id_col, "text", "field", oov=oov)
+
+
+def dense_query_vectors(queries: DataFrame, word_vectors: DataFrame, fields=FIELDS,
+                        qid: str = "query_id") -> DataFrame:
+    """V13 (dense): one query vector, repeated for every index field."""
+    v = dense.doc_vectors(queries.select(qid, "text"), word_vectors, qid, "text", None)
+    parts = [v.select(qid, F.lit(f).alias("field"), "vector") for f in fields]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dense_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
+                 k: int = 10, weights: dict | None = None) -> DataFrame:
+    """P1 (dense): ranked (query_id, rank, post_id, sim, title)."""
+    index = build_dense_index(questions, word_vectors)
+    qv = dense_query_vectors(queries, word_vectors)
+    ranked = dense.knn_join_dense(qv, index, k, FIELDS, weights=weights)
+    return ranked.join(questions.select("post_id", "title"), "post_id") \
+        .select("query_id", "rank", "post_id", "sim", "title")
+
+
+def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFrame,
+                  postings: DataFrame, k: int, mean: bool = False,
+                  fields=FIELDS) -> DataFrame:
+    """Exact top-k of dense_sum + sparse_sum.
+
+    Sparse weights are non-negative, so a pair without term overlap can only
+    enter the hybrid top-k if it is in the dense top-k: the candidates are the
+    dense top-k plus every term-overlap pair, and only those get both scores
+    (equi-joins on ids; no all-pairs table is materialised)."""
+    dtop = dense.knn_join_dense(qv_dense, index_dense, k, fields).select("query_id", "post_id")
+    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12).select(
+        "query_id", "post_id", F.col("sim").alias("s_sim"))
+    cands = dtop.unionByName(sp.select("query_id", "post_id")).distinct()
+    qcat = dense.field_concat(qv_dense, "query_id", fields).withColumnRenamed("vec", "qv")
+    dcat = dense.field_concat(index_dense, "post_id", fields).withColumnRenamed("vec", "dv")
+    j = (cands.join(qcat, "query_id", "left").join(dcat, "post_id", "left")
+         .join(sp, ["query_id", "post_id"], "left"))
+    total = F.coalesce(dense.dot("qv", "dv"), F.lit(0.0)) + F.coalesce("s_sim", F.lit(0.0))
+    if mean:
+        total = total / (2.0 * len(fields))
+    scores = j.select("query_id", "post_id", F.round(total, 6).alias("sim"))
+    return sparse.rank_results(scores, k)
+
+
+def hybrid_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
+                  k: int = 10, mean: bool = False) -> DataFrame:
+    """P1 (hybrid)."""
+    idf, postings = build_sparse_index(questions)
+    qs = sparse_query_vectors(idf, queries)
+    index = build_dense_index(questions, word_vectors)
+    qd = dense_query_vectors(queries, word_vectors)
+    ranked = hybrid_scores(qd, index, qs, postings, k, mean)
+    return ranked.join(questions.select("post_id", "title"), "post_id") \
+        .select("query_id", "rank", "post_id", "sim", "title")
+
+
+def rerank(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
+           first_k: int = 200, k: int = 20, fields=FIELDS) -> DataFrame:
+    """Sparse first stage (top first_k) re-scored by dense similarity, top k."""
+    idf, postings = build_sparse_index(questions)
+    first = sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, first_k)
+    index = build_dense_index(questions, word_vectors)
+    qd = dense_query_vectors(queries, word_vectors)
+    qcat = dense.field_concat(qd, "query_id", fields).withColumnRenamed("vec", "qv")
+    dcat = dense.field_concat(index, "post_id", fields).withColumnRenamed("vec", "dv")
+    j = first.select("query_id", "post_id").join(qcat, "query_id").join(dcat, "post_id")
+    scores = j.select("query_id", "post_id", F.round(dense.dot("qv", "dv"), 6).alias("sim"))
+    return sparse.rank_results(scores, k)

@@ -117,3 +117,25 @@ def dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = e.select(F.col("vec_id").alias("post_id"), F.lit("body").alias("field"),
                     F.slice("embedding", 33, 32).alias("vector"), "label")
     return title.unionByName(body)
+
+
+WORD_DIMS = 8
+
+
+def word_vector_expr(token: F.Column) -> F.Column:
+    """Deterministic 8-dim vector of a token: md5 hex digits, 4 per dim,
+    scaled to [-0.5, 0.5] (fixture word-vector model)."""
+    h = F.md5(token)
+    return F.array(*[(F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("double") / 65535.0 - 0.5)
+                     for i in range(WORD_DIMS)])
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, vector): every analyzer token of question titles and bodies,
+    plus '<unk>'."""
+    from ..operators.sparse import analyzer
+    q = questions(spark, sf_dir)
+    txt = q.select(F.col("title").alias("t")).unionByName(q.select(F.col("body").alias("t")))
+    toks = txt.select(F.explode(analyzer(F.col("t"))).alias("token")).distinct()
+    unk = spark.range(1).select(F.lit("<unk>").alias("token"))
+    return toks.unionByName(unk).select("token", word_vector_expr(F.col("token")).alias("vector"))
