@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_dense, q_relational, q_search, q_text  # noqa: F401
+    from . import q_dense, q_eval, q_relational, q_search, q_text  # noqa: F401

@@ -148,3 +148,16 @@ def rerank(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
     j = first.select("query_id", "post_id").join(qcat, "query_id").join(dcat, "post_id")
     scores = j.select("query_id", "post_id", F.round(dense.dot("qv", "dv"), 6).alias("sim"))
     return sparse.rank_results(scores, k)
+
+
+def metadata_frame(ranked: DataFrame, meta: DataFrame) -> DataFrame:
+    """Ranked rows + title, snippet count, best snippet, link, similarity
+    rounded to 4 places and a JSON record per row (T33, T34, W4)."""
+    from ..functions import text as T
+    best = F.try_element_at(F.col("snippets"), F.lit(1))
+    j = ranked.join(meta.select("post_id", "title", "snippet_count", "snippets"), "post_id")
+    return j.select(
+        "query_id", "rank", "post_id", "title", F.round("sim", 4).alias("sim"), "snippet_count",
+        T.result_link("post_id").alias("link"),
+        F.array_join(best["code"], "\n\n").alias("best_snippet"),
+        T.results_to_json("query_id", "rank", "post_id").alias("json"))
