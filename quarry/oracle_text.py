@@ -206,3 +206,50 @@ def code_token_strings(x: str, keep=C.KINDS, distinct: bool = True) -> str:
 
 def lex_code(x: str) -> str:
     return f"regexp_extract_all({x}, {q(C.LEX_RE)}, 0)"
+
+
+# ------------------------------------------------------------------ entities
+from .functions import ortho as OR  # noqa: E402
+
+
+def token_type(t: str) -> str:
+    u, d = f"regexp_matches({t}, {q(OR.UPPER)})", f"regexp_matches({t}, {q(OR.DIGIT)})"
+    lo, o = f"regexp_matches({t}, {q(OR.LOWER)})", f"regexp_matches({t}, {q(OR.OTHER)})"
+    fu = f"regexp_matches(left({t}, 1), {q(OR.UPPER)})"
+    return (f"CASE WHEN NOT {d} AND NOT {lo} AND NOT {o} THEN 'AllUpper' "
+            f"WHEN NOT {u} AND NOT {lo} AND NOT {o} THEN 'AllDigit' "
+            f"WHEN NOT {u} AND NOT {d} AND NOT {lo} THEN 'AllSymbol' "
+            f"WHEN NOT {lo} AND NOT {o} THEN 'AllUpperDigit' "
+            f"WHEN NOT {d} AND NOT {lo} THEN 'AllUpperSymbol' "
+            f"WHEN NOT {u} AND NOT {lo} THEN 'AllDigitSymbol' "
+            f"WHEN NOT {lo} THEN 'AllUpperDigitSymbol' "
+            f"WHEN {fu} THEN 'InitUpper' "
+            f"WHEN NOT {d} AND NOT {o} THEN 'AllLetter' "
+            f"WHEN NOT {o} THEN 'AllAlnum' ELSE 'NO' END")
+
+
+def token_shape(t: str) -> str:
+    ch = ("CASE WHEN regexp_matches(c, '\\p{Lu}') THEN 'U' WHEN regexp_matches(c, '\\p{Ll}') THEN 'L' "
+          "WHEN regexp_matches(c, '\\p{Nd}') THEN 'D' WHEN c IN ('.', '_') THEN '.' "
+          "WHEN c IN ('(', '{', '[', '<') THEN '(' WHEN c IN (')', '}', ']', '>') THEN ')' ELSE '-' END")
+    return (f"array_to_string(list_transform(list_filter(string_split({t}, ''), lambda c: c <> ''), "
+            f"lambda c: {ch}), '')")
+
+
+def tf(b: str) -> str:
+    return f"CASE WHEN {b} THEN 'T' ELSE 'F' END"
+
+
+def ortho_cols(t: str) -> dict[str, str]:
+    cols = {"w": t, "wl": f"lower({t})", "type": token_type(t),
+            "dot": tf(f"contains({t}, '.')"), "brac": tf(f"ends_with({t}, '()')"),
+            "uscr": tf(f"contains({t}, '_')"),
+            "init_cap": tf(f"regexp_matches(left({t}, 1), {q(OR.UPPER)})"),
+            "ccase": tf(f"regexp_matches({t}, {q(OR.CAMEL_RE)})"),
+            "api_ptrn": tf(f"(regexp_matches({t}, {q(OR.API_CALL_RE)}) OR "
+                           f"regexp_matches({t}, {q(OR.API_DOTTED_RE)}))")}
+    for p in range(1, 5):
+        cols[f"p{p}"] = f"left({t}, {p})"
+    for s in range(1, 5):
+        cols[f"s{s}"] = f"right({t}, {s})"
+    return cols
