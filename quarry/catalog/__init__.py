@@ -25,4 +25,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_dense, q_entities, q_entities2, q_eval, q_relational, q_search, q_text  # noqa: F401
+    from . import (q_dense, q_entities, q_entities2, q_eval, q_relational, q_search,  # noqa: F401
+                   q_sources, q_text)
