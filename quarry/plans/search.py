@@ -161,3 +161,13 @@ def metadata_frame(ranked: DataFrame, meta: DataFrame) -> DataFrame:
         T.result_link("post_id").alias("link"),
         F.array_join(best["code"], "\n\n").alias("best_snippet"),
         T.results_to_json("query_id", "rank", "post_id").alias("json"))
+
+
+def check_weights(weights: dict, fields: list[str], tol: float = 1e-9) -> dict:
+    """Field weights must name exactly the index fields and sum to 1 (within
+    a tolerance, not exact float equality)."""
+    if set(weights) != set(fields):
+        raise ValueError(f"weights {sorted(weights)} do not match fields {sorted(fields)}")
+    if abs(sum(weights.values()) - 1.0) > tol:
+        raise ValueError("field weights must sum to 1")
+    return weights
