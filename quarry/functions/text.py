@@ -296,13 +296,14 @@ def remove_stop_words(tokens, stop: tuple[str, ...]) -> Column:
                     & ~t.rlike(r"^[0-9]+$") & (F.length(t) > 1))
 
 
-CLASSIFIER_TOKEN_RE = r"[\p{L}\p{N}_]{2,}|[!?.,:;()\[\]{}<>=+\-*/]"
+# words of >= 2 word characters, or one of the listed punctuation marks
+CLASSIFIER_TOKEN_RE = r"[\p{L}\p{N}_]{2,}|[|&#@~_'\"=\\/\-:;*.$()\[\]{}]"
 
 
 def classifier_tokens(text) -> Column:
     """Lowercase; ':NN)' line references -> ':_xerrx_)'; words of >= 2
     chars or single listed punctuation."""
-    t = F.regexp_replace(F.lower(_c(text)), r":[0-9]+\)", ":_xerrx_)")
+    t = F.regexp_replace(F.lower(F.trim(_c(text))), r":[0-9]*\)", ":_xerrx_)")
     return F.regexp_extract_all(t, F.lit(CLASSIFIER_TOKEN_RE), 0)
 
 

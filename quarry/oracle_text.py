@@ -148,7 +148,7 @@ def split_sentences(x: str) -> str:
 
 
 def classifier_tokens(x: str) -> str:
-    t = rr(f"lower({x})", r":[0-9]+\)", ":_xerrx_)")
+    t = rr(f"lower(trim({x}))", r":[0-9]*\)", ":_xerrx_)")
     return f"regexp_extract_all({t}, {q(T.CLASSIFIER_TOKEN_RE)}, 0)"
 
 

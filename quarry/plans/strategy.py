@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of a side that may be broadcast without a further check.
@@ -29,3 +29,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def block_count(n_rows: int, block_rows: int) -> int:
     """Number of blocks so that each holds about ``block_rows`` rows."""
     return max(1, math.ceil(n_rows / max(1, block_rows)))
+
+
+def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFrame:
+    """Dense 1..N row numbers in a global order without a single-partition
+    window: range-partitioned sort, per-partition counts (one row per
+    partition), cumulative offsets, then offset + position in partition."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*order_cols)
+    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    # materialise once (reliable checkpoint): the counts and the rows must see
+    # the same partitioning
+    s = s.checkpoint(eager=True)
+    # monotonically_increasing_id = (partition << 33) + index within partition
+    s = s.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = s.join(F.broadcast(offs), "_pid")
+    return out.withColumn(name, (F.col("_off") + F.col("_idx") + 1).cast("long")) \
+        .drop("_pid", "_mid", "_idx", "_off")
