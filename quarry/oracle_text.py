@@ -253,3 +253,22 @@ def ortho_cols(t: str) -> dict[str, str]:
     for s in range(1, 5):
         cols[f"s{s}"] = f"right({t}, {s})"
     return cols
+
+
+def replace_code_with_tokens(x: str) -> str:
+    """T4 in SQL: split on <pre ...>, each later piece = code tokens + rest."""
+    code = "CASE WHEN instr(p, '</pre>') > 0 THEN split_part(p, '</pre>', 1) ELSE p END"
+    toks = code_token_strings(unescape(rr(code, "<[^>]*>", " ")))
+    piece = (f"CASE WHEN i = 1 THEN p ELSE concat_ws(' ', array_to_string({toks}, ' '), "
+             "CASE WHEN instr(p, '</pre>') > 0 THEN substr(p, instr(p, '</pre>') + 6) ELSE '' END) END")
+    return (f"array_to_string(list_transform(string_split_regex({x}, '(?i)<pre[^>]*>'), "
+            f"lambda p, i: {piece}), ' ')")
+
+
+def format_post(x: str) -> str:
+    return html_to_text(replace_code_with_tokens(x))
+
+
+def process_text(x: str, filter_corpus: bool = True) -> str:
+    t = filter_corpus_text(x) if filter_corpus else x
+    return normalize_symbols(normalize_text(remove_paths(t)))
