@@ -31,19 +31,31 @@ LARGE_TOKEN_RE = r"[a-f0-9]{50,}|[*=+~#!_-]{3,}"
 SYMBOLS_RE = r"[!\"%&$^*@`~(),?=/|<:;>{}\[\]-]"
 
 # Tokenizer of software text: alternatives in priority order (first wins).
+# Possessive quantifiers (*+, ++) only where the character that must follow
+# is outside the quantified class, so they never change what matches; they
+# stop the JVM matcher from backtracking through every word.  ``re2`` gives
+# the plain form for engines without possessive quantifiers.
 SW_TOKEN_RE = "|".join([
-    r"(?:https?|ftp|mailto|file)://\S*",                       # URL
-    r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+",       # e-mail
-    r"[a-zA-Z_$][a-zA-Z0-9_$]*(?:\.[a-zA-Z_$][a-zA-Z0-9_$]*)+(?:\(\))?",  # dotted API
-    r"[a-zA-Z_$][a-zA-Z0-9_$]*\(\)",                           # call
+    r"(?:https?|ftp|mailto|file)://\S*+",                      # URL
+    r"[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]++(?:\.[a-zA-Z0-9-]++)++",   # e-mail
+    r"[a-zA-Z_$][a-zA-Z0-9_$]*+(?:\.[a-zA-Z_$][a-zA-Z0-9_$]*+)++(?:\(\))?",  # dotted API
+    r"[a-zA-Z_$][a-zA-Z0-9_$]*+\(\)",                          # call
     r"==|!=|>=|<=|&&|\|\|",                                    # operators
     r"\.[Nn][Ee][Tt]|[Cc]#|[Cc]\+\+",                          # .net, C#, C++
-    r"#[a-zA-Z0-9_]+|@[a-zA-Z0-9_]+",                          # hashtag, mention
-    r"\d+%",                                                   # percentage
-    r"n't|'[a-zA-Z]+",                                         # contraction pieces
-    r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*",                    # word / number
+    r"#[a-zA-Z0-9_]++|@[a-zA-Z0-9_]++",                        # hashtag, mention
+    r"\d++%",                                                  # percentage
+    r"n't|'[a-zA-Z]++",                                        # contraction pieces
+    r"[\p{L}\p{N}_]++(?:\.[\p{L}\p{N}_]++)*+",                 # word / number
     r"[^\s\p{L}\p{N}_]",                                       # one symbol
 ])
+
+
+def re2(pattern: str) -> str:
+    """The same pattern without possessive quantifiers (RE2 / DuckDB)."""
+    import re as _re
+    return _re.sub(r"(\]|\)|\\S|\\d)(\*|\+)\+", r"\1\2", pattern)
+
+
 # Normalised forms of contraction pieces (token -> norm).
 CONTRACTIONS = {"n't": "not", "'ve": "have", "'re": "are", "'m": "am", "'ll": "will",
                 "'d": "would", "'s": "is", "ca": "can", "wo": "will"}
@@ -55,6 +67,10 @@ URL_RE = r"^(?:(?:https?|ftp|mailto|file)://|www\.)"
 EMAIL_RE = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+$"
 SYMBOL_RE = r"^\p{S}$"
 NO_ALNUM_RE = r"^[^\p{L}\p{N}]*$"
+# The drop tests above as one anchored alternation (one match per token).
+DROP_RE = (r"^(?:[^\p{L}\p{N}]*$|[+-]?[0-9.,:/]*[0-9][0-9.,:/]*$|\p{S}$)")
+DROP_URL_RE = (r"^(?:[^\p{L}\p{N}]*$|[+-]?[0-9.,:/]*[0-9][0-9.,:/]*$|\p{S}$"
+               r"|(?:https?|ftp|mailto|file)://|www\.|[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+$)")
 # ---------------------------------------------------------------------------
 
 
@@ -165,8 +181,8 @@ def tokenize_software_text(text) -> Column:
     return F.regexp_extract_all(t, F.lit(SW_TOKEN_RE), 0)
 
 
-def _norm_token(t: Column) -> Column:
-    low = F.lower(t)
+def _norm_token(low: Column) -> Column:
+    """Norm of an already lower-cased token (contraction pieces mapped)."""
     e = None
     for k, v in CONTRACTIONS.items():
         e = (F.when(low == k, F.lit(v)) if e is None else e.when(low == k, F.lit(v)))
@@ -174,16 +190,13 @@ def _norm_token(t: Column) -> Column:
 
 
 def _droppable(t: Column, keep_urls: bool) -> Column:
-    d = (t.rlike(NO_ALNUM_RE) | t.rlike(NUMBER_RE) | t.isin(*NUMBER_WORDS) | t.rlike(SYMBOL_RE))
-    if not keep_urls:
-        d = d | t.rlike(URL_RE) | t.rlike(EMAIL_RE)
-    return d
+    return t.rlike(DROP_RE if keep_urls else DROP_URL_RE) | t.isin(*NUMBER_WORDS)
 
 
 def normalize_tokens(tokens, keep_urls: bool = False) -> Column:
     """T14 one pass: lowercase norms (contractions mapped), then drop
     punctuation-only, number-like, single symbols and (unless kept) URLs/e-mails."""
-    normed = F.transform(_c(tokens), _norm_token)
+    normed = F.transform(F.transform(_c(tokens), F.lower), _norm_token)
     return F.filter(normed, lambda t: ~_droppable(t, keep_urls))
 
 
@@ -291,8 +304,7 @@ def split_sentences(text) -> Column:
 
 def remove_stop_words(tokens, stop: tuple[str, ...]) -> Column:
     """Drop stop words, integers and single-character tokens."""
-    sw = F.array(*[F.lit(w) for w in stop])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(sw, F.lower(t))
+    return F.filter(_c(tokens), lambda t: ~F.lower(t).isin(*stop)
                     & ~t.rlike(r"^[0-9]+$") & (F.length(t) > 1))
 
 

@@ -17,6 +17,7 @@ x' is the concatenation of the unit-normalised field vectors of x.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -47,16 +48,34 @@ def cosine(a, b) -> Column:
 
 
 def unit_normalize(a) -> Column:
-    """V2: a / |a| (a zero vector stays zero), as array<double>."""
+    """V2: a / |a| (a zero vector stays zero), as array<double>.
+
+    The norm is evaluated once per row (outside the element lambda) and paired
+    with every element, so the cost is O(d), not O(d^2)."""
     n = norm(a)
-    return F.transform(_c(a), lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    safe = F.when(n == 0, F.lit(1.0)).otherwise(n)
+    return F.zip_with(_c(a), F.array_repeat(safe, F.size(_c(a))),
+                      lambda x, m: x.cast("double") / m)
+
+
+BROADCAST_BYTES = 256 << 20
+
+
+def checked_vector_broadcast(vectors: DataFrame, budget_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a (token, vector) table only when rows x dims fits the byte
+    budget (counted, persisted once); otherwise keep the shuffle join."""
+    v = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    n, d = stats["n"], stats["d"] or 0
+    return F.broadcast(v) if n * (8 * d + 64) <= budget_bytes else v
 
 
 def lookup_vectors(tokens: DataFrame, vectors: DataFrame, oov: str = "unk",
                    unk_token: str = "<unk>") -> DataFrame:
     """(…, token) -> (…, token, vector); oov='unk' maps misses to the
-    unk vector, oov='skip' drops them."""
-    v = vectors.select(F.col("token").alias("_t"), F.col("vector"))
+    unk vector, oov='skip' drops them.  The vocabulary is broadcast only
+    within a byte budget (rows x dims); beyond it a shuffle join on token."""
+    v = checked_vector_broadcast(vectors.select(F.col("token").alias("_t"), F.col("vector")))
     j = tokens.join(v, tokens["token"] == v["_t"], "left").drop("_t")
     if oov == "skip":
         return j.filter(F.col("vector").isNotNull())
@@ -159,6 +178,9 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
                      n_queries: int | None = None, n_items: int | None = None) -> DataFrame:
     """Core of J9/J11.  queries (qid, vec), items (pid, vec) -> (qid, pid, sim)
     with the local top-k per (query, item block), or all pairs > threshold."""
+    # both sides are reused (count, then the block join): persist them once
+    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)
     nq = n_queries if n_queries is not None else queries.count()
     ni = n_items if n_items is not None else items.count()
     QB, IB = block_count(nq, block_rows), block_count(ni, block_rows)

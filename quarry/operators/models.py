@@ -72,8 +72,7 @@ def phrase_counts(tokens: DataFrame, seq_keys: list[str], min_count: int = 40,
     pairs = tokens.select(*seq_keys, F.col("token").alias("a"),
                           F.lead("token").over(w).alias("b")).filter(F.col("b").isNotNull())
     if stop:
-        sw = F.array(*[F.lit(s) for s in stop])
-        pairs = pairs.filter(~F.array_contains(sw, F.col("a")) & ~F.array_contains(sw, F.col("b")))
+        pairs = pairs.filter(~F.col("a").isin(*stop) & ~F.col("b").isin(*stop))
     uni = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     vocab = uni.count()
     bi = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)

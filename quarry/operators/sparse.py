@@ -27,8 +27,9 @@ def analyzer(text: Column, stop: bool = True) -> Column:
     """lowercase -> word tokens of >= 2 chars -> minus English stop words."""
     toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
     if stop:
-        sw = F.array(*[F.lit(w) for w in stop_words()])
-        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
+        # a literal IN-list this long is planned as a hash set (InSet)
+        sw = stop_words()
+        toks = F.filter(toks, lambda t: ~t.isin(*sw))
     return toks
 
 
@@ -60,7 +61,7 @@ def idf_table(tf: DataFrame, id_col: str, n_docs: int | None = None) -> DataFram
 def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, stop: bool = True) -> DataFrame:
     """V3: fit the vocabulary + idf on a document table -> (term, df, idf)."""
     tf = term_counts(docs, id_col, text_col, stop=stop)
-    n = docs.select(id_col).distinct().count()
+    n = docs.count()  # documents are unique by id (model contract); empty ones count too
     return idf_table(tf, id_col, n)
 
 

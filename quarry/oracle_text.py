@@ -95,26 +95,23 @@ def remove_large_tokens(x: str) -> str:
 
 def tokenize_software_text(x: str) -> str:
     t = rr(x, r"([a-zA-Z])n't", r"\1 n't")
-    return f"regexp_extract_all({t}, {q(T.SW_TOKEN_RE)}, 0)"
+    return f"regexp_extract_all({t}, {q(T.re2(T.SW_TOKEN_RE))}, 0)"
 
 
 def _norm_token(t: str) -> str:
-    whens = " ".join(f"WHEN lower({t}) = {q(k)} THEN {q(v)}" for k, v in T.CONTRACTIONS.items())
-    return f"CASE {whens} ELSE lower({t}) END"
+    whens = " ".join(f"WHEN {t} = {q(k)} THEN {q(v)}" for k, v in T.CONTRACTIONS.items())
+    return f"CASE {whens} ELSE {t} END"
 
 
 def _droppable(t: str, keep_urls: bool) -> str:
     nums = ", ".join(q(w) for w in T.NUMBER_WORDS)
-    d = (f"(regexp_matches({t}, {q(T.NO_ALNUM_RE)}) OR regexp_matches({t}, {q(T.NUMBER_RE)}) "
-         f"OR {t} IN ({nums}) OR regexp_matches({t}, {q(T.SYMBOL_RE)})")
-    if not keep_urls:
-        d += f" OR regexp_matches({t}, {q(T.URL_RE)}) OR regexp_matches({t}, {q(T.EMAIL_RE)})"
-    return d + ")"
+    rx = T.DROP_RE if keep_urls else T.DROP_URL_RE
+    return f"(regexp_matches({t}, {q(rx)}) OR {t} IN ({nums}))"
 
 
 def normalize_tokens(tokens: str, keep_urls: bool = False) -> str:
-    return (f"list_filter(list_transform({tokens}, lambda t: {_norm_token('t')}), "
-            f"lambda t: NOT {_droppable('t', keep_urls)})")
+    return (f"list_filter(list_transform(list_transform({tokens}, lambda t: lower(t)), "
+            f"lambda t: {_norm_token('t')}), lambda t: NOT {_droppable('t', keep_urls)})")
 
 
 def normalize_text(x: str, keep_urls: bool = False) -> str:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,12 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows."""
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+
+    The side is persisted (memory and disk) before it is counted, so the check
+    and the join that follows share one computation; a lost block is simply
+    recomputed from lineage."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
