@@ -17,14 +17,13 @@ x' is the concatenation of the unit-normalised field vectors of x.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import block_count
+from ..plans.strategy import block_count, materialize
 from .sparse import rank_results
 
 
@@ -64,7 +63,7 @@ BROADCAST_BYTES = 256 << 20
 def checked_vector_broadcast(vectors: DataFrame, budget_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast a (token, vector) table only when rows x dims fits the byte
     budget (counted, persisted once); otherwise keep the shuffle join."""
-    v = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    v = materialize(vectors)
     stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     n, d = stats["n"], stats["d"] or 0
     return F.broadcast(v) if n * (8 * d + 64) <= budget_bytes else v
@@ -178,9 +177,8 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
                      n_queries: int | None = None, n_items: int | None = None) -> DataFrame:
     """Core of J9/J11.  queries (qid, vec), items (pid, vec) -> (qid, pid, sim)
     with the local top-k per (query, item block), or all pairs > threshold."""
-    # both sides are reused (count, then the block join): persist them once
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    items = items.persist(StorageLevel.MEMORY_AND_DISK)
+    # both sides are reused (count, then the block join): materialise once
+    queries, items = materialize(queries), materialize(items)
     nq = n_queries if n_queries is not None else queries.count()
     ni = n_items if n_items is not None else items.count()
     QB, IB = block_count(nq, block_rows), block_count(ni, block_rows)

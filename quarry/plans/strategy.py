@@ -18,15 +18,27 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint into the
+    shared folder named by ``spark.checkpoint.dir`` (persisted only while the
+    checkpoint is written, so it is not computed twice and no memory stays
+    pinned).  Survives executor loss without recomputing the lineage."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    c = p.checkpoint(eager=True)
+    p.unpersist()
+    return c
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it has at most ``max_rows`` rows.
 
-    The side is persisted (memory and disk) before it is counted, so the check
-    and the join that follows share one computation; a lost block is simply
-    recomputed from lineage."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    The side is materialised first (see ``materialize``), so the row check and
+    the join that follows share one computation."""
+    m = materialize(df)
+    n = m.count()
+    return F.broadcast(m) if n <= max_rows else m
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -42,13 +54,10 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFram
     """Dense 1..N row numbers in a global order without a single-partition
     window: range-partitioned sort, per-partition counts (one row per
     partition), cumulative offsets, then offset + position in partition."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order_cols)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    # materialise once (reliable checkpoint): the counts and the rows must see
-    # the same partitioning
-    s = s.checkpoint(eager=True)
+    # materialise once: the counts and the rows must see the same partitioning
+    s = materialize(s)
     # monotonically_increasing_id = (partition << 33) + index within partition
     s = s.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
