@@ -49,7 +49,8 @@ def unescape(x: Column) -> Column:
 def extract_code_blocks(html) -> Column:
     """Trimmed, non-empty text of every <code> element (entities decoded)."""
     blocks = F.regexp_extract_all(_c(html), F.lit(CODE_BLOCK_RE), 1)
-    return F.filter(F.transform(blocks, lambda b: F.trim(unescape(F.regexp_replace(b, "<[^>]*>", "")))),
+    from .text import strip_ws
+    return F.filter(F.transform(blocks, lambda b: strip_ws(unescape(F.regexp_replace(b, "<[^>]*>", "")))),
                     lambda b: b != "")
 
 

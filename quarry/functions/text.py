@@ -107,6 +107,14 @@ def strip_separators(text) -> Column:
     return F.regexp_replace(_c(text), SEP_RE, " ")
 
 
+STRIP_RE = r"^[ \t\n\f\r]+|[ \t\n\f\r]+$"
+
+
+def strip_ws(text) -> Column:
+    """Remove leading/trailing whitespace of any kind (trim() only removes spaces)."""
+    return F.regexp_replace(_c(text), STRIP_RE, "")
+
+
 def squeeze_whitespace(text) -> Column:
     """All whitespace runs -> one space, trimmed."""
     return F.trim(F.regexp_replace(_c(text), WS_RE, " "))
@@ -299,7 +307,7 @@ def split_sentences(text) -> Column:
     """Array of sentences (split after . ! ? followed by whitespace, and
     at line breaks), trimmed, empties dropped."""
     t = F.regexp_replace(_c(text), SENT_SPLIT_RE, "$1\n")
-    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, "\n"), strip_ws), lambda s: s != "")
 
 
 def remove_stop_words(tokens, stop: tuple[str, ...]) -> Column:

@@ -32,6 +32,10 @@ def strip_separators(x: str) -> str:
     return rr(x, T.SEP_RE)
 
 
+def strip_ws(x: str) -> str:
+    return rr(x, T.STRIP_RE, "")
+
+
 def squeeze_whitespace(x: str) -> str:
     return f"trim({rr(x, T.WS_RE)})"
 
@@ -141,7 +145,7 @@ def social_tokenize(x: str) -> str:
 
 def split_sentences(x: str) -> str:
     t = rr(x, T.SENT_SPLIT_RE, "\\1\n")
-    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda s: {strip_ws('s')}), lambda s: s <> '')"
 
 
 def classifier_tokens(x: str) -> str:
@@ -161,7 +165,7 @@ def unescape(x: str) -> str:
 
 def extract_code_blocks(x: str) -> str:
     blocks = f"regexp_extract_all({x}, {q(C.CODE_BLOCK_RE)}, 1)"
-    return (f"list_filter(list_transform({blocks}, lambda b: trim({unescape(rr('b', '<[^>]*>', ''))})), "
+    return (f"list_filter(list_transform({blocks}, lambda b: {strip_ws(unescape(rr('b', '<[^>]*>', '')))}), "
             "lambda b: b <> '')")
 
 
