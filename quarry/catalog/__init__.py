@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from . import (q_dense, q_entities, q_entities2, q_eval, q_relational, q_search,  # noqa: F401
-                   q_models, q_pipelines, q_sources, q_text)
+                   q_misc, q_models, q_pipelines, q_sources, q_text)
