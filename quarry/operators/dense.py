@@ -178,6 +178,7 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
     """Core of J9/J11.  queries (qid, vec), items (pid, vec) -> (qid, pid, sim)
     with the local top-k per (query, item block), or all pairs > threshold."""
     # both sides are reused (count, then the block join): materialise once
+    # (an input that is already a materialised plan hits the memo)
     queries, items = materialize(queries), materialize(items)
     nq = n_queries if n_queries is not None else queries.count()
     ni = n_items if n_items is not None else items.count()
@@ -196,6 +197,14 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
             .applyInPandas(fn, "qid long, pid long, sim double"))
 
 
+def knn_join_vectors(qv: DataFrame, iv: DataFrame, k: int, exclude_self: bool = False,
+                     block_rows: int = 2048) -> DataFrame:
+    """Exact top-k over already concatenated unit vectors:
+    qv (qid, vec), iv (pid, vec) -> (qid, pid, sim, rank)."""
+    local = block_pairs_join(qv, iv, k=k, exclude_self=exclude_self, block_rows=block_rows)
+    return rank_results(local, k, "qid", "pid")
+
+
 def knn_join_dense(queries: DataFrame, index: DataFrame, k: int, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = False,
                    weights: dict | None = None, block_rows: int = 2048) -> DataFrame:
@@ -205,8 +214,7 @@ def knn_join_dense(queries: DataFrame, index: DataFrame, k: int, fields: list[st
     Returns (qid, pid, sim, rank)."""
     qv = field_concat(queries.withColumnRenamed(qid, "qid"), "qid", fields, weights)
     iv = field_concat(index.withColumnRenamed(pid, "pid"), "pid", fields)
-    local = block_pairs_join(qv, iv, k=k, exclude_self=exclude_self, block_rows=block_rows)
-    ranked = rank_results(local, k, "qid", "pid")
+    ranked = knn_join_vectors(qv, iv, k, exclude_self, block_rows)
     return ranked.select(F.col("qid").alias(qid), F.col("pid").alias(pid), "sim", "rank")
 
 

@@ -107,16 +107,21 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
 
     Sparse weights are non-negative, so a pair without term overlap can only
     enter the hybrid top-k if it is in the dense top-k: the candidates are the
-    dense top-k plus every term-overlap pair, and only those get both scores
-    (equi-joins on ids; no all-pairs table is materialised)."""
-    dtop = dense.knn_join_dense(qv_dense, index_dense, k, fields).select("query_id", "post_id")
+    dense top-k plus every term-overlap pair (one full outer join, one pass
+    over the sparse pairs), and only those get their dense score (equi-joins on
+    ids; no all-pairs table is materialised).  The concatenated unit vectors
+    are built once and serve both the block k-NN and the candidate scoring."""
+    from ..plans.strategy import materialize
+    qcat = materialize(dense.field_concat(qv_dense.withColumnRenamed("query_id", "qid"), "qid", fields))
+    dcat = materialize(dense.field_concat(index_dense.withColumnRenamed("post_id", "pid"), "pid", fields))
+    dtop = dense.knn_join_vectors(qcat, dcat, k).select(
+        F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), F.lit(True).alias("_d"))
     sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12).select(
         "query_id", "post_id", F.col("sim").alias("s_sim"))
-    cands = dtop.unionByName(sp.select("query_id", "post_id")).distinct()
-    qcat = dense.field_concat(qv_dense, "query_id", fields).withColumnRenamed("vec", "qv")
-    dcat = dense.field_concat(index_dense, "post_id", fields).withColumnRenamed("vec", "dv")
-    j = (cands.join(qcat, "query_id", "left").join(dcat, "post_id", "left")
-         .join(sp, ["query_id", "post_id"], "left"))
+    cands = sp.join(dtop, ["query_id", "post_id"], "full_outer")
+    j = (cands.join(qcat.withColumnRenamed("qid", "query_id").withColumnRenamed("vec", "qv"),
+                    "query_id", "left")
+         .join(dcat.withColumnRenamed("pid", "post_id").withColumnRenamed("vec", "dv"), "post_id", "left"))
     total = F.coalesce(dense.dot("qv", "dv"), F.lit(0.0)) + F.coalesce("s_sim", F.lit(0.0))
     if mean:
         total = total / (2.0 * len(fields))

@@ -18,16 +18,40 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+# semantic hash of an analysed plan -> [(plan, checkpointed DataFrame)]
+_MATERIALIZED: dict = {}
+
+
+def _plan_key(df: DataFrame):
+    """(semantic hash + output schema, analysed plan); sameResult ignores
+    output names, so the schema is part of the key."""
+    try:
+        plan = df._jdf.queryExecution().analyzed()
+        return (plan.semanticHash(), df.schema.simpleString()), plan
+    except Exception:  # noqa: BLE001  (no JVM plan access: no memo)
+        return None, None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage: a reliable checkpoint into the
     shared folder named by ``spark.checkpoint.dir`` (persisted only while the
     checkpoint is written, so it is not computed twice and no memory stays
-    pinned).  Survives executor loss without recomputing the lineage."""
+    pinned).  Survives executor loss without recomputing the lineage.
+
+    Plans that produce the same result (same semantic hash and ``sameResult``)
+    share one checkpoint within the session."""
     from ..session import ensure_checkpoint_dir
+    h, plan = _plan_key(df)
+    if h is not None:
+        for p, m in _MATERIALIZED.get(h, []):
+            if p.sameResult(plan):
+                return m
     ensure_checkpoint_dir(df.sparkSession)
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
     c = p.checkpoint(eager=True)
     p.unpersist()
+    if h is not None:
+        _MATERIALIZED.setdefault(h, []).append((plan, c))
     return c
 
 
@@ -66,3 +90,8 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFram
     out = s.join(F.broadcast(offs), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_idx") + 1).cast("long")) \
         .drop("_pid", "_mid", "_idx", "_off")
+
+
+def clear_materialized() -> None:
+    """Forget the checkpoint memo (the files are cleaned with their RDDs)."""
+    _MATERIALIZED.clear()
