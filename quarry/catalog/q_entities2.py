@@ -39,12 +39,13 @@ def _tagged_body(tok: str) -> str:
 _CLEAN = ("list_transform(list(entity ORDER BY sent_no, span), lambda x: replace(regexp_replace("
           "lower(split_part(x, '##', 2)), " + S.q(r"[(\[]\S*$") + ", ''), " + S.q("'s") + ", ''))")
 
+_PART_ID = "{'post_id': post_id, 'ord': ord}"
+
 O.CTES.update({
     "bspans": (_span_body("btagged"), ("btagged",)),
-    "pmerged": ("""SELECT q.post_id, concat_ws(' ', q.body, a.atext) AS text FROM questions q LEFT JOIN
-                   (SELECT parent_id AS post_id, string_agg(body, ' ' ORDER BY answer_id) AS atext
-                    FROM answers GROUP BY parent_id) a USING (post_id)""", ("questions", "answers")),
-    "ptok": (f"SELECT * FROM {_sent_tok_sql('pmerged', 'post_id', 'text')}", ("pmerged",)),
+    "pparts": ("""SELECT post_id, CAST(0 AS BIGINT) AS ord, body AS text FROM questions
+                  UNION ALL SELECT parent_id, answer_id, body FROM answers""", ("questions", "answers")),
+    "ptok": (f"SELECT * FROM {_sent_tok_sql('pparts', _PART_ID, 'text')}", ("pparts",)),
     "ptagged": (_tagged_body("ptok"), ("ptok", "gaz")),
     "pspans": (_span_body("ptagged"), ("ptagged",)),
 })
@@ -69,10 +70,16 @@ def a4(spark, sf):
     return distinct_entities(ents).select("post_id", F.array_join("entities", ",").alias("entities"))
 
 
+_CLEAN1 = ("replace(regexp_replace(lower(split_part(entity, '##', 2)), " + S.q(r"[(\[]\S*$")
+           + ", ''), " + S.q("'s") + ", '')")
+
+
 @register("p8_entity_pipeline", O.with_ctes(
     "SELECT q.post_id, coalesce(e.entities, '') AS entities FROM questions q LEFT JOIN ("
-    f"SELECT id AS post_id, array_to_string({S.ordered_distinct(_CLEAN)}, ',') AS entities "
-    "FROM pspans GROUP BY id) e USING (post_id)", "questions", "pspans"))
+    "SELECT post_id, array_to_string(list(entity ORDER BY o), ',') AS entities FROM ("
+    "SELECT id.post_id AS post_id, " + _CLEAN1 + " AS entity, "
+    "min({'ord': id.ord, 'sent_no': sent_no, 'span': span}) AS o FROM pspans GROUP BY ALL) "
+    "GROUP BY post_id) e USING (post_id)", "questions", "pspans"))
 def p8(spark, sf):
     q = M.questions(spark, sf)
     out = EN.entity_pipeline(q, M.answers(spark, sf), gazetteer_df(spark))

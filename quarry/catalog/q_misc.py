@@ -61,11 +61,10 @@ def t34(spark, sf):
 
 
 @register("p9_snippet_pipeline", O.with_ctes(
-    "SELECT post_id, snippet_count, CAST(len(snippets) AS INTEGER) AS n_answers FROM enriched",
-    "enriched"))
+    "SELECT post_id, snippet_count, best.answer_id AS best_answer FROM enriched", "enriched"))
 def p9(spark, sf):
     e = SN.snippet_pipeline(M.questions(spark, sf), M.answers(spark, sf))
-    return e.select("post_id", "snippet_count", F.size("snippets").alias("n_answers"))
+    return e.select("post_id", "snippet_count", F.col("best.answer_id").alias("best_answer"))
 
 
 @register("u1_u2_ranking_and_result_hooks", O.with_ctes(

@@ -24,18 +24,20 @@ O.CTES.update({
                list_filter({S.extract_code_blocks('body')}, lambda b: len({S.code_tokens('b')}) > 0) AS code
         FROM answers""", ("answers",)),
     "snips": ("""
-        SELECT parent_id AS post_id, CAST(sum(len(code)) AS INTEGER) AS snippet_count,
-               list({'answer_id': answer_id, 'score': score, 'code': code}
-                    ORDER BY score DESC, answer_id) AS snippets
-        FROM answer_code WHERE len(code) > 0 GROUP BY parent_id""", ("answer_code",)),
+        SELECT s.post_id, s.snippet_count, b.best FROM
+          (SELECT parent_id AS post_id, CAST(sum(len(code)) AS INTEGER) AS snippet_count
+           FROM answer_code WHERE len(code) > 0 GROUP BY parent_id) s
+        JOIN (SELECT parent_id AS post_id, {'answer_id': answer_id, 'score': score, 'code': code} AS best
+              FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, answer_id) AS rn
+                    FROM answer_code WHERE len(code) > 0) WHERE rn = 1) b USING (post_id)""",
+              ("answer_code",)),
     "enriched": ("""
-        SELECT q.*, coalesce(s.snippet_count, 0) AS snippet_count,
-               coalesce(s.snippets, []) AS snippets
+        SELECT q.*, coalesce(s.snippet_count, 0) AS snippet_count, s.best
         FROM questions q LEFT JOIN snips s USING (post_id)""", ("questions", "snips")),
     "meta": (f"""
         SELECT post_id, score, title,
                list_sort(list_distinct(list_filter({S.parse_tags('tags')}, lambda x: x <> ''))) AS etags,
-               snippet_count, snippets
+               snippet_count, best
         FROM enriched""", ("enriched",)),
 })
 
@@ -143,12 +145,10 @@ def j3(spark, sf):
 
 
 @register("j4_attach_enrichment", O.with_ctes(
-    "SELECT post_id, snippet_count, CAST(len(snippets) AS INTEGER) AS n_answers, "
-    "snippets[1].answer_id AS first_answer FROM enriched", "enriched"))
+    "SELECT post_id, snippet_count, best.answer_id AS best_answer FROM enriched", "enriched"))
 def j4(spark, sf):
     e = _enriched(spark, sf)
-    return e.select("post_id", "snippet_count", F.size("snippets").alias("n_answers"),
-                    F.try_element_at("snippets", F.lit(1))["answer_id"].alias("first_answer"))
+    return e.select("post_id", "snippet_count", F.col("best.answer_id").alias("best_answer"))
 
 
 @register("j5_final_frames", O.with_ctes(
@@ -186,26 +186,29 @@ def a1(spark, sf):
 
 
 @register("a2_snippets_per_question", O.with_ctes(
-    "SELECT post_id, snippet_count, CAST(len(snippets) AS INTEGER) AS n_answers, "
-    "array_to_string(list_transform(snippets, lambda s: CAST(s.answer_id AS VARCHAR)), ',') AS answer_order, "
-    "array_to_string(flatten(list_transform(snippets, lambda s: s.code)), '\n--\n') AS code FROM snips",
-    "snips"))
+    "SELECT post_id, snippet_count, best.answer_id AS best_answer, best.score AS best_score, "
+    "array_to_string(best.code, '\n--\n') AS best_code FROM snips", "snips"))
 def a2(spark, sf):
     s = SN.snippets_per_question(M.answers(spark, sf))
-    return s.select("post_id", "snippet_count", F.size("snippets").alias("n_answers"),
-                    F.array_join(F.transform("snippets", lambda x: x["answer_id"].cast("string")), ",")
-                    .alias("answer_order"),
-                    F.array_join(F.flatten(F.transform("snippets", lambda x: x["code"])), "\n--\n")
-                    .alias("code"))
+    return s.select("post_id", "snippet_count", F.col("best.answer_id").alias("best_answer"),
+                    F.col("best.score").alias("best_score"),
+                    F.array_join("best.code", "\n--\n").alias("best_code"))
+
+
+@register("a2_question_snippets", O.with_ctes(
+    "SELECT parent_id AS post_id, answer_id, score, CAST(len(code) AS INTEGER) AS n_blocks "
+    "FROM answer_code WHERE len(code) > 0", "answer_code"))
+def a2_long(spark, sf):
+    s = SN.question_snippets(M.answers(spark, sf))
+    return s.select("post_id", "answer_id", "score", F.size("code").alias("n_blocks"))
 
 
 @register("a3_merge_post_text", O.with_ctes(
-    "SELECT q.post_id, md5(concat_ws(' ', q.body, a.atext)) AS text_md5 FROM questions q LEFT JOIN "
-    "(SELECT parent_id AS post_id, string_agg(body, ' ' ORDER BY answer_id) AS atext FROM answers "
-    "GROUP BY parent_id) a USING (post_id)", "questions", "answers"))
+    "SELECT post_id, CAST(0 AS BIGINT) AS ord, md5(body) AS text_md5 FROM questions "
+    "UNION ALL SELECT parent_id, answer_id, md5(body) FROM answers", "questions", "answers"))
 def a3(spark, sf):
     m = R.merge_post_text(M.questions(spark, sf), M.answers(spark, sf))
-    return m.select("post_id", F.md5("text").alias("text_md5"))
+    return m.select("post_id", "ord", F.md5("text").alias("text_md5"))
 
 
 @register("a5_build_metadata", O.with_ctes(
@@ -217,14 +220,16 @@ def a5(spark, sf):
 
 
 @register("a6_build_etag_index", O.with_ctes(
-    "SELECT etag, CAST(count(*) AS INTEGER) AS n_posts, "
-    "array_to_string(list(CAST(post_id AS VARCHAR) ORDER BY post_id), ',') AS post_ids "
-    "FROM (SELECT post_id, unnest(etags) AS etag FROM meta) GROUP BY etag", "meta"))
+    "SELECT DISTINCT unnest(etags) AS etag, post_id FROM meta", "meta"))
 def a6(spark, sf):
-    idx = R.build_etag_index(_meta(spark, sf))
-    return idx.select("etag", F.size("post_ids").alias("n_posts"),
-                      F.array_join(F.transform("post_ids", lambda x: x.cast("string")), ",")
-                      .alias("post_ids"))
+    return R.build_etag_index(_meta(spark, sf))
+
+
+@register("a6_etag_counts", O.with_ctes(
+    "SELECT etag, count(*) AS n_posts FROM (SELECT DISTINCT unnest(etags) AS etag, post_id FROM meta) "
+    "GROUP BY etag", "meta"))
+def a6_counts(spark, sf):
+    return R.etag_counts(R.build_etag_index(_meta(spark, sf)))
 
 
 @register("a11_postlink_frequencies", O.with_ctes(
@@ -294,9 +299,9 @@ def a13(spark, sf):
 
 
 @register("w4_best_answer_snippet", O.with_ctes(
-    "SELECT post_id, array_to_string(snippets[1].code, '\n\n') AS best_snippet, "
-    "'https://stackoverflow.com/a/' || CAST(snippets[1].answer_id AS VARCHAR) AS answer_link, "
-    "snippets[1].score AS answer_score FROM meta", "meta"))
+    "SELECT post_id, array_to_string(best.code, '\n\n') AS best_snippet, "
+    "'https://stackoverflow.com/a/' || CAST(best.answer_id AS VARCHAR) AS answer_link, "
+    "best.score AS answer_score FROM meta", "meta"))
 def w4(spark, sf):
     return SN.best_answer_snippet(_meta(spark, sf))
 

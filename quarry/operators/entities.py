@@ -141,22 +141,33 @@ def merge_bio_spans(tagged: DataFrame, seq_keys: list[str], legacy_gap: bool = F
 def clean_entities(entities) -> F.Column:
     """T26 (array form): drop 'Type##', lowercase, cut a trailing bracketed
     tail, drop "'s", distinct (first occurrence order)."""
-    e = F.transform(entities, lambda x: F.regexp_replace(
-        F.regexp_replace(F.lower(F.element_at(F.split(x, "##"), -1)), r"[(\[]\S*$", ""), "'s", ""))
-    return F.array_distinct(e)
+    return F.array_distinct(F.transform(entities, clean_entity))
 
 
 def entity_pipeline(questions: DataFrame, answers: DataFrame, gazetteer: DataFrame,
                     legacy_gap: bool = False) -> DataFrame:
-    """Merged post text -> sentences -> tokens -> gazetteer tags -> BIO
-    spans -> cleaned distinct entities per post, left-joined to questions."""
-    from .relational import attach_enrichment, merge_post_text
-    text = merge_post_text(questions, answers)
-    tok = sentence_tokens(text, "post_id", "text")
-    tagged = gazetteer_tags(gazetteer_join(tok, gazetteer), ["post_id", "sent_no"])
-    spans = merge_bio_spans(tagged, ["post_id", "sent_no"], legacy_gap)
-    per_post = spans.groupBy("post_id").agg(
-        F.array_sort(F.collect_list(F.struct("sent_no", "span", "entity"))).alias("_l"))
-    ents = per_post.select("post_id", clean_entities(F.transform("_l", lambda x: x["entity"]))
-                           .alias("entities"))
-    return attach_enrichment(questions, entities=ents)
+    """Post parts (question, then answers; A3) -> sentences -> tokens ->
+    gazetteer tags -> BIO spans -> cleaned distinct entities per post,
+    left-joined to questions.
+
+    Parts are processed separately (a sentence never spans two posts) and
+    entities are de-duplicated per (post, cleaned entity) before the per-post
+    list is built, so the list is bounded by the post's distinct entities."""
+    from .relational import attach_enrichment, distinct_entities, merge_post_text
+    parts = merge_post_text(questions, answers)
+    tok = sentence_tokens(parts.withColumn("pid", F.struct("post_id", "ord")), "pid", "text")
+    tok = tok.select(F.col("pid.post_id").alias("post_id"), F.col("pid.ord").alias("ord"),
+                     "sent_no", "pos", "token")
+    keys = ["post_id", "ord", "sent_no"]
+    tagged = gazetteer_tags(gazetteer_join(tok, gazetteer), keys)
+    spans = merge_bio_spans(tagged, keys, legacy_gap)
+    cleaned = spans.select("post_id", F.struct("ord", "sent_no", "span").alias("ord"),
+                           clean_entity(F.col("entity")).alias("entity"))
+    return attach_enrichment(questions, entities=distinct_entities(cleaned))
+
+
+def clean_entity(e) -> F.Column:
+    """T26 (one entity): drop 'Type##', lowercase, cut a trailing bracketed
+    tail, drop "'s"."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(e, "##"), -1)),
+                                             r"[(\[]\S*$", ""), "'s", "")

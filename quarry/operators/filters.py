@@ -58,7 +58,7 @@ def select_noise_candidates(questions: DataFrame, words=NOISE_TITLE_WORDS,
 
 
 def project_metadata(df: DataFrame, cols=("post_id", "score", "title", "etags",
-                                          "snippet_count", "snippets")) -> DataFrame:
+                                          "snippet_count", "best")) -> DataFrame:
     """keep the configured metadata columns."""
     return df.select(*[c for c in cols if c in df.columns])
 

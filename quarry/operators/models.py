@@ -226,10 +226,21 @@ def classifier_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
 
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 1200, label: str = "label",
                      id_col: str = "id") -> DataFrame:
-    """fold = (rank within label by a seeded hash) mod k — every fold gets
-    the label mix of the whole set; deterministic for a seed."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """fold = (rank within label by a seeded hash) mod k, so every fold
+    gets the label mix of the whole set (counts per fold differ by <= 1);
+    deterministic for a seed.
+
+    The rank is a distributed global rank over (label, hash, id) minus the
+    number of rows of smaller labels — no window partitioned by label (one
+    label may hold most rows)."""
+    h = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    g = global_rank(h, [F.col(label), F.col("_h"), F.col(id_col)], "_g")
+    counts = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(label, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = g.join(F.broadcast(offs), label)
+    return out.withColumn("fold", ((F.col("_g") - F.col("_off") - 1) % k).cast("int")) \
+        .drop("_h", "_g", "_off")
 
 
 def cross_validate(df: DataFrame, k: int = 5, seed: int = 1200, grid=None, metric: str = "accuracy",

@@ -39,13 +39,12 @@ def links_within(links: DataFrame, ids: DataFrame, id_col: str = "post_id") -> D
 
 def attach_enrichment(questions: DataFrame, snippets: DataFrame | None = None,
                       entities: DataFrame | None = None) -> DataFrame:
-    """Left-join snippets (snippet_count, snippets) and entities; absent
-    rows default to (0, []) and []."""
+    """Left-join snippets (snippet_count, best) and entities; absent rows
+    default to (0, null) and []."""
     out = questions
     if snippets is not None:
         out = out.join(snippets, "post_id", "left").withColumn(
-            "snippet_count", F.coalesce("snippet_count", F.lit(0))).withColumn(
-            "snippets", F.coalesce("snippets", F.array().cast(snippets.schema["snippets"].dataType)))
+            "snippet_count", F.coalesce("snippet_count", F.lit(0)))
     if entities is not None:
         out = out.join(entities, "post_id", "left").withColumn(
             "entities", F.coalesce("entities", F.array().cast("array<string>")))
@@ -81,25 +80,27 @@ def token_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def merge_post_text(questions: DataFrame, answers: DataFrame, qtext: str = "body",
                     atext: str = "body") -> DataFrame:
-    """A3: question text followed by its answers' texts (answer id order)."""
-    a = (answers.groupBy("parent_id")
-         .agg(F.array_sort(F.collect_list(F.struct("answer_id", F.col(atext).alias("t"))))
-              .alias("al"))
-         .select(F.col("parent_id").alias("post_id"),
-                 F.array_join(F.transform("al", lambda s: s["t"]), " ").alias("atext")))
-    q = questions.select("post_id", F.col(qtext).alias("qtext"))
-    return (q.join(a, "post_id", "left")
-            .select("post_id", F.concat_ws(" ", "qtext", "atext").alias("text")))
+    """A3: a question's text followed by its answers' texts, as ordered parts
+    (post_id, ord, text): ord 0 is the question, answers follow by answer id.
+
+    The parts are not concatenated into one value: a question holding a third
+    of all answers would otherwise become one unbounded row.  Consumers that
+    need the text in order read it by (post_id, ord)."""
+    q = questions.select("post_id", F.lit(0).cast("bigint").alias("ord"), F.col(qtext).alias("text"))
+    a = answers.select(F.col("parent_id").alias("post_id"), F.col("answer_id").cast("bigint").alias("ord"),
+                       F.col(atext).alias("text"))
+    return q.unionByName(a)
 
 
 def distinct_entities(ents: DataFrame) -> DataFrame:
     """A4: (post_id, entities) distinct per post in first-seen order.
 
-    Input rows (post_id, ord, entity)."""
-    g = ents.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entity")))
-                                    .alias("l"))
-    return g.select("post_id", F.array_distinct(F.transform("l", lambda s: s["entity"]))
-                    .alias("entities"))
+    Input rows (post_id, ord, entity).  Duplicates are removed first by a
+    (post_id, entity) aggregation that keeps the first position (map-side
+    combined), so the list built per post is bounded by its distinct entities."""
+    first = ents.groupBy("post_id", "entity").agg(F.min("ord").alias("ord"))
+    g = first.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entity"))).alias("l"))
+    return g.select("post_id", F.transform("l", lambda s: s["entity"]).alias("entities"))
 
 
 def build_metadata(q: DataFrame) -> DataFrame:
@@ -112,14 +113,20 @@ def build_metadata(q: DataFrame) -> DataFrame:
                                                    lambda x: x != "")))
     cols = [F.col("post_id"), F.col("score"), F.col("title"), etags.alias("etags")]
     if "snippet_count" in q.columns:
-        cols += [F.col("snippet_count"), F.col("snippets")]
+        cols += [F.col("snippet_count"), F.col("best")]
     return q.select(*cols)
 
 
 def build_etag_index(meta: DataFrame) -> DataFrame:
-    """(etag, post_ids) — inverted index, linear in the number of tags."""
-    e = meta.select("post_id", F.explode("etags").alias("etag"))
-    return e.groupBy("etag").agg(F.array_sort(F.collect_set("post_id")).alias("post_ids"))
+    """Inverted tag index as a pair table (etag, post_id) — linear in the
+    number of tags and never one row per tag (a tag on a third of all posts
+    would be an unbounded list).  Lookups are joins on etag."""
+    return meta.select(F.explode("etags").alias("etag"), "post_id").distinct()
+
+
+def etag_counts(index: DataFrame) -> DataFrame:
+    """Posts per etag of the pair index (map-side combined count)."""
+    return index.groupBy("etag").agg(F.count(F.lit(1)).alias("n_posts"))
 
 
 def top_tags(results: DataFrame, meta: DataFrame, n: int = 8,

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..functions import text as T
 
-SNIPPET_TYPE = "array<struct<answer_id:bigint,score:int,code:array<string>>>"
 
 
 def answer_snippets(answers: DataFrame) -> DataFrame:
@@ -26,30 +25,37 @@ def answer_snippets(answers: DataFrame) -> DataFrame:
 
 
 def snippets_per_question(answers: DataFrame) -> DataFrame:
-    """A2: (post_id, snippet_count, snippets) — answers by score desc (ties by
-    answer id); answers without code contribute nothing."""
+    """A2: (post_id, snippet_count, best) per question: the number of valid
+    code blocks over its answers and the best answer's snippet (highest score,
+    then lowest answer id) as struct<answer_id, score, code>.  Answers without
+    code contribute nothing.  Both are declarative aggregates (sum, max_by)
+    with map-side partial aggregation, so a question holding a third of all
+    answers is pre-aggregated per task and never collected into one row.
+    The complete ordered list is the long table ``question_snippets``."""
     s = answer_snippets(answers)
-    g = s.groupBy("parent_id").agg(
-        F.sum(F.size("code")).cast("int").alias("snippet_count"),
-        F.array_sort(F.collect_list(F.struct(
-            (-F.col("score")).alias("k"), F.col("answer_id"), F.col("score"), F.col("code"))))
-        .alias("l"))
-    return g.select(F.col("parent_id").alias("post_id"), "snippet_count",
-                    F.transform("l", lambda x: F.struct(x["answer_id"].alias("answer_id"),
-                                                        x["score"].alias("score"),
-                                                        x["code"].alias("code")))
-                    .alias("snippets"))
+    order = F.struct(F.col("score"), (-F.col("answer_id")).alias("neg_id"))
+    best = F.max_by(F.struct("answer_id", "score", "code"), order)
+    g = s.groupBy("parent_id").agg(F.sum(F.size("code")).cast("int").alias("snippet_count"),
+                                   best.alias("best"))
+    return g.select(F.col("parent_id").alias("post_id"), "snippet_count", "best")
+
+
+def question_snippets(answers: DataFrame) -> DataFrame:
+    """A2 (long form): (post_id, answer_id, score, code) of every answer with
+    code; list order = score desc, answer_id asc (sort on read)."""
+    s = answer_snippets(answers)
+    return s.select(F.col("parent_id").alias("post_id"), "answer_id", "score", "code")
 
 
 def best_answer_snippet(meta: DataFrame) -> DataFrame:
     """The top answer's snippet text (blocks joined by a blank line), its
     link and score; null-safe when a question has no snippet."""
-    first = F.try_element_at(F.col("snippets"), F.lit(1))
+    b = F.col("best")
     return meta.select(
         "post_id",
-        F.array_join(first["code"], "\n\n").alias("best_snippet"),
-        T.answer_link(first["answer_id"]).alias("answer_link"),
-        first["score"].alias("answer_score"))
+        F.array_join(b["code"], "\n\n").alias("best_snippet"),
+        T.answer_link(b["answer_id"]).alias("answer_link"),
+        b["score"].alias("answer_score"))
 
 
 def api_token_counts(answers: DataFrame, keep=("IM", "OC", "MC")) -> DataFrame:

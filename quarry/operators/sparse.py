@@ -86,8 +86,9 @@ def knn_join_sparse(queries: DataFrame, postings: DataFrame, k: int | None,
     dot product of unit query and document postings; exact top-k per query.
 
     queries: (qid, term, weight); postings: (pid, [field,] term, weight).
-    Returns (qid, pid, sim, rank).  Similarities are rounded before ranking and
-    ties break on pid, so the order is total.
+    Returns (qid, pid, sim, rank), or the unranked (qid, pid, sim) when k is
+    None (no window over all pairs of a query).  Similarities are rounded
+    before ranking and ties break on pid, so the order is total.
     """
     q = checked_broadcast(queries.select(qid, "term", F.col("weight").alias("qw")),
                           max_broadcast_rows)
@@ -98,7 +99,7 @@ def knn_join_sparse(queries: DataFrame, postings: DataFrame, k: int | None,
         prod = prod * wmap[F.col(field_col)]
     j = d.join(q, "term").select(qid, pid, prod.alias("p"))
     scores = j.groupBy(qid, pid).agg(F.round(F.sum("p"), round_to).alias("sim"))
-    return rank_results(scores, k, qid, pid)
+    return rank_results(scores, k, qid, pid) if k else scores
 
 
 def rank_results(scores: DataFrame, k: int | None, qid: str = "query_id",

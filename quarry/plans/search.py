@@ -159,8 +159,8 @@ def metadata_frame(ranked: DataFrame, meta: DataFrame) -> DataFrame:
     """Ranked rows + title, snippet count, best snippet, link, similarity
     rounded to 4 places and a JSON record per row (T33, T34, W4)."""
     from ..functions import text as T
-    best = F.try_element_at(F.col("snippets"), F.lit(1))
-    j = ranked.join(meta.select("post_id", "title", "snippet_count", "snippets"), "post_id")
+    best = F.col("best")
+    j = ranked.join(meta.select("post_id", "title", "snippet_count", "best"), "post_id")
     return j.select(
         "query_id", "rank", "post_id", "title", F.round("sim", 4).alias("sim"), "snippet_count",
         T.result_link("post_id").alias("link"),

@@ -67,7 +67,7 @@ def test_streaming_search_answers_each_query_once(spark, tmp_path):
     q = M.questions(spark, SF_SMALL)
     cfg = P.IndexConfig(out_dir=scratch_path(spark, "idx"), conditions=())
     paths = P.build_index(q.withColumn("snippet_count", F.lit(1)).withColumn(
-        "snippets", F.array().cast("array<struct<answer_id:bigint,score:int,code:array<string>>>")), cfg)
+        "best", F.lit(None).cast("struct<answer_id:bigint,score:int,code:array<string>>")), cfg)
     assert "postings" in paths
     qdir = tmp_path / "queries"
     qdir.mkdir()
