@@ -171,16 +171,72 @@ def _knn_blocks(q: pd.DataFrame, it: pd.DataFrame, k: int | None, threshold: flo
                          "sim": np.concatenate(out_s)})
 
 
+def _topk_merge(best_s, best_p, S, pids, k):
+    """Merge a block of scores into the running top-k per query row, order
+    (sim desc, pid asc)."""
+    P = np.broadcast_to(pids, S.shape)
+    cs = S if best_s is None else np.concatenate([best_s, S], axis=1)
+    cp = P if best_p is None else np.concatenate([best_p, P], axis=1)
+    order = np.lexsort((cp, -cs), axis=1)[:, :k]
+    return np.take_along_axis(cs, order, axis=1), np.take_along_axis(cp, order, axis=1)
+
+
+def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
+                  threshold: float | None = None, exclude_self: bool = False,
+                  round_to: int = 6) -> DataFrame:
+    """Small query side: its matrix is broadcast (the caller checked its
+    size), the items are streamed partition by partition with no shuffle;
+    each partition keeps a running top-k per query (or the pairs over the
+    threshold), so it emits at most |queries| x k rows."""
+    spark = queries.sparkSession
+    qp = queries.select("qid", "vec").toPandas()
+    qids = qp["qid"].to_numpy(np.int64)
+    Q = np.stack(qp["vec"].to_numpy()).astype(np.float64) if len(qp) else np.zeros((0, 0))
+    bq = spark.sparkContext.broadcast((qids, Q))
+
+    def fn(batches):
+        qids_, Q_ = bq.value
+        best_s = best_p = None
+        for pdf in batches:
+            if len(pdf) == 0 or len(qids_) == 0:
+                continue
+            D = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            pids = pdf["pid"].to_numpy(np.int64)
+            S = np.round(Q_ @ D.T, round_to)
+            if exclude_self:
+                S[qids_[:, None] == pids[None, :]] = -np.inf
+            if threshold is not None:
+                r, c = np.nonzero(S > threshold)
+                yield pd.DataFrame({"qid": qids_[r], "pid": pids[c], "sim": S[r, c]})
+            else:
+                best_s, best_p = _topk_merge(best_s, best_p, S, pids, k)
+        if threshold is None and best_s is not None:
+            r, c = np.nonzero(np.isfinite(best_s))
+            yield pd.DataFrame({"qid": qids_[r], "pid": best_p[r, c], "sim": best_s[r, c]})
+
+    return items.select(F.col("pid").cast("long"), "vec").mapInPandas(fn, "qid long, pid long, sim double")
+
+
 def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
                      threshold: float | None = None, exclude_self: bool = False,
                      block_rows: int = 2048, round_to: int = 6,
-                     n_queries: int | None = None, n_items: int | None = None) -> DataFrame:
+                     n_queries: int | None = None, n_items: int | None = None,
+                     broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Core of J9/J11.  queries (qid, vec), items (pid, vec) -> (qid, pid, sim)
-    with the local top-k per (query, item block), or all pairs > threshold."""
-    # both sides are reused (count, then the block join): materialise once
+    with the local top-k per (query, item partition or block), or all pairs
+    over the threshold.
+
+    A query side whose matrix fits ``broadcast_bytes`` (checked from its row
+    count and width) takes the broadcast path; otherwise both sides are cut
+    into hash blocks and every (query block, item block) pair meets in one
+    cogroup."""
+    # both sides are reused (count, then the join): materialise once
     # (an input that is already a materialised plan hits the memo)
     queries, items = materialize(queries), materialize(items)
-    nq = n_queries if n_queries is not None else queries.count()
+    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    nq = n_queries if n_queries is not None else st["n"]
+    if nq * 8 * (st["d"] or 0) <= broadcast_bytes:
+        return broadcast_knn(queries, items, k, threshold, exclude_self, round_to)
     ni = n_items if n_items is not None else items.count()
     QB, IB = block_count(nq, block_rows), block_count(ni, block_rows)
     q = (queries.select(F.col("qid").cast("long"), "vec",
@@ -198,34 +254,38 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
 
 
 def knn_join_vectors(qv: DataFrame, iv: DataFrame, k: int, exclude_self: bool = False,
-                     block_rows: int = 2048) -> DataFrame:
+                     block_rows: int = 2048, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Exact top-k over already concatenated unit vectors:
     qv (qid, vec), iv (pid, vec) -> (qid, pid, sim, rank)."""
-    local = block_pairs_join(qv, iv, k=k, exclude_self=exclude_self, block_rows=block_rows)
+    local = block_pairs_join(qv, iv, k=k, exclude_self=exclude_self, block_rows=block_rows,
+                             broadcast_bytes=broadcast_bytes)
     return rank_results(local, k, "qid", "pid")
 
 
 def knn_join_dense(queries: DataFrame, index: DataFrame, k: int, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = False,
-                   weights: dict | None = None, block_rows: int = 2048) -> DataFrame:
+                   weights: dict | None = None, block_rows: int = 2048,
+                   broadcast_bytes: int = 64 << 20) -> DataFrame:
     """J9 (+V10 dense): exact top-k of summed per-field cosine.
 
     queries: (qid, field, vector); index: (pid, field, vector) long form.
     Returns (qid, pid, sim, rank)."""
     qv = field_concat(queries.withColumnRenamed(qid, "qid"), "qid", fields, weights)
     iv = field_concat(index.withColumnRenamed(pid, "pid"), "pid", fields)
-    ranked = knn_join_vectors(qv, iv, k, exclude_self, block_rows)
+    ranked = knn_join_vectors(qv, iv, k, exclude_self, block_rows, broadcast_bytes)
     return ranked.select(F.col("qid").alias(qid), F.col("pid").alias(pid), "sim", "rank")
 
 
 def threshold_join(queries: DataFrame, index: DataFrame, t: float, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = True,
-                   mean: bool = True, block_rows: int = 2048) -> DataFrame:
+                   mean: bool = True, block_rows: int = 2048,
+                   broadcast_bytes: int = 64 << 20) -> DataFrame:
     """All pairs whose (mean over fields, or summed) cosine exceeds t."""
     w = {f: (1.0 / len(fields) if mean else 1.0) for f in fields}
     qv = field_concat(queries.withColumnRenamed(qid, "qid"), "qid", fields, w)
     iv = field_concat(index.withColumnRenamed(pid, "pid"), "pid", fields)
-    pairs = block_pairs_join(qv, iv, threshold=t, exclude_self=exclude_self, block_rows=block_rows)
+    pairs = block_pairs_join(qv, iv, threshold=t, exclude_self=exclude_self, block_rows=block_rows,
+                             broadcast_bytes=broadcast_bytes)
     return pairs.select(F.col("qid").alias(qid), F.col("pid").alias(pid), "sim")
 
 

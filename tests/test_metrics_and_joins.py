@@ -45,24 +45,26 @@ def brute_topk(Q, D_, k, qids, pids, exclude_self):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [7, 50, 1000])
-def test_knn_block_join_is_exact(spark, block_rows):
+@pytest.mark.parametrize("block_rows,broadcast_bytes", [(7, 0), (50, 0), (1000, 0), (2048, 64 << 20)])
+def test_knn_block_join_is_exact(spark, block_rows, broadcast_bytes):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(120, 6))
     rows = [(i, "f", [float(v) for v in X[i]]) for i in range(120)]
     idx = spark.createDataFrame(rows, "post_id long, field string, vector array<double>")
     res = D.knn_join_dense(idx.withColumnRenamed("post_id", "query_id"), idx, 5, ["f"],
-                           exclude_self=True, block_rows=block_rows)
+                           exclude_self=True, block_rows=block_rows, broadcast_bytes=broadcast_bytes)
     got = {(r["query_id"], r["post_id"], round(r["sim"], 6)) for r in res.collect()}
     assert got == brute_topk(X, X, 5, list(range(120)), list(range(120)), True)
 
 
-def test_threshold_join_is_exact(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, 64 << 20])
+def test_threshold_join_is_exact(spark, broadcast_bytes):
     rng = np.random.default_rng(5)
     X = rng.normal(size=(60, 4))
     rows = [(i, "f", [float(v) for v in X[i]]) for i in range(60)]
     idx = spark.createDataFrame(rows, "post_id long, field string, vector array<double>")
-    res = D.threshold_join(idx.withColumnRenamed("post_id", "query_id"), idx, 0.5, ["f"], block_rows=16)
+    res = D.threshold_join(idx.withColumnRenamed("post_id", "query_id"), idx, 0.5, ["f"], block_rows=16,
+                           broadcast_bytes=broadcast_bytes)
     got = {(r["query_id"], r["post_id"]) for r in res.collect()}
     xn = X / np.linalg.norm(X, axis=1, keepdims=True)
     S = np.round(xn @ xn.T, 6)
