@@ -37,10 +37,10 @@ _FLAGS = ", ".join(f"max(CASE WHEN type = {S.q(t)} THEN 1 ELSE 0 END) AS g_{t}"
 
 
 def _sent_tok_sql(src: str, id_expr: str, text: str) -> str:
-    return f"""(SELECT id, sent_no, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS pos FROM (
+    return f"""(SELECT id, sent_no, unnest(a) AS token, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos FROM (
         SELECT id, sent_no, list_filter(string_split_regex(sentence, '[ \\t\\n\\f\\r]+'),
                lambda x: x <> '') AS a FROM (
-          SELECT id, unnest(arr) AS sentence, generate_subscripts(arr, 1) - 1 AS sent_no FROM (
+          SELECT id, unnest(arr) AS sentence, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS sent_no FROM (
             SELECT {id_expr} AS id, {S.split_sentences(text)} AS arr FROM {src}))))"""
 
 

@@ -53,7 +53,7 @@ def w1(spark, sf):
 
 
 @register("t34_results_to_json", O.with_ctes(
-    "SELECT query_id, rank, to_json({'query_id': query_id, 'rank': rank, 'post_id': post_id}) AS json "
+    "SELECT query_id, rank, CAST(to_json({'query_id': query_id, 'rank': rank, 'post_id': post_id}) AS VARCHAR) AS json "
     "FROM (" + O.ranked("sparse_scores", 5) + ")", "sparse_scores"))
 def t34(spark, sf):
     r = search.sparse_search(M.questions(spark, sf), M.search_queries(spark, sf), k=5)
@@ -68,7 +68,7 @@ def p9(spark, sf):
 
 
 @register("u1_u2_ranking_and_result_hooks", O.with_ctes(
-    "SELECT r.query_id, r.rank, r.post_id, r.sim, q.title, length(q.title) AS title_len FROM ("
+    "SELECT r.query_id, r.rank, r.post_id, r.sim, q.title, CAST(length(q.title) AS INTEGER) AS title_len FROM ("
     + O.ranked("sparse_scores", 3) + ") r JOIN questions q USING (post_id)", "sparse_scores", "questions"))
 def u1(spark, sf):
     """A caller-supplied ranking (here: top 3 by the default order); U2: a

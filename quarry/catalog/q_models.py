@@ -111,9 +111,9 @@ def v20(spark, sf):
            round(tp / (tp + fp + 1e-7), 6) AS precision, round(tp / (tp + fn + 1e-7), 6) AS recall,
            round(2 * (tp / (tp + fp + 1e-7)) * (tp / (tp + fn + 1e-7))
                  / ((tp / (tp + fp + 1e-7)) + (tp / (tp + fn + 1e-7)) + 1e-7), 6) AS f1
-    FROM (SELECT sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
-                 sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
-                 sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn,
+    FROM (SELECT CAST(sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+                 CAST(sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+                 CAST(sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
                  avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM p)""")
 def e7(spark, sf):
     d = M.table(spark, sf, "documents")
