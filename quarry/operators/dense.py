@@ -78,9 +78,21 @@ def lookup_vectors(tokens: DataFrame, vectors: DataFrame, oov: str = "unk",
     j = tokens.join(v, tokens["token"] == v["_t"], "left").drop("_t")
     if oov == "skip":
         return j.filter(F.col("vector").isNotNull())
-    unk = vectors.filter(F.col("token") == unk_token).select(F.col("vector").alias("_unk"))
-    return j.join(F.broadcast(unk), how="left").select(
-        *[c for c in j.columns if c != "vector"], F.coalesce("vector", "_unk").alias("vector"))
+    return j.select(*[c for c in j.columns if c != "vector"],
+                    F.coalesce("vector", unk_literal(vectors, unk_token)).alias("vector"))
+
+
+def unk_literal(vectors: DataFrame, unk_token: str = "<unk>", normalize: bool = False) -> Column:
+    """The unk vector as a literal array column: one model parameter of d
+    numbers read once (no join; null when the model has no unk entry)."""
+    row = vectors.filter(F.col("token") == unk_token).select("vector").first()
+    if row is None or row[0] is None:
+        return F.lit(None).cast("array<double>")
+    v = [float(x) for x in row[0]]
+    if normalize:
+        n = sum(x * x for x in v) ** 0.5
+        v = [x / n for x in v] if n else v
+    return F.array(*[F.lit(x) for x in v])
 
 
 def mean_unit_vector(token_vectors: DataFrame, keys: list[str],
@@ -113,12 +125,8 @@ def doc_vectors(docs: DataFrame, word_vectors: DataFrame, id_col: str, text_col:
     tv = lookup_vectors(tf, word_vectors, oov="skip")
     out = mean_unit_vector(tv, keys, "vector", "tf")
     if oov == "unk":
-        # the unk row is a one-row lookup table joined on a constant key
-        unk = word_vectors.filter(F.col("token") == unk_token).select(
-            F.lit(1).alias("_k"), unit_normalize("vector").alias("vector"))
         missing = docs.select(*keys).join(out.select(*keys), keys, "left_anti")
-        out = out.unionByName(missing.withColumn("_k", F.lit(1)).join(F.broadcast(unk), "_k")
-                              .drop("_k"))
+        out = out.unionByName(missing.withColumn("vector", unk_literal(word_vectors, unk_token, True)))
     return out
 
 

@@ -99,3 +99,14 @@ def test_global_rank_is_dense_and_ordered(spark):
     r = global_rank(df, [F.col("v").desc()], "rk").collect()
     assert sorted(x["rk"] for x in r) == list(range(1, 1001))
     assert all(x["rk"] == 1000 - x["v"] for x in r)
+
+
+def test_lookup_vectors_unk_and_skip(spark):
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("<unk>", [0.0, 1.0])], "token string, vector array<double>")
+    toks = spark.createDataFrame([(1, "a"), (1, "zz")], "id long, token string")
+    unk = {r["token"]: list(r["vector"]) for r in D.lookup_vectors(toks, vecs, oov="unk").collect()}
+    assert unk == {"a": [1.0, 0.0], "zz": [0.0, 1.0]}
+    skip = [r["token"] for r in D.lookup_vectors(toks, vecs, oov="skip").collect()]
+    assert skip == ["a"]
+    plan = D.lookup_vectors(toks, vecs, oov="unk")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
