@@ -85,8 +85,10 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def with_ctes(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs it needs (dependencies first)."""
+def with_ctes(body: str, *names: str, extra: list[tuple[str, str]] | None = None,
+              recursive: bool = False) -> str:
+    """Prefix ``body`` with the CTEs it needs (dependencies first), then the
+    query-local ``extra`` CTEs (``recursive`` emits WITH RECURSIVE)."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -98,10 +100,10 @@ def with_ctes(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    defs = [f"{n} AS ({CTES[n][0]})" for n in order] + [f"{n} AS ({q})" for n, q in (extra or [])]
+    if not defs:
         return body
-    parts = ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order)
-    return f"WITH {parts}\n{body}"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(defs) + "\n" + body
 
 
 def ranked(scores_cte: str, k: int, qid: str = "query_id", pid: str = "post_id") -> str:
