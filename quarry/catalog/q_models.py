@@ -201,3 +201,11 @@ def v21(spark, sf):
     pc2 = MD.phrase_counts(t2, ["doc_id"], 40, stop_words())
     return MD.apply_phrases(t2, pc2, ["doc_id"], threshold=1.0).select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
+
+
+@register("v6_glove_factorize")
+def v6f(spark, sf):
+    b = M.table(spark, sf, "benchmark").select("item_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    vocab = b.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count >= 5")
+    ft = MD.vocab_filtered_tokens(b, "item_id", "tokens", vocab)
+    return MD.glove_factorize(MD.cooccurrence_counts(ft, "tokens", 10), rank=16, max_iter=5)

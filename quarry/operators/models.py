@@ -151,6 +151,27 @@ def cooccurrence_counts(docs: DataFrame, tokens_col: str, window: int = 10) -> D
     return sym.groupBy("a", "b").agg(F.sum("w").alias("x"))
 
 
+def glove_factorize(cooc: DataFrame, rank: int = 50, x_max: float = 10.0, max_iter: int = 10,
+                    reg: float = 0.05, seed: int = 1200) -> DataFrame:
+    """V6 (factorisation, substitute for the GloVe solver): MLlib ALS on
+    log(1 + x) of the co-occurrence counts, with GloVe's x_max weighting
+    folded into the rating ((x / x_max)^0.75 capped at 1 scales the target),
+    then word vector = user factor + item factor.  Token ids come from the
+    distributed global rank (no driver-side vocabulary)."""
+    from pyspark.ml.recommendation import ALS
+    vocab = global_rank(cooc.select(F.col("a").alias("token")).distinct(), [F.col("token")], "tid")
+    va = vocab.select(F.col("token").alias("a"), F.col("tid").cast("int").alias("ia"))
+    vb = vocab.select(F.col("token").alias("b"), F.col("tid").cast("int").alias("ib"))
+    w = F.least(F.lit(1.0), F.pow(F.col("x") / x_max, 0.75))
+    r = cooc.join(va, "a").join(vb, "b").select("ia", "ib", (w * F.log1p("x")).alias("r"))
+    model = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="ia", itemCol="ib",
+                ratingCol="r", seed=seed, nonnegative=False).fit(r)
+    u = model.userFactors.select(F.col("id").alias("tid"), F.col("features").alias("u"))
+    v = model.itemFactors.select(F.col("id").alias("tid"), F.col("features").alias("v"))
+    j = vocab.select("token", F.col("tid").cast("int").alias("tid")).join(u, "tid").join(v, "tid")
+    return j.select("token", F.zip_with("u", "v", lambda x, y: x + y).alias("vector"))
+
+
 def kmeans_assign(vectors: DataFrame, k: int, id_col: str, vector_col: str = "vector",
                   seed: int = 1200, max_iter: int = 20) -> DataFrame:
     """MLlib KMeans (k-means|| init) and the cluster of every row."""

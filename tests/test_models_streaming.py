@@ -88,3 +88,25 @@ def test_entry_contract(spark):
     assert df.columns == ["query_id", "rank", "post_id", "sim", "title"]
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_glove_factorize_vectors(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, ["b", "c", "d"])],
+                               "id long, tokens array<string>")
+    v = MD.glove_factorize(MD.cooccurrence_counts(df, "tokens", 2), rank=3, max_iter=3)
+    rows = v.collect()
+    assert {r["token"] for r in rows} == {"a", "b", "c", "d"}
+    assert all(len(r["vector"]) == 3 for r in rows)
+
+
+def test_dump_reader_rejects_bad_ids(spark, tmp_path):
+    from quarry.sources import dump
+    xml = ('<posts><row Id="1" PostTypeId="1" Score="5" Title="ok" CreationDate="2009-03-05T22:28:34.823"/>'
+           '<row Id="x2" PostTypeId="1" Score="3" Title="bad id"/>'
+           '<row Id="3" PostTypeId="2" Score="oops" Body="score does not cast"/></posts>')
+    p = tmp_path / "Posts.xml"
+    p.write_text(xml)
+    good, bad = dump.read_dump_table(spark, str(p), "Posts", with_rejects=True)
+    g = {r["Id"]: r for r in good.collect()}
+    assert set(g) == {1, 3} and g[3]["Score"] is None and g[1]["CreationDate"] is not None
+    assert [r["Id"] for r in bad.collect()] == ["x2"]
