@@ -23,7 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import block_count, materialize
+from ..plans.strategy import block_count, materialize, reuse
 from .sparse import rank_results
 
 
@@ -121,7 +121,7 @@ def doc_vectors(docs: DataFrame, word_vectors: DataFrame, id_col: str, text_col:
     unk vector."""
     from .sparse import term_counts
     keys = [id_col] + ([field_col] if field_col else [])
-    tf = term_counts(docs, id_col, text_col, field_col).withColumnRenamed("term", "token")
+    tf = reuse(term_counts(docs, id_col, text_col, field_col)).withColumnRenamed("term", "token")
     tv = lookup_vectors(tf, word_vectors, oov="skip")
     out = mean_unit_vector(tv, keys, "vector", "tf")
     if oov == "unk":

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.strategy import checked_broadcast
+from ..plans.strategy import checked_broadcast, reuse
 from ..resources import stop_words
 
 # Token pattern: runs of >= 2 letters/digits/underscore (Unicode classes,
@@ -71,7 +71,15 @@ def tfidf_transform(idf: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """V4: postings (id, [field,] term, weight) — tf*idf, L2-normalised per
     document (and field); terms unseen at fit time are dropped."""
     keys = [id_col] + ([field_col] if field_col else [])
-    tf = term_counts(docs, id_col, text_col, field_col, stop)
+    tf = reuse(term_counts(docs, id_col, text_col, field_col, stop))
+    return postings_from_counts(tf, idf, keys, max_broadcast_terms)
+
+
+def postings_from_counts(tf: DataFrame, idf: DataFrame, keys: list[str],
+                         max_broadcast_terms: int = 5_000_000) -> DataFrame:
+    """V4 second half: (keys, term, tf) x idf -> unit-length postings.  The
+    norm window is partitioned by the document keys, which the term counts
+    are already hash-partitioned by (no further exchange)."""
     vocab = checked_broadcast(idf.select("term", "idf"), max_broadcast_terms)
     w = tf.join(vocab, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))

@@ -30,11 +30,15 @@ def build_sparse_index(questions: DataFrame, fields: dict[str, str] | None = Non
 
     Returns (idf, postings(post_id, field, term, weight)).
     """
+    from .strategy import materialize
     fields = fields or {"title": "title", "body": "body"}
-    idf = sparse.tfidf_fit(questions.select(id_col, F.col(fields[fit_field]).alias("text")),
-                           id_col, "text")
     long = stack_fields(questions, id_col, fields)
-    postings = sparse.tfidf_transform(idf, long, id_col, "text", "field")
+    # term counts of every field are computed once (tokenising is the costly
+    # part) and serve both the idf fit (fit field rows) and the postings
+    tf = materialize(sparse.term_counts(long, id_col, "text", "field"))
+    n_docs = questions.count()
+    idf = sparse.idf_table(tf.filter(F.col("field") == fit_field).drop("field"), id_col, n_docs)
+    postings = sparse.postings_from_counts(tf, idf, [id_col, "field"])
     return idf, postings
 
 

@@ -55,6 +55,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return c
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """The materialised copy of ``df`` when one exists in this session, else
+    ``df`` itself (never forces a write)."""
+    h, plan = _plan_key(df)
+    if h is not None:
+        for p, m in _MATERIALIZED.get(h, []):
+            if p.sameResult(plan):
+                return m
+    return df
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it has at most ``max_rows`` rows.
 
