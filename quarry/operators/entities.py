@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ortho
 from ..functions.text import split_sentences
+from ..plans.strategy import checked_broadcast
 
 GAZETTEER_TYPES = ("api", "plat", "pl", "org", "stan", "fram")
 BROWN_PREFIXES = tuple(range(2, 16, 2))
@@ -33,6 +34,9 @@ def gazetteer_join(tokens: DataFrame, gazetteer: DataFrame, token_col: str = "to
     g = (gazetteer.select(F.lower("term").alias("_g"), "type").distinct()
          .groupBy("_g").agg(*[F.max(F.when(F.col("type") == ty, 1).otherwise(0)).alias(f"_{ty}")
                               for ty in GAZETTEER_TYPES]))
+    # a gazetteer is a term list: broadcast behind a row check, so the token
+    # stream is never shuffled by token (frequent tokens would skew)
+    g = checked_broadcast(g)
     key = F.lower(F.regexp_replace(F.col(token_col), r"\(\)$", ""))
     j = tokens.withColumn("_k", key).join(g, F.col("_k") == F.col("_g"), "left")
     return j.select(*tokens.columns, *[F.when(F.col(f"_{ty}") == 1, "T").otherwise("F")
@@ -42,7 +46,7 @@ def gazetteer_join(tokens: DataFrame, gazetteer: DataFrame, token_col: str = "to
 def brown_join(tokens: DataFrame, brown: DataFrame, token_col: str = "token") -> DataFrame:
     """Brown path of the token and its prefixes of length 2..14; empty
     strings when the token has no path."""
-    b = brown.select(F.col("token").alias("_b"), F.col("path").alias("_p"))
+    b = checked_broadcast(brown.select(F.col("token").alias("_b"), F.col("path").alias("_p")))
     j = tokens.join(b, F.col(token_col) == F.col("_b"), "left")
     path = F.coalesce("_p", F.lit(""))
     return j.select(*tokens.columns, path.alias("brown"),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classifier_tokens
-from ..plans.strategy import global_rank
+from ..plans.strategy import checked_broadcast, global_rank
 
 OOV_ID, TOP_TOKENS, MAX_LEN = 11999, 12000, 4000
 
@@ -41,7 +41,7 @@ def encode_and_pad(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col
     """Token ids (OOV -> ``oov``), ids >= ``top`` dropped, left-padded
     with 0 / left-truncated to ``max_len``."""
     t = docs.select(id_col, F.posexplode(classifier_tokens(text_col)).alias("pos", "token"))
-    j = t.join(dictionary.select("token", "id"), "token", "left").select(
+    j = t.join(checked_broadcast(dictionary.select("token", "id")), "token", "left").select(
         id_col, "pos", F.coalesce("id", F.lit(oov)).alias("id")).filter(F.col("id") < top)
     seq = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l"))
     ids = F.transform("l", lambda x: x["id"].cast("int"))
@@ -127,7 +127,7 @@ def vocab_filtered_tokens(docs: DataFrame, id_col: str, tokens_col: str,
     tokens do not count for distances).  A semi-join, so the vocabulary is
     never broadcast unchecked."""
     ex = docs.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
-    kept = ex.join(vocab.select("token"), "token", "left_semi")
+    kept = ex.join(checked_broadcast(vocab.select("token")), "token", "left_semi")
     g = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("l"))
     return g.select(id_col, F.transform("l", lambda x: x["token"]).alias(tokens_col))
 

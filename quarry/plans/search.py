@@ -15,13 +15,11 @@ from ..operators import sparse
 
 
 def stack_fields(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """Wide (id, title, body, ...) -> long (id, field, text)."""
-    parts = [df.select(F.col(id_col), F.lit(name).alias("field"), F.col(col).alias("text"))
-             for name, col in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Wide (id, title, body, ...) -> long (id, field, text), from one scan of
+    the input (an inline generator, not a union of per-field scans)."""
+    arr = F.array(*[F.struct(F.lit(name).alias("field"), F.col(col).cast("string").alias("text"))
+                    for name, col in fields.items()])
+    return df.select(F.col(id_col), F.inline(arr))
 
 
 def build_sparse_index(questions: DataFrame, fields: dict[str, str] | None = None,
@@ -30,15 +28,16 @@ def build_sparse_index(questions: DataFrame, fields: dict[str, str] | None = Non
 
     Returns (idf, postings(post_id, field, term, weight)).
     """
-    from .strategy import materialize
     fields = fields or {"title": "title", "body": "body"}
+    # The fit field is tokenised twice (idf fit, postings) on purpose: keeping
+    # the term counts lazy keeps them hash-partitioned by post_id, so the norm
+    # window and the per-(query, post) sum need no further shuffle; a
+    # materialised copy would lose that partitioning and add two exchanges of
+    # postings-sized data, which costs more than re-running the tokenizer.
+    idf = sparse.tfidf_fit(questions.select(id_col, F.col(fields[fit_field]).alias("text")),
+                           id_col, "text")
     long = stack_fields(questions, id_col, fields)
-    # term counts of every field are computed once (tokenising is the costly
-    # part) and serve both the idf fit (fit field rows) and the postings
-    tf = materialize(sparse.term_counts(long, id_col, "text", "field"))
-    n_docs = questions.count()
-    idf = sparse.idf_table(tf.filter(F.col("field") == fit_field).drop("field"), id_col, n_docs)
-    postings = sparse.postings_from_counts(tf, idf, [id_col, "field"])
+    postings = sparse.tfidf_transform(idf, long, id_col, "text", "field")
     return idf, postings
 
 
