@@ -71,9 +71,8 @@ _SW = ", ".join(S.q(w) for w in stop_words())
            round((bi.n_ab - 40) * (SELECT count(*) FROM uni) / (ua.n * ub.n), 6) AS score
     FROM bi JOIN uni ua ON ua.token = bi.a JOIN uni ub ON ub.token = bi.b""")
 def a15(spark, sf):
-    d = M.table(spark, sf, "documents")
-    t = d.select("doc_id", F.posexplode(SP.analyzer(F.col("text"), stop=False)).alias("pos", "token"))
-    pc = MD.phrase_counts(t, ["doc_id"], 40, stop_words())
+    d = M.table(spark, sf, "documents").select(SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    pc = MD.phrase_counts(d, "tokens", 40, stop_words())
     return pc.withColumn("score", F.round("score", 6))
 
 
@@ -192,13 +191,13 @@ def v18(spark, sf):
 
 @register("v21_apply_phrases")
 def v21(spark, sf):
-    d = M.table(spark, sf, "documents")
-    t = d.select("doc_id", F.posexplode(SP.analyzer(F.col("text"), stop=False)).alias("pos", "token"))
-    pc = MD.phrase_counts(t, ["doc_id"], 40, stop_words())
+    d = M.table(spark, sf, "documents").select("doc_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    t = d.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    pc = MD.phrase_counts(d, "tokens", 40, stop_words())
     bi = MD.apply_phrases(t, pc, ["doc_id"], threshold=1.0)
     # second pass (trigrams): phrases over the bigram-merged sequences
     t2 = bi.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    pc2 = MD.phrase_counts(t2, ["doc_id"], 40, stop_words())
+    pc2 = MD.phrase_counts(bi, "tokens", 40, stop_words())
     return MD.apply_phrases(t2, pc2, ["doc_id"], threshold=1.0).select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
 

@@ -63,17 +63,25 @@ def cluster_sample(assign: DataFrame, n: int = 20, cluster_col: str = "cluster",
     return assign.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
 
 
-def phrase_counts(tokens: DataFrame, seq_keys: list[str], min_count: int = 40,
+def phrase_counts(docs: DataFrame, tokens_col: str = "tokens", min_count: int = 40,
                   stop: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, n_a, n_b, n_ab, score) for adjacent token pairs, stop words
     never start or end a pair; score = (n_ab - min_count) * V / (n_a * n_b)
-    with V the number of distinct tokens; pairs with n_ab >= min_count."""
-    w = Window.partitionBy(*seq_keys).orderBy("pos")
-    pairs = tokens.select(*seq_keys, F.col("token").alias("a"),
-                          F.lead("token").over(w).alias("b")).filter(F.col("b").isNotNull())
+    with V the number of distinct tokens; pairs with n_ab >= min_count.
+
+    ``docs`` holds one token array per sequence: pairs are formed inside each
+    row (the array zipped with itself shifted by one), so tokens are never
+    shuffled by sequence; only the two counting aggregations shuffle, after
+    map-side combining."""
+    toks = F.col(tokens_col)
+    n = F.size(toks)
+    adj = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))),
+                     F.slice(toks, 2, F.greatest(n - 1, F.lit(0))),
+                     lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = docs.select(F.inline(adj))
     if stop:
         pairs = pairs.filter(~F.col("a").isin(*stop) & ~F.col("b").isin(*stop))
-    uni = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    uni = docs.select(F.explode(toks).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     vocab = uni.count()
     bi = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)
     ua = uni.select(F.col("token").alias("a"), F.col("n").alias("n_a"))
