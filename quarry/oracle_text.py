@@ -184,7 +184,7 @@ def _classify(m: str) -> str:
 
 
 def ordered_distinct(lst: str) -> str:
-    return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
+    return f"list_filter({lst}, lambda od_v, od_i: list_position({lst}, od_v) = od_i)"
 
 
 def code_tokens(x: str, keep=C.KINDS, distinct: bool = False) -> str:
