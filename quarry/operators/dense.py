@@ -225,9 +225,20 @@ def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
     return items.select(F.col("pid").cast("long"), "vec").mapInPandas(fn, "qid long, pid long, sim double")
 
 
+BLOCK_BYTES = 64 << 20
+
+
+def derived_block_rows(dim: int, budget_bytes: int = BLOCK_BYTES) -> int:
+    """Rows per block so that one block of vectors (rows x dim x 8 bytes) and
+    the block-pair score matrix (rows^2 x 8 bytes) each fit ``budget_bytes``."""
+    by_vectors = budget_bytes // (8 * max(1, dim))
+    by_scores = int((budget_bytes / 8) ** 0.5)
+    return int(max(64, min(by_vectors, by_scores)))
+
+
 def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
                      threshold: float | None = None, exclude_self: bool = False,
-                     block_rows: int = 2048, round_to: int = 6,
+                     block_rows: int | None = None, round_to: int = 6,
                      n_queries: int | None = None, n_items: int | None = None,
                      broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Core of J9/J11.  queries (qid, vec), items (pid, vec) -> (qid, pid, sim)
@@ -245,6 +256,8 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
     nq = n_queries if n_queries is not None else st["n"]
     if nq * 8 * (st["d"] or 0) <= broadcast_bytes:
         return broadcast_knn(queries, items, k, threshold, exclude_self, round_to)
+    if block_rows is None:
+        block_rows = derived_block_rows(st["d"] or 1)
     ni = n_items if n_items is not None else items.count()
     QB, IB = block_count(nq, block_rows), block_count(ni, block_rows)
     q = (queries.select(F.col("qid").cast("long"), "vec",
@@ -262,7 +275,7 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
 
 
 def knn_join_vectors(qv: DataFrame, iv: DataFrame, k: int, exclude_self: bool = False,
-                     block_rows: int = 2048, broadcast_bytes: int = 64 << 20) -> DataFrame:
+                     block_rows: int | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Exact top-k over already concatenated unit vectors:
     qv (qid, vec), iv (pid, vec) -> (qid, pid, sim, rank)."""
     local = block_pairs_join(qv, iv, k=k, exclude_self=exclude_self, block_rows=block_rows,
@@ -272,7 +285,7 @@ def knn_join_vectors(qv: DataFrame, iv: DataFrame, k: int, exclude_self: bool =
 
 def knn_join_dense(queries: DataFrame, index: DataFrame, k: int, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = False,
-                   weights: dict | None = None, block_rows: int = 2048,
+                   weights: dict | None = None, block_rows: int | None = None,
                    broadcast_bytes: int = 64 << 20) -> DataFrame:
     """J9 (+V10 dense): exact top-k of summed per-field cosine.
 
@@ -286,7 +299,7 @@ def knn_join_dense(queries: DataFrame, index: DataFrame, k: int, fields: list[st
 
 def threshold_join(queries: DataFrame, index: DataFrame, t: float, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = True,
-                   mean: bool = True, block_rows: int = 2048,
+                   mean: bool = True, block_rows: int | None = None,
                    broadcast_bytes: int = 64 << 20) -> DataFrame:
     """All pairs whose (mean over fields, or summed) cosine exceeds t."""
     w = {f: (1.0 / len(fields) if mean else 1.0) for f in fields}
