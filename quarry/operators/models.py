@@ -116,9 +116,11 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, seq_keys: list[str],
 
 
 # ------------------------------------------------------------------ V5 / V6 / V14 / V15 / V19
-def train_skipgram(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 100,
-                   window: int = 10, min_count: int = 5, max_iter: int = 1, seed: int = 1200):
-    """V5: MLlib Word2Vec (skip-gram, hierarchical softmax)."""
+def train_skipgram(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 300,
+                   window: int = 10, min_count: int = 5, max_iter: int = 24, seed: int = 1200):
+    """V5: MLlib Word2Vec (skip-gram, hierarchical softmax); defaults follow
+    the original configuration (300 dims, window 10, min count 5, 24 epochs;
+    sub-sampling has no MLlib counterpart)."""
     return Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter,
                     seed=seed, inputCol=tokens_col, outputCol="_v").fit(sentences)
 

@@ -75,7 +75,9 @@ def token_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """A1: (token, freq) over whitespace tokens, most frequent first."""
     toks = df.select(F.explode(F.split(F.col(text_col), " ")).alias("token")).filter(
         F.col("token") != "")
-    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    # global order via a range-partitioned sort (no single partition)
+    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq")) \
+        .orderBy(F.col("freq").desc(), F.col("token"))
 
 
 def merge_post_text(questions: DataFrame, answers: DataFrame, qtext: str = "body",
