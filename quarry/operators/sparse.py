@@ -89,7 +89,7 @@ def postings_from_counts(tf: DataFrame, idf: DataFrame, keys: list[str],
 def knn_join_sparse(queries: DataFrame, postings: DataFrame, k: int | None,
                     qid: str = "query_id", pid: str = "post_id", field_col: str | None = "field",
                     weights: dict | None = None, round_to: int = 6,
-                    max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                    max_broadcast_rows: int = 2_000_000, term_buckets: int | None = None) -> DataFrame:
     """J10 + V10 + W1: score = sum over fields (optionally weighted) of the
     dot product of unit query and document postings; exact top-k per query.
 
@@ -97,15 +97,28 @@ def knn_join_sparse(queries: DataFrame, postings: DataFrame, k: int | None,
     Returns (qid, pid, sim, rank), or the unranked (qid, pid, sim) when k is
     None (no window over all pairs of a query).  Similarities are rounded
     before ranking and ties break on pid, so the order is total.
+
+    ``term_buckets``: the postings are a stored index partitioned by
+    ``_bucket = pmod(xxhash64(term), term_buckets)``; the distinct buckets of
+    the query terms (at most ``term_buckets`` small integers) become a
+    partition filter, so only those index partitions are read, and the join
+    also matches the bucket.
     """
-    q = checked_broadcast(queries.select(qid, "term", F.col("weight").alias("qw")),
-                          max_broadcast_rows)
+    qsel = [qid, "term", F.col("weight").alias("qw")]
+    keys = ["term"]
+    if term_buckets:
+        qsel.append(F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int").alias("_bucket"))
+        keys = ["_bucket", "term"]
+    q = checked_broadcast(queries.select(*qsel), max_broadcast_rows)
     d = postings.withColumnRenamed("weight", "dw")
+    if term_buckets:
+        wanted = [r[0] for r in q.select("_bucket").distinct().collect()]
+        d = d.filter(F.col("_bucket").isin(wanted))
     prod = F.col("qw") * F.col("dw")
     if weights and field_col:
         wmap = F.create_map(*[x for kv in weights.items() for x in (F.lit(kv[0]), F.lit(float(kv[1])))])
         prod = prod * wmap[F.col(field_col)]
-    j = d.join(q, "term").select(qid, pid, prod.alias("p"))
+    j = d.join(q, keys).select(qid, pid, prod.alias("p"))
     scores = j.groupBy(qid, pid).agg(F.round(F.sum("p"), round_to).alias("sim"))
     return rank_results(scores, k, qid, pid) if k else scores
 
