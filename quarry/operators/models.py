@@ -269,6 +269,7 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 1200, label: str = "
     counts = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(label, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # one row per label value
     out = g.join(F.broadcast(offs), label)
     return out.withColumn("fold", ((F.col("_g") - F.col("_off") - 1) % k).cast("int")) \
         .drop("_h", "_g", "_off")

@@ -98,6 +98,7 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFram
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # one row per sort partition (bounded by the partition count)
     out = s.join(F.broadcast(offs), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_idx") + 1).cast("long")) \
         .drop("_pid", "_mid", "_idx", "_off")
