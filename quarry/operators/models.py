@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classifier_tokens
-from ..plans.strategy import checked_broadcast, global_rank
+from ..plans.strategy import checked_broadcast, global_rank, materialize
 
 OOV_ID, TOP_TOKENS, MAX_LEN = 11999, 12000, 4000
 
@@ -81,7 +81,10 @@ def phrase_counts(docs: DataFrame, tokens_col: str = "tokens", min_count: int =
     pairs = docs.select(F.inline(adj))
     if stop:
         pairs = pairs.filter(~F.col("a").isin(*stop) & ~F.col("b").isin(*stop))
-    uni = docs.select(F.explode(toks).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # unigram counts are used three times (vocabulary size, two joins):
+    # materialised once (vocabulary-sized)
+    uni = materialize(docs.select(F.explode(toks).alias("token")).groupBy("token")
+                      .agg(F.count(F.lit(1)).alias("n")))
     vocab = uni.count()
     bi = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)
     ua = uni.select(F.col("token").alias("a"), F.col("n").alias("n_a"))
