@@ -80,6 +80,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Input-split awareness: a scan with fewer partitions than the cluster
+    can run at once (e.g. one large unsplittable file) is spread round-robin
+    over ``min_partitions`` (default: the default parallelism) before per-row
+    work.  With many input splits (the normal case at scale) it is a no-op."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def block_count(n_rows: int, block_rows: int) -> int:
     """Number of blocks so that each holds about ``block_rows`` rows."""
     return max(1, math.ceil(n_rows / max(1, block_rows)))

@@ -15,8 +15,16 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+# text-heavy tables whose per-row work (regexes, tokenising) dominates
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from ..plans.strategy import spread
+        df = spread(df)
+    return df
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
