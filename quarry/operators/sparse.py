@@ -42,7 +42,11 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, field_col: str | No
     """
     keys = [id_col] + ([field_col] if field_col else [])
     d = docs if prepartitioned else docs.repartition(id_col)
-    ex = d.select(*keys, F.explode(analyzer(F.col(text_col), stop)).alias("term"))
+    # stop words are removed as rows after the explode (a code-generated
+    # filter on a hashed IN set), not inside an interpreted array lambda
+    ex = d.select(*keys, F.explode(analyzer(F.col(text_col), stop=False)).alias("term"))
+    if stop:
+        ex = ex.filter(~F.col("term").isin(*stop_words()))
     return ex.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
