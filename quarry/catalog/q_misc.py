@@ -77,3 +77,41 @@ def u1(spark, sf):
         M.questions(spark, sf), M.search_queries(spark, sf), k=10,
         ranking=lambda scored: SP.rank_results(scored, 3),
         on_results=lambda res: res.withColumn("title_len", F.length("title")))
+
+
+# P1 with per-query tags (F9 inside search) and top tags
+O.CTES.update({
+    "qtags": ("""SELECT query_id, CASE WHEN query_id % 7 = 0 THEN ['no-such-tag']
+                    WHEN query_id % 3 = 0 THEN []::VARCHAR[] WHEN query_id % 2 = 0 THEN ['en']
+                    ELSE ['src3', 'fr'] END AS tags FROM queries""", ("queries",)),
+})
+
+
+def _tagged_queries(spark, sf):
+    tags = (F.when(F.col("query_id") % 7 == 0, F.array(F.lit("no-such-tag")))
+            .when(F.col("query_id") % 3 == 0, F.array().cast("array<string>"))
+            .when(F.col("query_id") % 2 == 0, F.array(F.lit("en")))
+            .otherwise(F.array(F.lit("src3"), F.lit("fr"))))
+    return M.search_queries(spark, sf).withColumn("tags", tags)
+
+
+def _tagged_sql(scores_cte: str) -> str:
+    filtered = (f"(SELECT s.query_id, s.post_id, s.sim FROM {scores_cte} s JOIN qtags t USING (query_id) "
+                "JOIN meta m USING (post_id) WHERE len(t.tags) = 0 OR list_has_any(m.etags, t.tags))")
+    return O.with_ctes(
+        "SELECT query_id, rank, post_id, CAST(round(CAST(sim AS DECIMAL(18, 6)), 4) AS DOUBLE) AS sim "
+        "FROM (" + O.ranked(filtered, 10) + ")", scores_cte, "qtags", "meta")
+
+
+def _tagged_search(model):
+    def run(spark, sf):
+        from .q_relational import _meta
+        res, _ = search.search(M.questions(spark, sf), _tagged_queries(spark, sf), _meta(spark, sf),
+                               model=model, k=10, word_vectors=M.word_vectors(spark, sf))
+        return res.select("query_id", "rank", "post_id", "sim")
+    return run
+
+
+register("p1_search_tags_sparse", _tagged_sql("sparse_scores"))(_tagged_search("sparse"))
+register("p1_search_tags_dense", _tagged_sql("dense_scores"))(_tagged_search("dense"))
+register("p1_search_tags_hybrid", _tagged_sql("hybrid_scores"))(_tagged_search("hybrid"))

@@ -144,6 +144,28 @@ def field_concat(index: DataFrame, id_col: str, fields: list[str],
     return g.select(id_col, F.concat(*parts).alias("vec"))
 
 
+def _tag_mask(qtags, itags) -> np.ndarray | None:
+    """Allowed (query, item) pairs: the item's tags overlap the query's tags;
+    a query without tags allows every item.  None when nothing is filtered."""
+    if qtags is None or all(t is None or len(t) == 0 for t in qtags):
+        return None
+    vocab = {t: i for i, t in enumerate({t for ts in qtags if ts is not None for t in ts})}
+    Qt = np.zeros((len(qtags), len(vocab)), dtype=np.float32)
+    for r, ts in enumerate(qtags):
+        for t in (ts if ts is not None else ()):
+            Qt[r, vocab[t]] = 1.0
+    It = np.zeros((len(itags), len(vocab)), dtype=np.float32)
+    for r, ts in enumerate(itags):
+        for t in (ts if ts is not None else ()):
+            j = vocab.get(t)
+            if j is not None:
+                It[r, j] = 1.0
+    allowed = (Qt @ It.T) > 0
+    unfiltered = np.array([ts is None or len(ts) == 0 for ts in qtags])
+    allowed[unfiltered, :] = True
+    return allowed
+
+
 def _knn_blocks(q: pd.DataFrame, it: pd.DataFrame, k: int | None, threshold: float | None,
                 exclude_self: bool, round_to: int) -> pd.DataFrame:
     empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
@@ -157,6 +179,10 @@ def _knn_blocks(q: pd.DataFrame, it: pd.DataFrame, k: int | None, threshold: flo
     S = np.round(Q @ D.T, round_to)
     if exclude_self:
         S[qids[:, None] == pids[None, :]] = -np.inf
+    if "tags" in q.columns and "tags" in it.columns:
+        mask = _tag_mask(list(q["tags"]), list(it["tags"]))
+        if mask is not None:
+            S[~mask] = -np.inf
     if threshold is not None:
         r, c = np.nonzero(S > threshold)
         return pd.DataFrame({"qid": qids[r], "pid": pids[c], "sim": S[r, c]})
@@ -197,13 +223,15 @@ def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
     each partition keeps a running top-k per query (or the pairs over the
     threshold), so it emits at most |queries| x k rows."""
     spark = queries.sparkSession
-    qp = queries.select("qid", "vec").toPandas()
+    tagged = "tags" in queries.columns and "tags" in items.columns
+    qp = queries.select("qid", "vec", *(["tags"] if tagged else [])).toPandas()
     qids = qp["qid"].to_numpy(np.int64)
     Q = np.stack(qp["vec"].to_numpy()).astype(np.float64) if len(qp) else np.zeros((0, 0))
-    bq = spark.sparkContext.broadcast((qids, Q))
+    qtags = [list(t) if t is not None else None for t in qp["tags"]] if tagged else None
+    bq = spark.sparkContext.broadcast((qids, Q, qtags))
 
     def fn(batches):
-        qids_, Q_ = bq.value
+        qids_, Q_, qtags_ = bq.value
         best_s = best_p = None
         for pdf in batches:
             if len(pdf) == 0 or len(qids_) == 0:
@@ -213,6 +241,10 @@ def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
             S = np.round(Q_ @ D.T, round_to)
             if exclude_self:
                 S[qids_[:, None] == pids[None, :]] = -np.inf
+            if qtags_ is not None:
+                mask = _tag_mask(qtags_, list(pdf["tags"]))
+                if mask is not None:
+                    S[~mask] = -np.inf
             if threshold is not None:
                 r, c = np.nonzero(S > threshold)
                 yield pd.DataFrame({"qid": qids_[r], "pid": pids[c], "sim": S[r, c]})
@@ -222,7 +254,8 @@ def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
             r, c = np.nonzero(np.isfinite(best_s))
             yield pd.DataFrame({"qid": qids_[r], "pid": best_p[r, c], "sim": best_s[r, c]})
 
-    return items.select(F.col("pid").cast("long"), "vec").mapInPandas(fn, "qid long, pid long, sim double")
+    cols = [F.col("pid").cast("long"), "vec"] + (["tags"] if tagged else [])
+    return items.select(*cols).mapInPandas(fn, "qid long, pid long, sim double")
 
 
 BLOCK_BYTES = 64 << 20
@@ -260,10 +293,12 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
         block_rows = derived_block_rows(st["d"] or 1)
     ni = n_items if n_items is not None else items.count()
     QB, IB = block_count(nq, block_rows), block_count(ni, block_rows)
-    q = (queries.select(F.col("qid").cast("long"), "vec",
+    tagged = "tags" in queries.columns and "tags" in items.columns
+    extra = ["tags"] if tagged else []
+    q = (queries.select(F.col("qid").cast("long"), "vec", *extra,
                         F.pmod(F.xxhash64("qid"), F.lit(QB)).alias("qb"))
          .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(IB - 1)).cast("array<long>"))))
-    i = (items.select(F.col("pid").cast("long"), "vec",
+    i = (items.select(F.col("pid").cast("long"), "vec", *extra,
                       F.pmod(F.xxhash64("pid"), F.lit(IB)).alias("ib"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)).cast("array<long>"))))
 

@@ -105,7 +105,8 @@ def dense_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFra
 
 def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFrame,
                   postings: DataFrame, k: int, mean: bool = False,
-                  fields=FIELDS) -> DataFrame:
+                  fields=FIELDS, meta: DataFrame | None = None,
+                  query_tags: DataFrame | None = None, ranked: bool = True) -> DataFrame:
     """Exact top-k of dense_sum + sparse_sum.
 
     Sparse weights are non-negative, so a pair without term overlap can only
@@ -117,7 +118,13 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
     from ..plans.strategy import materialize
     qcat = materialize(dense.field_concat(qv_dense.withColumnRenamed("query_id", "qid"), "qid", fields))
     dcat = materialize(dense.field_concat(index_dense.withColumnRenamed("post_id", "pid"), "pid", fields))
-    dtop = dense.knn_join_vectors(qcat, dcat, k).select(
+    qk, dk = qcat, dcat
+    if query_tags is not None and meta is not None:
+        # dense top-k among each query's allowed posts (tag mask in the kernel);
+        # the sparse pairs are filtered by the caller, before ranking
+        qk = qcat.join(query_tags.select(F.col("query_id").alias("qid"), "tags"), "qid", "left")
+        dk = dcat.join(meta.select(F.col("post_id").alias("pid"), F.col("etags").alias("tags")), "pid", "left")
+    dtop = dense.knn_join_vectors(qk, dk, k).select(
         F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), F.lit(True).alias("_d"))
     sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12).select(
         "query_id", "post_id", F.col("sim").alias("s_sim"))
@@ -129,7 +136,7 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
     if mean:
         total = total / (2.0 * len(fields))
     scores = j.select("query_id", "post_id", F.round(total, 6).alias("sim"))
-    return sparse.rank_results(scores, k)
+    return sparse.rank_results(scores, k) if ranked else scores
 
 
 def hybrid_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
@@ -179,3 +186,63 @@ def check_weights(weights: dict, fields: list[str], tol: float = 1e-9) -> dict:
     if abs(sum(weights.values()) - 1.0) > tol:
         raise ValueError("field weights must sum to 1")
     return weights
+
+
+def tag_filter(scores: DataFrame, queries: DataFrame, meta: DataFrame,
+               qid: str = "query_id", tags_col: str = "tags") -> DataFrame:
+    """F9 inside search: keep a scored (query, post) pair when the post's
+    etags overlap the query's tags.  Queries without tags are not filtered;
+    unknown tags never match, so a query whose tags are all unknown gets no
+    results.  Applied to the scored pairs before ranking (filtering commutes
+    with the order), via a join on post_id with the metadata — no tag x query
+    pair table is built."""
+    qt = queries.select(qid, F.col(tags_col).alias("_qt"))
+    j = scores.join(qt, qid, "left").join(meta.select("post_id", "etags"), "post_id", "left")
+    keep = (F.col("_qt").isNull() | (F.size("_qt") == 0)
+            | F.coalesce(F.arrays_overlap("etags", "_qt"), F.lit(False)))
+    return j.filter(keep).drop("_qt", "etags")
+
+
+def search(questions: DataFrame, queries: DataFrame, meta: DataFrame, model: str = "sparse",
+           k: int = 10, word_vectors: DataFrame | None = None, weights: dict | None = None,
+           n_top_tags: int = 8):
+    """Batch search.  ``queries`` (query_id, text[, tags array]); model
+    'sparse', 'dense' or 'hybrid'.  Returns (ranked rows with metadata (P2),
+    top tags per query (A7))."""
+    from ..operators.relational import top_tags
+    has_tags = "tags" in queries.columns
+    if model == "sparse":
+        idf, postings = build_sparse_index(questions)
+        scores = sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, None,
+                                        weights=weights)
+    elif model in ("dense", "hybrid"):
+        index = build_dense_index(questions, word_vectors)
+        qd = dense_query_vectors(queries, word_vectors)
+        qtags = queries.select("query_id", "tags") if has_tags else None
+        if model == "dense":
+            scores = dense_topk_tagged(qd, index, k, meta, qtags, weights).drop("rank")
+        else:
+            idf, postings = build_sparse_index(questions)
+            qs = sparse_query_vectors(idf, queries)
+            scores = hybrid_scores(qd, index, qs, postings, k, meta=meta, query_tags=qtags,
+                                   ranked=False)
+    else:
+        raise ValueError(f"unknown model {model!r}")
+    if has_tags:
+        scores = tag_filter(scores, queries, meta)
+    ranked = sparse.rank_results(scores, k)
+    return metadata_frame(ranked, meta), top_tags(ranked, meta, n_top_tags)
+
+
+def dense_topk_tagged(qd: DataFrame, index: DataFrame, k: int, meta: DataFrame | None = None,
+                      query_tags: DataFrame | None = None, weights: dict | None = None) -> DataFrame:
+    """Dense exact top-k per query among the posts whose etags overlap the
+    query's tags (mask applied inside the k-NN kernel, before the local
+    top-k; queries without tags are unfiltered)."""
+    qv = dense.field_concat(qd.withColumnRenamed("query_id", "qid"), "qid", FIELDS, weights)
+    iv = dense.field_concat(index.withColumnRenamed("post_id", "pid"), "pid", FIELDS)
+    if query_tags is not None and meta is not None:
+        qv = qv.join(query_tags.select(F.col("query_id").alias("qid"), "tags"), "qid", "left")
+        iv = iv.join(meta.select(F.col("post_id").alias("pid"), F.col("etags").alias("tags")), "pid", "left")
+    r = dense.knn_join_vectors(qv, iv, k)
+    return r.select(F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), "sim", "rank")

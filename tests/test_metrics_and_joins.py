@@ -110,3 +110,44 @@ def test_lookup_vectors_unk_and_skip(spark):
     assert skip == ["a"]
     plan = D.lookup_vectors(toks, vecs, oov="unk")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("model", ["sparse", "dense", "hybrid"])
+def test_search_with_tags_equals_filter_of_full_ranking(spark, model):
+    """Tag-filtered top-k == top-k of the unfiltered full scoring restricted to
+    allowed posts (brute force), for every model; unknown-only tags -> empty."""
+    from quarry.catalog.q_relational import _meta
+    from quarry.operators import sparse as SP
+    from quarry.plans import search
+    from quarry.sources import qa_model as M
+    from .conftest import SF_SMALL
+    q = M.questions(spark, SF_SMALL)
+    wv = M.word_vectors(spark, SF_SMALL)
+    meta = _meta(spark, SF_SMALL)
+    base = M.search_queries(spark, SF_SMALL)
+    tags = (F.when(F.col("query_id") % 7 == 0, F.array(F.lit("no-such-tag")))
+            .when(F.col("query_id") % 3 == 0, F.array().cast("array<string>"))
+            .when(F.col("query_id") % 2 == 0, F.array(F.lit("en")))
+            .otherwise(F.array(F.lit("src3"), F.lit("fr"))))
+    queries = base.withColumn("tags", tags)
+    got, top = search.search(q, queries, meta, model=model, k=5, word_vectors=wv)
+    got_set = {(r["query_id"], r["post_id"], r["rank"]) for r in got.collect()}
+    # brute force: all scores of the model, filter, rank
+    idf, postings = search.build_sparse_index(q)
+    qs = search.sparse_query_vectors(idf, base)
+    idx = search.build_dense_index(q, wv)
+    qd = search.dense_query_vectors(base, wv)
+    if model == "sparse":
+        allp = SP.knn_join_sparse(qs, postings, None)
+    elif model == "dense":
+        qv = D.field_concat(qd.withColumnRenamed("query_id", "qid"), "qid", search.FIELDS)
+        iv = D.field_concat(idx.withColumnRenamed("post_id", "pid"), "pid", search.FIELDS)
+        allp = D.block_pairs_join(qv, iv, threshold=float("-inf")).select(
+            F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), "sim")
+    else:
+        allp = search.hybrid_scores(qd, idx, qs, postings, 10 ** 6, ranked=False)
+    want = SP.rank_results(search.tag_filter(allp, queries, meta), 5)
+    want_set = {(r["query_id"], r["post_id"], r["rank"]) for r in want.collect()}
+    assert got_set == want_set
+    assert not [r for r in got.collect() if r["query_id"] % 7 == 0]
+    assert top.count() > 0
