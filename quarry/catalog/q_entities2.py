@@ -84,3 +84,43 @@ def p8(spark, sf):
     q = M.questions(spark, sf)
     out = EN.entity_pipeline(q, M.answers(spark, sf), gazetteer_df(spark))
     return out.select("post_id", F.array_join("entities", ",").alias("entities"))
+
+
+# W2 compound-embedding features over a derived cluster table (fixture):
+# clusters for k = 5 and 10 from the token's md5; tokens whose md5 starts
+# with 'f' have no entry (empty features).
+_CE_KS = (5, 10)
+
+
+def _compound_fixture(tokens):
+    t = tokens.select("token").distinct()
+    h = F.md5("token")
+    v = F.conv(F.substring(h, 1, 4), 16, 10).cast("long")
+    return t.filter(F.substring(h, 1, 1) != "f").select(
+        "token", F.create_map(*[x for k in _CE_KS for x in (F.lit(k), (v % k).cast("int"))]).alias("clusters"))
+
+
+def _ce_sql() -> str:
+    cols = ", ".join(
+        f"CASE WHEN substr(md5(token), 1, 1) <> 'f' THEN CAST(CAST(('0x' || substr(md5(token), 1, 4)) AS INTEGER) % {k} AS VARCHAR) ELSE '' END AS ce{k}"
+        for k in _CE_KS)
+    feats = []
+    for k in _CE_KS:
+        n = f"ce{k}"
+        feats += [f"'{n}[-1]=' || lag({n}) OVER w", f"'{n}[0]=' || {n}", f"'{n}[1]=' || lead({n}) OVER w",
+                  f"'{n}[-1]|{n}[0]=' || lag({n}) OVER w || '|' || {n}",
+                  f"'{n}[0]|{n}[1]=' || {n} || '|' || lead({n}) OVER w",
+                  f"'{n}[-1]|{n}[1]=' || lag({n}) OVER w || '|' || lead({n}) OVER w"]
+    arr = "list_filter([" + ", ".join(feats) + "], lambda v: v IS NOT NULL)"
+    return O.with_ctes(
+        f"SELECT id, sent_no, pos, token, array_to_string({arr}, chr(9)) AS features "
+        f"FROM (SELECT *, {cols} FROM btok) WINDOW w AS (PARTITION BY id, sent_no ORDER BY pos)", "btok")
+
+
+@register("w2_compound_features", _ce_sql())
+def w2_ce(spark, sf):
+    from .q_entities import _btok
+    t = _btok(spark, sf)
+    f = EN.compound_join(t, _compound_fixture(t), _CE_KS)
+    out = EN.compound_features(f, ["id", "sent_no"], _CE_KS)
+    return out.select("id", "sent_no", "pos", "token", F.array_join("features", "\t").alias("features"))

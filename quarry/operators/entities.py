@@ -57,12 +57,14 @@ ORTH_TAGS = ("w", "wl", "dot", "brac", "uscr", "init_cap", "ccase", "api_ptrn",
              "p1", "p2", "p3", "p4", "s1", "s2", "s3", "s4")
 
 
-def context_features(tok: DataFrame, seq_keys: list[str], with_brown: bool = True) -> DataFrame:
+def context_features(tok: DataFrame, seq_keys: list[str], with_brown: bool = True,
+                     ce_ks=()) -> DataFrame:
     """Feature strings per token from the template: orthographic and
     gazetteer features of the token, word bigrams (-1,0) (0,1), Brown path
     unigrams at -1/0/+1, bigrams and the (-1,+1) skip pair, Brown prefixes at
-    -1/0/+1, and __BOS__ / __EOS__ flags.  A feature that needs an absent
-    neighbour is absent.
+    -1/0/+1, optionally the compound-embedding features of ``ce_ks``
+    (``compound_join`` columns), and __BOS__ / __EOS__ flags.  A feature that
+    needs an absent neighbour is absent.
 
     Input: seq_keys + (pos, token, is_* flags, brown, brown_p*)."""
     o = tok.withColumn("_o", ortho.orthographic_features("token"))
@@ -93,6 +95,8 @@ def context_features(tok: DataFrame, seq_keys: list[str], with_brown: bool = Tru
             feats += [F.concat(F.lit(f"brown-p{p}[-1]="), F.lag(c).over(w)),
                       F.concat(F.lit(f"brown-p{p}[0]="), c),
                       F.concat(F.lit(f"brown-p{p}[1]="), F.lead(c).over(w))]
+    if ce_ks:
+        feats += _compound_cols(ce_ks, w)
     first = F.lag(F.lit(1)).over(w).isNull()
     last = F.lead(F.lit(1)).over(w).isNull()
     feats += [F.when(first, F.lit("__BOS__")), F.when(last, F.lit("__EOS__"))]
@@ -100,6 +104,39 @@ def context_features(tok: DataFrame, seq_keys: list[str], with_brown: bool = Tru
     return o.select(*seq_keys, "pos", "token", arr.alias("features"))
 
 
+def compound_join(tokens: DataFrame, compound: DataFrame, ks, token_col: str = "token") -> DataFrame:
+    """V15 lookup: token -> ce<k> cluster ids as strings, '' when absent.
+    ``compound`` is (token, clusters map<int,int>) (see models.compound_embeddings);
+    broadcast behind a row check."""
+    c = checked_broadcast(compound.select(F.col("token").alias("_c"), F.col("clusters").alias("_m")))
+    j = tokens.join(c, F.col(token_col) == F.col("_c"), "left")
+    return j.select(*tokens.columns, *[F.coalesce(F.col("_m")[k].cast("string"), F.lit("")).alias(f"ce{k}")
+                                       for k in ks])
+
+
+def compound_features(tok: DataFrame, seq_keys: list[str], ks) -> DataFrame:
+    """W2 (compound-embedding part): for every k, ce<k> at -1, 0, +1, the
+    bigrams (-1,0) (0,1) and the (-1,+1) skip pair; absent neighbours give
+    absent features.  Input: seq_keys + (pos, token, ce<k> columns)."""
+    w = Window.partitionBy(*seq_keys).orderBy("pos")
+    arr = F.filter(F.array(*_compound_cols(ks, w)), lambda v: v.isNotNull())
+    return tok.select(*seq_keys, "pos", "token", arr.alias("features"))
+
+
+def _compound_cols(ks, w) -> list:
+    feats = []
+    for k in ks:
+        n = f"ce{k}"
+        c = F.col(n)
+        p, x = F.lag(c).over(w), F.lead(c).over(w)
+        feats += [F.concat(F.lit(f"{n}[-1]="), p), F.concat(F.lit(f"{n}[0]="), c),
+                  F.concat(F.lit(f"{n}[1]="), x),
+                  F.concat(F.lit(f"{n}[-1]|{n}[0]="), p, F.lit("|"), c),
+                  F.concat(F.lit(f"{n}[0]|{n}[1]="), c, F.lit("|"), x),
+                  F.concat(F.lit(f"{n}[-1]|{n}[1]="), p, F.lit("|"), x)]
+    return feats
+
+
 def gazetteer_tags(tok: DataFrame, seq_keys: list[str]) -> DataFrame:
     """Gazetteer-only tagging (V18 fallback): B-type on the first flagged
     token of a run of the same type, I-type after it, O elsewhere."""
