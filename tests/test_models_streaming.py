@@ -135,3 +135,22 @@ def test_stored_index_search_prunes_buckets(spark):
     want = SP.knn_join_sparse(qv, postings.drop("_bucket"), 5)
     cols = ["query_id", "post_id", "sim", "rank"]
     assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
+
+
+def test_spread_only_when_scan_is_narrow(spark):
+    from quarry.plans.strategy import spread
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(0, 1000, numPartitions=8)
+    assert spread(many, 4).rdd.getNumPartitions() == 8
+
+
+def test_write_table_hash_buckets(spark):
+    from quarry.sources import dump
+    df = spark.range(0, 200).selectExpr("id AS post_id", "cast(id % 7 AS string) AS term")
+    path = scratch_path(spark, "bucketed")
+    dump.write_table(df, path, bucket_col="term", buckets=4)
+    back = dump.read_table(spark, path)
+    assert back.count() == 200
+    chk = back.withColumn("b", F.pmod(F.xxhash64("term"), F.lit(4)).cast("int"))
+    assert chk.filter(F.col("b") != F.col("_bucket")).count() == 0
