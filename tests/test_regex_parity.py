@@ -11,7 +11,8 @@ from quarry import oracle_text as S
 from quarry.functions import code as C
 from quarry.functions import text as T
 
-PIECES = ["foo", "Bar", "x1", "com.a.b", "getMax()", "a.b()", "C#", "c++", "C++", ".NET", "#tag",
+PIECES = ["<pre><code>", "</code></pre>", "<code>", "</code>", ":)", ":(", ";-)", "<3", "^_^",
+          "12:30pm", "w(s)", "->", "foo", "Bar", "x1", "com.a.b", "getMax()", "a.b()", "C#", "c++", "C++", ".NET", "#tag",
           "@user", "me@x.org", "http://a.io/p?q=1", "can't", "it's", "3.14", "1.2.3", "50%", "==",
           "&&", "||", "!", "?", ",", ";", ":", "(", ")", "[", "]", "{", "}", "<p>", "</p>", "é", "ß",
           "naïve", "$var", "a_b", "x.y.z.w.v.u", "0101.1100.0011.1111", "=====", "---", "+", "'",
@@ -33,6 +34,20 @@ CASES = [
      lambda x: f"array_to_string({S.split_sentences(x)}, chr(1))"),
     ("code_tokens", lambda c: F.array_join(C.code_token_strings(c), "\u0001"),
      lambda x: f"array_to_string({S.code_token_strings(x)}, chr(1))"),
+    ("social", lambda c: F.array_join(T.social_tokenize(c), "\u0001"),
+     lambda x: f"array_to_string({S.social_tokenize(x)}, chr(1))"),
+    ("emoticons", T.emoticon_label, S.emoticon_label),
+    ("classifier_tokens", lambda c: F.array_join(T.classifier_tokens(c), "\u0001"),
+     lambda x: f"array_to_string({S.classifier_tokens(x)}, chr(1))"),
+    ("paths", T.remove_paths, S.remove_paths),
+    ("separators", T.strip_separators, S.strip_separators),
+    ("large_tokens", T.remove_large_tokens, S.remove_large_tokens),
+    ("word_count", T.word_count, lambda x: f"CAST({S.word_count(x)} AS INTEGER)"),
+    ("code_blocks", lambda c: F.array_join(C.extract_code_blocks(c), "\u0001"),
+     lambda x: f"array_to_string({S.extract_code_blocks(x)}, chr(1))"),
+    ("lex", lambda c: F.array_join(C.lex_code(c), "\u0001"),
+     lambda x: f"array_to_string({S.lex_code(x)}, chr(1))"),
+    ("replace_code", C.replace_code_with_tokens, S.replace_code_with_tokens),
 ]
 
 
