@@ -70,13 +70,13 @@ def a16(spark, sf):
 
 @register("t25_parse_user_tags",
           "SELECT item_id, array_to_string(list_distinct_ordered, ',') AS tags FROM (SELECT item_id, "
-          "list_filter(list_transform(string_split_regex(lower(substr(text, 1, 40)), '[,;\\s]+'), "
+          "list_filter(list_transform(string_split_regex(lower(text), '[,;\\s]+'), "
           "lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark), "
           "LATERAL (SELECT list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered)")
 def t25(spark, sf):
     from ..functions.text import parse_user_tags
     b = M.table(spark, sf, "benchmark")
-    return b.select("item_id", F.array_join(parse_user_tags(F.substring("text", 1, 40)), ",").alias("tags"))
+    return b.select("item_id", F.array_join(parse_user_tags(F.col("text")), ",").alias("tags"))
 
 
 @register("t24_parse_entities", O.with_ctes(
