@@ -72,15 +72,17 @@ CONTRACTIONS = {"n't": "not", "'ve": "have", "'re": "are", "'m": "am", "'ll": "w
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen "
                 "fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty "
                 "sixty seventy eighty ninety hundred thousand million billion trillion").split()
-NUMBER_RE = r"^[+-]?[0-9.,:/]*[0-9][0-9.,:/]*$"
-URL_RE = r"^(?:(?:https?|ftp|mailto|file)://|www\.)"
-EMAIL_RE = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+$"
-SYMBOL_RE = r"^\p{S}$"
-NO_ALNUM_RE = r"^[^\p{L}\p{N}]*$"
-# The drop tests above as one anchored alternation (one match per token).
-DROP_RE = (r"^(?:[^\p{L}\p{N}]*$|[+-]?[0-9.,:/]*[0-9][0-9.,:/]*$|\p{S}$)")
-DROP_URL_RE = (r"^(?:[^\p{L}\p{N}]*$|[+-]?[0-9.,:/]*[0-9][0-9.,:/]*$|\p{S}$"
-               r"|(?:https?|ftp|mailto|file)://|www\.|[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+$)")
+# Token drop tests (whole token unless noted): no letter or digit; number-like;
+# one symbol character; URL (prefix); e-mail.
+NO_ALNUM = r"[^\p{L}\p{N}]*"
+NUMBER_LIKE = r"[+-]?[0-9.,:/]*[0-9][0-9.,:/]*"
+ONE_SYMBOL = r"\p{S}"
+URL_PREFIX = r"(?:https?|ftp|mailto|file)://|www\."
+EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+"
+# ... evaluated as one anchored alternation (one match per token).
+DROP_RE = "^(?:" + "|".join([NO_ALNUM + "$", NUMBER_LIKE + "$", ONE_SYMBOL + "$"]) + ")"
+DROP_URL_RE = "^(?:" + "|".join([NO_ALNUM + "$", NUMBER_LIKE + "$", ONE_SYMBOL + "$",
+                                 URL_PREFIX, EMAIL + "$"]) + ")"
 # ---------------------------------------------------------------------------
 
 

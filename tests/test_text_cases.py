@@ -110,3 +110,8 @@ def test_token_type_and_shape(spark, tok, typ, shape):
 def test_orthographic_features(spark):
     o = one(spark, OR.orthographic_features, "getMaxSize()")
     assert (o["ccase"], o["brac"], o["api_ptrn"], o["p2"], o["s3"]) == ("T", "T", "T", "ge", "e()")
+
+
+def test_parse_tags_without_topic(spark):
+    assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java><swing>") == ["swing"]
+    assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java>") == ["<unk>"]
