@@ -26,7 +26,14 @@ STACKTRACE_RE = (r" at ([a-zA-Z_$][a-zA-Z0-9_$]*\.)+[a-zA-Z_$][a-zA-Z0-9_$]*\(((
                  r"[a-zA-Z0-9_$]{1,30}\.java:[0-9]{1,4})|([a-zA-Z]{1,30} [a-zA-Z]{1,30}))\)")
 BINARY_RUN_RE = r"([01]{4,20}\.){3,30}[01]{4,20}"
 LONG_PACKAGE_RE = r"([a-zA-Z0-9_$]{2,50}\.){5,}[a-zA-Z0-9_$]{2,50}"
-PATH_RE = r"\b((?:[Cc]:)?(?:\\\S{2,}){2,})\b"
+# Windows paths: "C:\\a\\b" or "x\\a\\b" with word boundaries at both ends.
+# The boundaries are spelled out with Unicode word characters (the meaning
+# of \b differs between regex engines and JVM versions): the character before
+# the path is captured and put back by the replacement, and the path must end
+# with a word character.
+_W, _NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+PATH_RE = (r"(^|" + _NW + r")([Cc]:(?:\\\S{2,})+\\\S+" + _W + r")"
+           r"|(" + _W + r")((?:\\\S{2,})+\\\S+" + _W + r")")
 LARGE_TOKEN_RE = r"[a-f0-9]{50,}|[*=+~#!_-]{3,}"
 SYMBOLS_RE = r"[!\"%&$^*@`~(),?=/|<:;>{}\[\]-]"
 
@@ -186,7 +193,7 @@ def normalize_symbols(text) -> Column:
 
 def remove_paths(text) -> Column:
     """Windows-style paths."""
-    return F.regexp_replace(_c(text), PATH_RE, " ")
+    return F.regexp_replace(_c(text), PATH_RE, "$1$3 ")
 
 
 def remove_large_tokens(text) -> Column:

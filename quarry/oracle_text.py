@@ -90,7 +90,7 @@ def normalize_symbols(x: str) -> str:
 
 
 def remove_paths(x: str) -> str:
-    return rr(x, T.PATH_RE)
+    return rr(x, T.PATH_RE, r"\1\3 ")
 
 
 def remove_large_tokens(x: str) -> str:

@@ -115,3 +115,10 @@ def test_orthographic_features(spark):
 def test_parse_tags_without_topic(spark):
     assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java><swing>") == ["swing"]
     assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java>") == ["<unk>"]
+
+
+def test_remove_paths_unicode_boundaries(spark):
+    assert one(spark, T.remove_paths, "see C:\\\\dir\\\\sub now") == "see   now"
+    assert one(spark, T.remove_paths, "x C:\\\\dir\\\\subé") == "x  "
+    assert one(spark, T.remove_paths, "é\\\\dir\\\\sub y") == "é  y"
+    assert one(spark, T.remove_paths, "  \\\\dir\\\\sub y") == "  \\\\dir\\\\sub y"
