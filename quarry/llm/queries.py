@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, topk, urls, warc
-from .common import table
+from . import packing, quality, repeats, secrets, topk, urls, warc
+from .common import fold, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -76,3 +76,37 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_search(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, k=10)
+
+
+@query("op1_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), learn=fold(F.col("doc_id"), 5) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op10_repeated_units", """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text <> ''),
+o AS (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm
+  FROM l),
+u AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS unit_no,
+         start::BIGINT AS start, (start + length(line))::BIGINT AS "end",
+         len(string_split(norm, ' '))::INTEGER AS n_words, md5(norm) AS digest
+  FROM o WHERE norm <> ''),
+f AS (
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit_no) OVER w AS kept_unit_no
+  FROM u WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit_no)),
+r AS (
+  SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS run
+  FROM f WHERE doc_id <> kept_doc_id OR unit_no <> kept_unit_no),
+s AS (
+  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM r)
+SELECT doc_id, unit_no, start, "end", n_words, digest, kept_doc_id, kept_unit_no FROM s WHERE run_words >= 20""")
+def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_units(table(spark, sf_dir, "documents"))
