@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, repeats, secrets, topk, urls, warc
+from . import decontam, packing, quality, repeats, secrets, topk, urls, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -110,3 +110,8 @@ s AS (
 SELECT doc_id, unit_no, start, "end", n_words, digest, kept_doc_id, kept_unit_no FROM s WHERE run_words >= 20""")
 def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_units(table(spark, sf_dir, "documents"))
+
+
+@query("op7_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
