@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, repeats, secrets, topk, urls, warc
+from . import decontam, lm, packing, quality, repeats, secrets, topk, urls, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -115,3 +115,12 @@ def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 7) == 2
+    scored = lm.train_and_score(docs, ~held)
+    return scored.withColumn("held_out", held).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
