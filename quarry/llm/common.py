@@ -22,6 +22,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of a narrow staged table (an id or two) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a staged table of narrow rows for broadcast when its count allows;
+    else the join shuffles, and Spark splits its skewed partitions."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (a null id counts as '')."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

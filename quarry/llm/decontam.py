@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded, staged
 
 MARK = "\x01"
 NAME, NUMBER, UNIT = MARK + "n", MARK + "d", MARK + "u"
@@ -42,8 +42,6 @@ UNIT_WORDS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "
               "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
               "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "kmh", "mph")
 
-BROADCAST_ROWS = 1_000_000
-
 
 def template_words(text: Column) -> Column:
     """Lower-cased words of a text with placeholders in place of numbers,
@@ -116,12 +114,6 @@ def _slot_windows(df: DataFrame, window: int, pos: str) -> DataFrame:
         .drop("_z", "words", "raw")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` (a staged table of narrow rows) only when it is small
-    by count; else the join shuffles, and skewed partitions are split."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", *, window: int = 8, min_literals: int = 4,
                  min_cover: float = 0.5) -> DataFrame:
@@ -136,7 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     narrow = staged(bench.select("h", "item_id", "ipos", "n_windows"), "item-hashes")
     every = src.filter("doc_id is not null").select(
         "doc_id", F.explode(window_hashes(template_words(F.col("text")), window)).alias("h"))
-    hits = every.join(_bounded(narrow), "h")
+    hits = every.join(bounded(narrow), "h")
     pairs = (hits.groupBy("doc_id", "item_id", "ipos", "n_windows").agg(F.lit(1).alias("_one"))
              .groupBy("doc_id", "item_id", "n_windows").agg(F.count("_one").alias("found"))
              .filter(enough).select("doc_id", "item_id"))
@@ -144,7 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     # these documents again, with the values behind the placeholders
     chosen = staged(pairs.select("doc_id").distinct(), "template-docs")
-    held = src.join(_bounded(chosen), "doc_id", "left_semi")
+    held = src.join(bounded(chosen), "doc_id", "left_semi")
     held = held.select("doc_id", template_words(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw"))
     windows = _slot_windows(held, window, "pos")
     wanted = bench.join(pairs.select("item_id").distinct(), "item_id", "left_semi") \
@@ -173,4 +165,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged."""
     ids = staged(found.select(F.col("doc_id").alias("_held")).distinct(), "contaminated-docs")
-    return docs.join(_bounded(ids), docs[id_col].cast("long") == F.col("_held"), "left_anti")
+    return docs.join(bounded(ids), docs[id_col].cast("long") == F.col("_held"), "left_anti")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, packing, quality, repeats, secrets, topk, urls, warc
+from . import decontam, lm, neardup, packing, quality, repeats, secrets, topk, urls, warc
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -124,3 +124,8 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.train_and_score(docs, ~held)
     return scored.withColumn("held_out", held).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@query("op5_minhash_near_duplicates")
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
