@@ -38,5 +38,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(folds))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unique_name(prefix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}"

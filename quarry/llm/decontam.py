@@ -164,5 +164,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged."""
-    ids = staged(found.select(F.col("doc_id").alias("_held")).distinct(), "contaminated-docs")
-    return docs.join(bounded(ids), docs[id_col].cast("long") == F.col("_held"), "left_anti")
+    ids = bounded(staged(found.select(F.col("doc_id").alias("held")).distinct(), "contaminated-docs"))
+    return docs.join(ids, docs[id_col].cast("long") == ids["held"], "left_anti")

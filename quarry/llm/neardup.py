@@ -329,5 +329,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every group, that of the smallest id."""
     found = near_duplicates(docs, id_col, text_col)
-    drop = staged(found.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "near-copies")
-    return docs.join(bounded(drop), docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+    drop = bounded(staged(found.filter("not kept").select(F.col("doc_id").alias("dropped")).distinct(), "near-copies"))
+    return docs.join(drop, docs[id_col].cast("long") == drop["dropped"], "left_anti")

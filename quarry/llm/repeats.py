@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 _SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\t\r\x0b\x0c]*\n\s*")}
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -112,9 +112,9 @@ def remove(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col
     """``docs`` with the repeated units cut out of their texts; all rows and
     columns stay, texts without repeats unchanged."""
     spans = repeats.groupBy("doc_id").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e")) \
-        .select(F.col("doc_id").alias("_repeats_of"), F.struct("s", "e").alias("_spans"))
+        .select(F.col("doc_id").alias(free_name(docs, "repeats_of")), F.struct("s", "e").alias(free_name(docs, "spans")))
     key = F.coalesce(docs[id_col].cast("long"), F.lit(2 ** 63 - 1))
-    joined = docs.join(spans, key == spans["_repeats_of"], "left").drop("_repeats_of")
+    joined = docs.join(spans, key == spans[spans.columns[0]], "left").drop(spans.columns[0])
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

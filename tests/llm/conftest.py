@@ -18,7 +18,7 @@ def prose(rng: random.Random, n: int, vocab: int = 400) -> str:
 
 
 # names that the operators use inside, as columns of the input
-CLASHES = ["n", "h", "x", "y", "ids", "part", "rep", "kept", "k1", "value", "_spans", "windows", "pos", "score", "label"]
+CLASHES = ["n", "h", "x", "y", "ids", "part", "rep", "kept", "k1", "value", "_spans", "windows", "pos", "score", "label", "held", "dropped", "spans", "repeats_of"]
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                      T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                      T.StructField("n_chars", T.LongType())]
