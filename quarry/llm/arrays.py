@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 from .common import unique_name
 
@@ -90,7 +91,7 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def unplanes(raw: bytes, dtype) -> np.ndarray:
+def unplanes(raw: bytes | pa.Buffer, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     n = len(raw) // size
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype) if n \
@@ -142,15 +143,28 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, distinct keys, summed counts) of a task's blocks."""
-    got: dict[int, list] = {}
+    """(shard, distinct keys, summed counts) of a task's blocks, which come
+    sorted by shard (see ``to_shards``): one shard is in memory at a time."""
+    now, parts = None, []
+
+    def done():
+        keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        parts.clear()
+        return now, *merged(keys, counts.astype(np.uint64))
+
     for b in batches:
-        for s, k, c in zip(*(b.column(i).to_pylist() for i in range(3))):
-            got.setdefault(s, []).append((undelta(unplanes(k, np.uint64)), unplanes(c, np.uint32)))
-    for s in sorted(got):
-        parts = got.pop(s)
-        yield s, *merged(np.concatenate([p[0] for p in parts]),
-                         np.concatenate([p[1] for p in parts]).astype(np.uint64))
+        for s, k, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            if s != now and parts:
+                yield done()
+            now = s
+            parts.append((undelta(unplanes(k.as_buffer(), np.uint64)), unplanes(c.as_buffer(), np.uint32)))
+    if parts:
+        yield done()
+
+
+def to_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows with a ``shard`` column, all of a shard in one task and together."""
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
 class Tally:

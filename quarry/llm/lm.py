@@ -245,7 +245,7 @@ def _merge_stats(model: Model, folder: str):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 25) -> Model:
+def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 23) -> Model:
     """Count a model over every row of ``docs``.  ``shard_bytes``: text per
     shard, so a merging task's memory does not grow with the corpus."""
     spark = docs.sparkSession
@@ -254,7 +254,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 25
     shards = max(1, -(-size // shard_bytes))
     folder = scratch_path(spark, "llm-lm")
 
-    words = (src.mapInArrow(_count_words(shards), arrays.BLOCK_DDL).repartition(shards, "shard")
+    words = (arrays.to_shards(src.mapInArrow(_count_words(shards), arrays.BLOCK_DDL), shards)
              .mapInArrow(_merge_words(folder), "shard int, path string, n long, total long").collect())
     vocab: list = [None] * shards
     sizes = [0] * shards
@@ -269,7 +269,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 25
     if not words:
         return model
 
-    got = staged(src.mapInArrow(_count_pairs(model, shards), arrays.BLOCK_DDL).repartition(shards, "shard")
+    got = staged(arrays.to_shards(src.mapInArrow(_count_pairs(model, shards), arrays.BLOCK_DDL), shards)
                  .mapInArrow(_merge_pairs(model, folder), _MERGED_DDL), "lm-pairs")
     pairs: list = [None] * shards
     types, n = 0, np.zeros(4, np.int64)
@@ -278,7 +278,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 25
         types += r.types
         n += [r.n1, r.n2, r.n3, r.n4]
 
-    stats = (got.filter("kind >= 0").select("shard", "kind", "ids", "vals").repartition(shards, "shard")
+    stats = (arrays.to_shards(got.filter("kind >= 0").select("shard", "kind", "ids", "vals"), shards)
              .mapInArrow(_merge_stats(model, folder), "shard int, path string, n array<long>").collect())
     by_word: list = [None] * shards
     m = np.zeros(5, np.int64)

@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, -(-total // shard_values))
     folder = scratch_path(spark, "llm-frequency")
     paths: list = [None] * shards
-    for r in (reps.select("kept").mapInArrow(_count_values(shards), arrays.BLOCK_DDL).repartition(shards, "shard")
+    for r in (arrays.to_shards(reps.select("kept").mapInArrow(_count_values(shards), arrays.BLOCK_DDL), shards)
               .mapInArrow(_merge_values(folder), "shard int, path string").collect()):  # one row per shard
         paths[r.shard] = r.path
     lists = staged(reps.select("rep", "n", "kept").mapInArrow(_list_rows(paths), _LISTS), "lists")
