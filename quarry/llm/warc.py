@@ -14,9 +14,8 @@ name of its own and reports it in a manifest table; files of failed attempts
 are never in the manifest, so a lost executor changes nothing.
 
 Defined results: a null payload is an empty one; a null url is written as an
-empty target; copies of a row are written once; of rows that
-share an id but not the payload each is written, and the index keeps the one
-with the greatest digest; rows with a null id are left out, for no record can be named after
+empty target; rows that share an id are written each, and
+the index keeps the one with the greatest digest; rows with a null id are left out, for no record can be named after
 it; an empty table gives no rows; other columns
 are ignored.
 """
@@ -28,12 +27,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import staged, unique_name
+from .arrays import store_of
+from .common import bounded, staged, unique_name
 
 CRLF = b"\r\n"
 _MANIFEST = "path string, records long, bytes long"
@@ -49,14 +48,6 @@ def _page_of(rid: str) -> int:
     return int(rid.rstrip(">").rsplit(":", 1)[1])
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def decisions(pages: DataFrame, revisit_bytes: int) -> DataFrame:
     """page_id, url, payload (binary), payload_bytes, sha1, refers_to."""
     one = pages.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
@@ -65,6 +56,7 @@ def decisions(pages: DataFrame, revisit_bytes: int) -> DataFrame:
     last = (one.filter(F.col("payload_bytes") >= revisit_bytes).groupBy("sha1", "payload_bytes")
             .agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
             .filter("_n > 1").drop("_n"))
+    last = bounded(staged(last, "shared-payloads"))
     return (one.join(last, ["sha1", "payload_bytes"], "left")
             .withColumn("refers_to", F.when(F.col("_last") != F.col("page_id"), F.col("_last"))).drop("_last"))
 
@@ -97,15 +89,11 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = gz = None
         records = total = 0
-        before = None
         for b in batches:
             for r in b.to_pylist():
-                if (key := (r["page_id"], r["sha1"], r["chunk_no"])) == before:
-                    continue  # a row that repeats another
-                before = key
                 if out is None:
                     path = f"{folder}/{unique_name('part')}.warc.gz"
-                    store, at = _store(path)
+                    store, at = store_of(path)
                     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     out = store.open_output_stream(at, compression=None)
                 if r["chunk_no"] == 0:
@@ -132,7 +120,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = chunk_rows(decisions(src.filter("page_id is not null"), revisit_bytes), chunk)
-    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "sha1", "chunk_no")
+    # the chunks of a record come out of one row, so they stand in order
     return staged(rows.mapInArrow(_write(folder), _MANIFEST), "warc-manifest")
 
 
@@ -207,7 +195,7 @@ def _read(chunk: int, with_data: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                store, at = _store(path)
+                store, at = store_of(path)
                 rows, held = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for r in records_of(stream, chunk):
