@@ -115,13 +115,14 @@ def remove(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col
         .select(F.col("doc_id").alias(free_name(docs, "repeats_of")), F.struct("s", "e").alias(free_name(docs, "spans")))
     key = F.coalesce(docs[id_col].cast("long"), F.lit(2 ** 63 - 1))
     joined = docs.join(spans, key == spans[spans.columns[0]], "left").drop(spans.columns[0])
-    at, last = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, last = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if t is None or s is None else cut(t, s["s"], s["e"])
                      for t, s in zip(b.column(at).to_pylist(), b.column(last).to_pylist())]
             arrays = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return joined.mapInArrow(run, docs.schema)
