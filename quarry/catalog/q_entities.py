@@ -49,7 +49,7 @@ O.CTES.update({
             "GROUP BY lower(term)", ()),
     "dtokens": ("SELECT DISTINCT unnest(string_split_regex(text, '[ \\t\\n\\f\\r]+')) AS token "
                 "FROM documents", ()),
-    "btok": (f"SELECT * FROM {_sent_tok_sql('benchmark', 'item_id', 'text')}", ()),
+    "btok": (f"SELECT * FROM {_sent_tok_sql('documents', 'doc_id', 'text')}", ()),
     "btok_flags": ("SELECT b.*, " + ", ".join(
         f"CASE WHEN g.g_{t} = 1 THEN 'T' ELSE 'F' END AS is_{t}" for t in EN.GAZETTEER_TYPES)
         + " FROM btok b LEFT JOIN gaz g ON g.g = lower(regexp_replace(b.token, '\\(\\)$', ''))",
@@ -72,8 +72,8 @@ def _dtokens(spark, sf):
 
 
 def _btok(spark, sf):
-    b = M.table(spark, sf, "benchmark")
-    return EN.sentence_tokens(b, "item_id", "text").withColumnRenamed("item_id", "id")
+    d = M.table(spark, sf, "documents")
+    return EN.sentence_tokens(d, "doc_id", "text").withColumnRenamed("doc_id", "id")
 
 
 @register("t27_token_type", O.with_ctes(

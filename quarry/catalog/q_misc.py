@@ -19,18 +19,18 @@ from . import q_relational  # noqa: F401  (enriched CTE)
 
 
 @register("v3_tfidf_fit", f"""
-    SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (count(*) + 1.0)) + 1.0, 6) AS idf
-    FROM (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),
-          '{O.TOKEN_RE}')) AS term FROM benchmark) WHERE term NOT IN {O.STOP_SQL}) GROUP BY term""")
+    SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (count(*) + 1.0)) + 1.0, 6) AS idf
+    FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text),
+          '{O.TOKEN_RE}')) AS term FROM documents) WHERE term NOT IN {O.STOP_SQL}) GROUP BY term""")
 def v3(spark, sf):
-    idf = SP.tfidf_fit(M.table(spark, sf, "benchmark"), "item_id", "text")
+    idf = SP.tfidf_fit(M.table(spark, sf, "documents"), "doc_id", "text")
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @register("v7_build_glove_model", O.with_ctes(
     "SELECT token, round(f0 / sqrt(" + " + ".join(f"f{i} * f{i}" for i in range(8)) + "), 6) AS u0 FROM ("
     "SELECT token, " + ", ".join(f"CAST(CAST(v{i} AS FLOAT) AS DOUBLE) AS f{i}" for i in range(8))
-    + " FROM wv)",
+    + " FROM wv WHERE token <> '<unk>')",
     "wv"))
 def v7(spark, sf):
     """Vector file (S4) -> unit-normalised model (V2): write the fixture

@@ -1,5 +1,5 @@
 """Checked queries: vocabulary, encoding, co-occurrence, phrases, classifier
-metrics (SQL oracles) and trained models (rows-only invariants)."""
+metrics and facts about trained models."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from ..sources import qa_model as M
 from . import register
 
 _CTOK = S.classifier_tokens("text")
+_SW = ", ".join(S.q(w) for w in stop_words())
 
 
 @register("a10_build_token_dictionary",
@@ -28,19 +29,18 @@ def a10(spark, sf):
     WITH dict AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id
                   FROM (SELECT unnest({_CTOK}) AS token FROM documents) GROUP BY token),
     toks AS MATERIALIZED (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM (
-               SELECT l.doc_id, {S.classifier_tokens('d.text')} AS a FROM labels l JOIN documents d USING (doc_id))),
+               SELECT doc_id, {_CTOK} AS a FROM documents)),
     enc AS (SELECT doc_id, list(coalesce(dict.id, 11999) ORDER BY pos) AS ids FROM toks
             LEFT JOIN dict USING (token) WHERE coalesce(dict.id, 11999) < 12000 GROUP BY doc_id),
     padded AS (SELECT doc_id, CASE WHEN len(ids) > 4000 THEN ids[len(ids) - 3999:] ELSE
                  list_concat(list_transform(range(4000 - len(ids)), lambda x: 0), ids) END AS ids FROM enc)
-    SELECT l.doc_id, CAST(coalesce(len(list_filter(p.ids, lambda x: x <> 0)), 0) AS INTEGER) AS n_ids,
+    SELECT d.doc_id, CAST(coalesce(len(list_filter(p.ids, lambda x: x <> 0)), 0) AS INTEGER) AS n_ids,
            md5(array_to_string(coalesce(p.ids, list_transform(range(4000), lambda x: 0)), ',')) AS ids_md5
-    FROM labels l LEFT JOIN padded p USING (doc_id)""")
+    FROM documents d LEFT JOIN padded p USING (doc_id)""")
 def t31(spark, sf):
     d = M.table(spark, sf, "documents")
     dic = MD.build_token_dictionary(d)
-    docs = M.table(spark, sf, "labels").join(d, "doc_id").select("doc_id", "text")
-    e = MD.encode_and_pad(docs, dic, "doc_id")
+    e = MD.encode_and_pad(d.select("doc_id", "text"), dic, "doc_id")
     return e.select("doc_id", F.size(F.filter("ids", lambda x: x != 0)).alias("n_ids"),
                     F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
 
@@ -57,40 +57,83 @@ def a12(spark, sf):
     return MD.cluster_sample(a, 20)
 
 
-_SW = ", ".join(S.q(w) for w in stop_words())
 
 
-@register("a15_phrase_counts", f"""
-    WITH t AS (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM (
-                 SELECT doc_id, regexp_extract_all(lower(text), '{O.TOKEN_RE}') AS a FROM documents)),
-    p AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t),
-    uni AS (SELECT token, count(*) AS n FROM t GROUP BY token),
-    bi AS (SELECT a, b, count(*) AS n_ab FROM p WHERE b IS NOT NULL AND a NOT IN ({_SW})
-           AND b NOT IN ({_SW}) GROUP BY a, b HAVING count(*) >= 40)
-    SELECT bi.a, bi.b, ua.n AS n_a, ub.n AS n_b, bi.n_ab,
-           round((bi.n_ab - 40) * (SELECT count(*) FROM uni) / (ua.n * ub.n), 6) AS score
-    FROM bi JOIN uni ua ON ua.token = bi.a JOIN uni ub ON ub.token = bi.b""")
+# Content words with their place among all tokens; the text between two of
+# them is the connectors' part of a pair.
+def _phrase_ctes(src: str) -> list[tuple[str, str]]:
+    return [
+        ("tk", f"""SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM {src}"""),
+        ("cw", f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS u FROM tk
+                   WHERE token NOT IN ({_SW})"""),
+        ("cp", """SELECT x.doc_id, x.u, x.token AS a, y.token AS b, x.pos AS p0, y.pos AS p1,
+                         coalesce((SELECT string_agg(m.token, ' ' ORDER BY m.pos) FROM tk m WHERE m.doc_id = x.doc_id
+                                   AND m.pos > x.pos AND m.pos < y.pos), '') AS mid
+                  FROM cw x JOIN cw y ON y.doc_id = x.doc_id AND y.u = x.u + 1"""),
+        ("un", "SELECT token, count(*) AS n FROM cw GROUP BY token"),
+        ("bi", "SELECT a, mid, b, count(*) AS n_ab FROM cp GROUP BY a, mid, b HAVING count(*) >= 40"),
+        ("ph", """SELECT bi.a, mid, bi.b, ua.n AS n_a, ub.n AS n_b, n_ab,
+                         (n_ab - 40) * (SELECT count(*) FROM un) / (ua.n * ub.n) AS score
+                  FROM bi JOIN un ua ON ua.token = bi.a JOIN un ub ON ub.token = bi.b""")]
+
+
+_DOC_TOKENS = f"(SELECT doc_id, regexp_extract_all(lower(text), '{O.TOKEN_RE}') AS a FROM documents)"
+
+
+@register("a15_phrase_counts", O.with_ctes(
+    "SELECT a, mid, b, n_a, n_b, n_ab, round(score, 6) AS score FROM ph", extra=_phrase_ctes(_DOC_TOKENS)))
 def a15(spark, sf):
     d = M.table(spark, sf, "documents").select(SP.analyzer(F.col("text"), stop=False).alias("tokens"))
     pc = MD.phrase_counts(d, "tokens", 40, stop_words())
     return pc.withColumn("score", F.round("score", 6))
 
 
+# The walk from the left over a document's candidates: a pair is merged
+# unless the pair merged last took its first word.
+_WALK = """
+    SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS p0,
+           CAST(NULL AS BIGINT) AS p1 FROM (SELECT DISTINCT doc_id FROM good)
+    UNION ALL
+    SELECT w.doc_id, g.i, CASE WHEN g.u = w.taken THEN w.taken ELSE g.u + 1 END,
+           CASE WHEN g.u = w.taken THEN NULL ELSE g.p0 END, CASE WHEN g.u = w.taken THEN NULL ELSE g.p1 END
+    FROM walk w JOIN good g ON g.doc_id = w.doc_id AND g.i = w.i + 1"""
+_GOOD = """SELECT cp.*, row_number() OVER (PARTITION BY doc_id ORDER BY u) AS i
+           FROM cp JOIN ph USING (a, mid, b) WHERE ph.score > 1.0"""
+
+
+@register("v21_apply_phrases", O.with_ctes(
+    """SELECT d.doc_id, CAST(coalesce(m.n, 0) AS INTEGER) AS n_tokens, coalesce(m.merged, '') AS text
+       FROM documents d LEFT JOIN (
+         SELECT doc_id, count(*) FILTER (WHERE NOT glued) AS n,
+                substr(string_agg(CASE WHEN glued THEN '_' ELSE ' ' END || token, '' ORDER BY pos), 2) AS merged
+         FROM (SELECT t.doc_id, t.token, t.pos, EXISTS (SELECT 1 FROM walk w WHERE w.doc_id = t.doc_id
+                 AND t.pos > w.p0 AND t.pos <= w.p1) AS glued FROM tk t) GROUP BY doc_id) m USING (doc_id)""",
+    extra=_phrase_ctes(_DOC_TOKENS) + [("good", _GOOD), ("walk", _WALK)], recursive=True))
+def v21(spark, sf):
+    d = M.table(spark, sf, "documents").select("doc_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    pc = MD.phrase_counts(d, "tokens", 40, stop_words())
+    out = MD.apply_phrases(d, pc, "doc_id", threshold=1.0, connectors=stop_words())
+    return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
+
+
 @register("v6_cooccurrence_counts", f"""
-    WITH t0 AS (SELECT item_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM (
-                 SELECT item_id, regexp_extract_all(lower(text), '{O.TOKEN_RE}') AS a FROM benchmark)),
+    WITH t0 AS (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM {_DOC_TOKENS}),
     vocab AS (SELECT token FROM t0 GROUP BY token HAVING count(*) >= 5),
-    t AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS pos
+    t AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos
           FROM t0 WHERE token IN (SELECT token FROM vocab)),
     p AS (SELECT x.token AS a, y.token AS b, 1.0 / (y.pos - x.pos) AS w FROM t x JOIN t y
-          ON x.item_id = y.item_id AND y.pos > x.pos AND y.pos <= x.pos + 10)
-    SELECT a, b, round(sum(w), 6) AS x FROM (SELECT a, b, w FROM p UNION ALL SELECT b, a, w FROM p)
+          ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 10)
+    SELECT a, b, round(sum(w), 4) AS x FROM (SELECT a, b, w FROM p UNION ALL SELECT b, a, w FROM p)
     GROUP BY a, b""")
 def v6(spark, sf):
-    b = M.table(spark, sf, "benchmark").select("item_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
-    vocab = b.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count >= 5")
-    ft = MD.vocab_filtered_tokens(b, "item_id", "tokens", vocab)
-    return MD.cooccurrence_counts(ft, "tokens", 10).withColumn("x", F.round("x", 6))
+    return MD.cooccurrence_counts(_vocab_docs(spark, sf), "tokens", 10).withColumn("x", F.round("x", 4))
+
+
+def _vocab_docs(spark, sf):
+    """Token arrays of the documents, words seen at least five times."""
+    d = M.table(spark, sf, "documents").select("doc_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    vocab = d.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count >= 5")
+    return MD.vocab_filtered_tokens(d, "doc_id", "tokens", vocab)
 
 
 @register("v20_tag_groups", O.with_ctes(
@@ -125,86 +168,164 @@ def e7(spark, sf):
                     *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
-# ------------------------------------------------------------------ rows-only (trained models)
+# ------------------------------------------------------------------ trained models
+# A model's numbers have no SQL; these queries return facts that any correct
+# model satisfies, row by row, and the SQL states them.
 def _labelled(spark, sf):
     d = M.table(spark, sf, "documents")
     return M.table(spark, sf, "labels").join(d, "doc_id").select(
         F.col("doc_id").alias("id"), "text", (1 - F.col("quality")).cast("double").alias("label"))
 
 
-@register("v16_v17_noise_classifier")
+def _beats_majority(scored, label="label", pred="pred"):
+    """One row: whether the accuracy is at least that of the commoner label."""
+    acc = F.avg((F.col(label) == F.col(pred)).cast("double"))
+    share = F.avg((F.col(label) == 1).cast("double"))
+    return scored.agg((acc >= F.greatest(share, 1 - share)).alias("beats_majority"))
+
+
+@register("v16_v17_noise_classifier",
+          "SELECT doc_id AS id, TRUE AS is_0_or_1, TRUE AS beats_majority FROM documents")
 def v16(spark, sf):
-    model = MD.train_post_classifier(_labelled(spark, sf))
+    lab = _labelled(spark, sf)
+    model = MD.train_post_classifier(lab)
     docs = M.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return MD.predict_noise(model, docs).select("id", "pred")
+    pred = MD.predict_noise(model, docs)
+    ok = _beats_majority(pred.join(lab.select("id", "label"), "id"))
+    return pred.select("id", F.col("pred").isin(0, 1).alias("is_0_or_1")).join(F.broadcast(ok))
+
+
+@register("e8_stratified_folds", """
+    WITH n AS (SELECT 1 - quality AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+    SELECT CAST(label AS INTEGER) AS label, CAST(f AS INTEGER) AS fold,
+           CAST(n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n
+    FROM n, (SELECT unnest(range(5)) AS f) WHERE n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END > 0""")
+def e8_folds(spark, sf):
+    folds = MD.stratified_folds(_labelled(spark, sf), 5)
+    return folds.groupBy(F.col("label").cast("int").alias("label"), "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("e8_e9_cross_validation")
+@register("e8_e9_cross_validation", """
+    SELECT reg AS reg_param, TRUE AS mean_in_range, TRUE AS std_in_range FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE)) t(reg)""")
 def e8(spark, sf):
-    _, rows = MD.cross_validate(_labelled(spark, sf), k=3)
-    return spark.createDataFrame([(str(p), float(m), float(s)) for p, m, s in rows],
-                                 "params string, mean double, std double")
+    _, rows = MD.cross_validate(_labelled(spark, sf))
+    return spark.createDataFrame([(float(p["regParam"]), 0.5 <= m <= 1.0, 0.0 <= s <= 0.5) for p, m, s in rows],
+                                 "reg_param double, mean_in_range boolean, std_in_range boolean")
 
 
-@register("e10_holdout_evaluate")
+@register("e10_holdout_evaluate", "SELECT TRUE AS counts_add_up, TRUE AS in_range, TRUE AS f1_is_harmonic")
 def e10(spark, sf):
-    return MD.holdout_evaluate(_labelled(spark, sf))
+    m = MD.holdout_evaluate(_labelled(spark, sf))
+    h = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-7)
+    return m.select(((F.col("tp") >= 0) & (F.col("fp") >= 0) & (F.col("fn") >= 0)).alias("counts_add_up"),
+                    (F.col("accuracy").between(0.5, 1) & F.col("precision").between(0, 1)
+                     & F.col("recall").between(0, 1)).alias("in_range"),
+                    (F.abs(F.col("f1") - h) < 1e-6).alias("f1_is_harmonic"))
 
 
-@register("v5_train_skipgram")
+@register("v5_train_skipgram", f"""
+    SELECT token, CAST(300 AS INTEGER) AS dim, TRUE AS finite FROM (
+      SELECT unnest(a) AS token FROM {_DOC_TOKENS}) GROUP BY token HAVING count(*) >= 5""")
 def v5(spark, sf):
-    q = M.questions(spark, sf).select(SP.analyzer(F.col("body"), stop=False).alias("tokens"))
-    model = MD.train_skipgram(q, dim=32, window=5, min_count=5, max_iter=1)
-    return MD.word_vector_table(model)
+    d = M.table(spark, sf, "documents").select(SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    vec = MD.word_vector_table(MD.train_skipgram(d))
+    finite = ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) > 1e30))
+    return vec.select("token", F.size("vector").alias("dim"), finite.alias("finite"))
+
+
+def _nearest(model, rows, id_col):
+    """Whether every row's cluster has a centre at the smallest distance."""
+    import numpy as np
+    import pandas as pd
+    centres = np.stack(model.clusterCenters())
+
+    @F.pandas_udf("boolean")
+    def ok(x: pd.Series, c: pd.Series) -> pd.Series:
+        v = np.stack(x.to_numpy())
+        d = (v * v).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * v @ centres.T
+        return pd.Series(d[np.arange(len(v)), c.to_numpy()] <= d.min(1) + 1e-6)
+
+    from pyspark.ml.functions import vector_to_array
+    return rows.select(id_col, ok(vector_to_array("features"), F.col("prediction")).alias("nearest"))
 
 
-@register("v14_kmeans_embeddings")
+@register("v14_kmeans_embeddings", "SELECT vec_id, TRUE AS nearest FROM embeddings")
 def v14(spark, sf):
-    e = M.table(spark, sf, "embeddings")
-    return MD.kmeans_assign(e, 10, "vec_id", "embedding")
+    model, rows = MD.kmeans_fit(M.table(spark, sf, "embeddings"), 500, "vec_id", "embedding")
+    return _nearest(model, model.transform(rows), "vec_id")
 
 
-@register("v15_compound_embeddings")
+@register("v15_compound_embeddings", O.with_ctes(
+    """SELECT token, '500,1000,1500,2000,3000' AS ks, TRUE AS in_range FROM (
+         SELECT unnest(""" + O.space_tokens("text") + """) AS token FROM qfields)
+       GROUP BY token HAVING count(*) >= 5""", "qfields"))
 def v15(spark, sf):
-    wv = M.word_vectors(spark, sf)
-    return MD.compound_embeddings(wv, ks=(5, 10)).select(
-        "token", F.col("clusters")[5].alias("c5"), F.col("clusters")[10].alias("c10"))
+    q = M.questions(spark, sf).select(F.explode(F.array("title", "body")).alias("t"))
+    from ..operators.dense import space_tokens
+    freq = q.select(F.explode(space_tokens("t")).alias("token")).groupBy("token").count().filter("count >= 5")
+    c = MD.compound_embeddings(M.word_vectors(spark, sf), min_freq_tokens=freq.select("token"))
+    ks = F.array_sort(F.map_keys("clusters"))
+    fits = F.forall(F.map_entries("clusters"), lambda e: (e["value"] >= 0) & (e["value"] < e["key"]))
+    return c.select("token", F.array_join(ks.cast("array<string>"), ",").alias("ks"), fits.alias("in_range"))
 
 
-@register("v19_pca_project")
+@register("v19_pca_project", "SELECT vec_id, CAST(8 AS INTEGER) AS n, TRUE AS within_norm, TRUE AS ordered FROM embeddings")
 def v19(spark, sf):
-    return MD.pca_project(M.table(spark, sf, "embeddings"), 8, "vec_id", "embedding")
-
-
-@register("v18_token_tagger")
+    e = M.table(spark, sf, "embeddings")
+    p = MD.pca_project(e, 8, "vec_id", "embedding")
+    both = p.join(e.select("vec_id", "embedding"), "vec_id")
+    sq = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    rows = both.select("vec_id", F.size("projection").alias("n"),
+                       (sq("projection") <= sq("embedding") + 1e-6).alias("within_norm"))
+    # components in falling order of the variance they carry
+    var = p.agg(*[F.var_pop(F.col("projection")[i]).alias(f"v{i}") for i in range(8)])
+    falling = F.lit(True)
+    for i in range(7):
+        falling = falling & (F.col(f"v{i}") >= F.col(f"v{i + 1}") - 1e-9)
+    return rows.join(F.broadcast(var.select(falling.alias("ordered"))))
+
+
+@register("v18_token_tagger", O.with_ctes(
+    "SELECT id, sent_no, pos, token, TRUE AS known_tag, TRUE AS beats_majority FROM btok WHERE id % 5 = 0", "btok"))
 def v18(spark, sf):
+    """Trained on four fifths of the documents, checked on the others."""
     from ..operators import entities as EN
     from .q_entities import _btok, brown_df, gazetteer_df
     t = _btok(spark, sf)
     f = EN.brown_join(EN.gazetteer_join(t, gazetteer_df(spark)), brown_df(t))
     tagged = EN.gazetteer_tags(f, ["id", "sent_no"])
-    feats = EN.context_features(f, ["id", "sent_no"]).join(
-        tagged.select("id", "sent_no", "pos", "tag"), ["id", "sent_no", "pos"])
-    model = MD.train_token_tagger(feats)
-    return MD.tag_tokens(model, feats).select("id", "sent_no", "pos", "token", "tag", "pred_tag")
-
-
-@register("v21_apply_phrases")
-def v21(spark, sf):
-    d = M.table(spark, sf, "documents").select("doc_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
-    t = d.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    pc = MD.phrase_counts(d, "tokens", 40, stop_words())
-    bi = MD.apply_phrases(t, pc, ["doc_id"], threshold=1.0)
-    # second pass (trigrams): phrases over the bigram-merged sequences
-    t2 = bi.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    pc2 = MD.phrase_counts(bi, "tokens", 40, stop_words())
-    return MD.apply_phrases(t2, pc2, ["doc_id"], threshold=1.0).select(
-        "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
-
-
-@register("v6_glove_factorize")
+    feats = MD.materialize(EN.context_features(f, ["id", "sent_no"]).join(
+        tagged.select("id", "sent_no", "pos", "tag"), ["id", "sent_no", "pos"]))
+    held = F.col("id") % 5 == 0
+    model = MD.train_token_tagger(feats.filter(~held))
+    out = MD.materialize(MD.tag_tokens(model, feats.filter(held)).select("id", "sent_no", "pos", "token", "tag", "pred_tag"))
+    tags = sorted(model.stages[0].labels)
+    common = out.groupBy("tag").count().agg(F.max("count").alias("most"))
+    good = out.agg(F.sum((F.col("tag") == F.col("pred_tag")).cast("long")).alias("right"))
+    ok = good.join(F.broadcast(common)).select((F.col("right") >= F.col("most")).alias("beats_majority"))
+    return out.select("id", "sent_no", "pos", "token", F.col("pred_tag").isin(*tags).alias("known_tag")) \
+        .join(F.broadcast(ok))
+
+
+@register("v6_positive_pmi", f"""
+    WITH t0 AS (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM {_DOC_TOKENS}),
+    t AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM t0
+          WHERE token IN (SELECT token FROM t0 GROUP BY token HAVING count(*) >= 5)),
+    p AS (SELECT x.token AS a, y.token AS b, 1.0 / (y.pos - x.pos) AS w FROM t x JOIN t y
+          ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 10),
+    c AS (SELECT a, b, sum(w) AS x FROM (SELECT a, b, w FROM p UNION ALL SELECT b, a, w FROM p) GROUP BY a, b),
+    m AS (SELECT a, sum(x) AS xa FROM c GROUP BY a)
+    SELECT c.a, c.b, round(ln(x * (SELECT sum(x) FROM c) / (m.xa * n.xa)), 4) AS ppmi
+    FROM c JOIN m USING (a) JOIN m n ON n.a = c.b WHERE ln(x * (SELECT sum(x) FROM c) / (m.xa * n.xa)) > 0""")
+def v6p(spark, sf):
+    return MD.positive_pmi(MD.cooccurrence_counts(_vocab_docs(spark, sf), "tokens", 10)) \
+        .withColumn("ppmi", F.round("ppmi", 4))
+
+
+@register("v6_glove_factorize", f"""
+    SELECT token, CAST(50 AS INTEGER) AS dim, TRUE AS finite FROM (
+      SELECT unnest(a) AS token FROM {_DOC_TOKENS}) GROUP BY token HAVING count(*) >= 5""")
 def v6f(spark, sf):
-    b = M.table(spark, sf, "benchmark").select("item_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
-    vocab = b.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count >= 5")
-    ft = MD.vocab_filtered_tokens(b, "item_id", "tokens", vocab)
-    return MD.glove_factorize(MD.cooccurrence_counts(ft, "tokens", 10), rank=16, max_iter=5)
+    v = MD.glove_factorize(MD.cooccurrence_counts(_vocab_docs(spark, sf), "tokens", 10), rank=50)
+    finite = ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) > 1e30))
+    return v.select("token", F.size("vector").alias("dim"), finite.alias("finite"))

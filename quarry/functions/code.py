@@ -104,9 +104,10 @@ def replace_code_with_tokens(html) -> Column:
     pieces = F.split(_c(html), r"(?i)<pre[^>]*>")
 
     def piece(p, i):
-        pos = F.instr(p, "</pre>")
-        code = F.when(pos > 0, F.substring_index(p, "</pre>", 1)).otherwise(p)
+        # the closing tag in any case, as the opening one
+        pos = F.instr(F.regexp_replace(p, "(?i)</pre>", "</pre>"), "</pre>")
+        code = F.when(pos > 0, p.substr(F.lit(1), pos - 1)).otherwise(p)
         return F.when(i == 0, p).otherwise(F.concat_ws(
             " ", F.array_join(code_token_strings(unescape(F.regexp_replace(code, "<[^>]*>", " "))), " "),
-            F.when(pos > 0, p.substr(pos + 6, F.lit(1 << 30))).otherwise(F.lit(""))))
+            F.when(pos > 0, p.substr(pos + 6, F.length(p))).otherwise(F.lit(""))))
     return F.array_join(F.transform(pieces, piece), " ")

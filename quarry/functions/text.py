@@ -9,7 +9,7 @@ RE2 so the SQL oracle reads them the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- fixed values
@@ -176,6 +176,14 @@ def remove_long_strings(text) -> Column:
     return squeeze_spaces(t)
 
 
+def remove_long_strings_list(text) -> Column:
+    """T10, list form: binary runs, dotted names and any run of 30 or more
+    non-space characters are deleted; nothing is put in their place."""
+    t = F.regexp_replace(_c(text), BINARY_RUN_RE, "")
+    t = F.regexp_replace(t, LONG_PACKAGE_RE, "")
+    return F.regexp_replace(t, r"[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]{30,}", "")
+
+
 def filter_corpus_text(text) -> Column:
     """T9 then T10 (the corpus filter step)."""
     return remove_long_strings(remove_stacktraces(text))
@@ -251,9 +259,18 @@ def parse_tags(tags) -> Column:
 
 
 def parse_tags_without(tags, topic: str) -> Column:
-    """T23 variant: the tag list minus the topic tag; ['<unk>'] when nothing is left."""
-    arr = F.array_remove(parse_tags(tags), topic)
-    return F.when(F.size(arr) == 0, F.array(F.lit("<unk>"))).otherwise(arr)
+    """T23 variant: the tag list minus the topic tag; a row with no other tag
+    has an empty list (see ``tag_lists`` for the empty table)."""
+    return F.array_remove(parse_tags(tags), topic)
+
+
+def tag_lists(df: DataFrame, topic: str, tags_col: str = "tags") -> DataFrame:
+    """T23 over a table: one tag list per row, and the single list ['<unk>']
+    when the table has no rows at all."""
+    lists = df.select(parse_tags_without(tags_col, topic).alias("tags"))
+    some = lists.limit(1).agg(F.count(F.lit(1)).alias("n"))  # one row
+    unk = some.filter("n = 0").select(F.array(F.lit("<unk>")).alias("tags"))
+    return lists.unionByName(unk)
 
 
 def parse_entities(ents) -> Column:
@@ -292,8 +309,8 @@ def emoticon_label(text) -> Column:
 
 
 # Emoticon patterns (fixed values): eyes, optional nose, mouth.
-HAPPY_RE = r"(?:[:=;8xX]['\-o^]?[)\]}>dDpP3*])|(?:[(\[<{][\-o^]?[:=;8])|\^_\^|<3"
-SAD_RE = r"(?:[:=;8]['\-o^]?[(\[{<|/\\])|(?:[)\]}>|\\/][\-o^]?[:=;8])|:'\("
+HAPPY_RE = r"\^_\^|[:=8](?:|o|O|-)[D)\]]"
+SAD_RE = r"[:=8](?:|o|O|-)[(\[]"
 
 # Social/software tokenizer (T19): emoticons, URLs, e-mail, hashtags,
 # mentions, times, numbers, API forms, w(s) plurals and operators stay whole.

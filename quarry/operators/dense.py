@@ -23,7 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import block_count, materialize, reuse
+from ..plans.strategy import block_count, materialize
 from .sparse import rank_results
 
 
@@ -111,23 +111,43 @@ def mean_unit_vector(token_vectors: DataFrame, keys: list[str],
     return m.select(*keys, vector_to_array("_m").alias("vector"))
 
 
+# White space of a text that is split into vector tokens: every Unicode space.
+SPACE_PATTERN = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+"
+
+
+def space_tokens(text) -> Column:
+    """The white-space separated tokens of a text; a null or blank text has none."""
+    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), SPACE_PATTERN), lambda t: t != "")
+
+
+def unit_vocabulary(word_vectors: DataFrame) -> DataFrame:
+    """(token, vector) with every vector of unit length."""
+    return word_vectors.select("token", unit_normalize("vector").alias("vector"))
+
+
 def doc_vectors(docs: DataFrame, word_vectors: DataFrame, id_col: str, text_col: str = "text",
-                field_col: str | None = "field", oov: str = "skip",
+                field_col: str | None = "field", oov: str = "unk",
                 unk_token: str = "<unk>") -> DataFrame:
-    """V8/V13 (dense): (id, [field,] vector) = mean unit word vector of the
-    analyzer tokens.  Token occurrences are first counted per document, so the
-    join with the vocabulary moves one row per distinct (document, token), and
-    the mean is weighted by the counts.  oov='unk' gives token-less texts the
-    unk vector."""
-    from .sparse import term_counts
+    """A9/V8/V13 (dense): (id, [field,] vector) = mean of the unit vectors of
+    all white-space tokens of the text; a token without a vector counts as the
+    unk vector, and a text without tokens is the unk vector.  oov='skip' leaves
+    missing tokens, and texts without a known token, out.
+
+    Tokens of a text stay in their task up to the partial mean, so with a
+    vocabulary small enough to broadcast one partial row per (document, field)
+    is shuffled."""
     keys = [id_col] + ([field_col] if field_col else [])
-    tf = reuse(term_counts(docs, id_col, text_col, field_col)).withColumnRenamed("term", "token")
-    tv = lookup_vectors(tf, word_vectors, oov="skip")
-    out = mean_unit_vector(tv, keys, "vector", "tf")
-    if oov == "unk":
-        missing = docs.select(*keys).join(out.select(*keys), keys, "left_anti")
-        out = out.unionByName(missing.withColumn("vector", unk_literal(word_vectors, unk_token, True)))
-    return out
+    tokens = docs.select(*keys, F.explode_outer(space_tokens(text_col)).alias("token"))
+    if oov == "skip":
+        tokens = tokens.filter(F.col("token").isNotNull())
+    vocabulary = checked_vector_broadcast(unit_vocabulary(word_vectors).select(F.col("token").alias("_t"), "vector"))
+    found = tokens.join(vocabulary, tokens["token"] == vocabulary["_t"], "left").select(*keys, "vector")
+    if oov == "skip":
+        found = found.filter(F.col("vector").isNotNull())
+    else:
+        found = found.select(*keys, F.coalesce("vector", unk_literal(word_vectors, unk_token, True)).alias("vector"))
+    means = found.groupBy(*keys).agg(Summarizer.mean(array_to_vector("vector")).alias("_m"))
+    return means.select(*keys, vector_to_array("_m").alias("vector"))
 
 
 def field_concat(index: DataFrame, id_col: str, fields: list[str],
@@ -144,6 +164,17 @@ def field_concat(index: DataFrame, id_col: str, fields: list[str],
     return g.select(id_col, F.concat(*parts).alias("vec"))
 
 
+# Bytes of the score matrix that a task holds at a time.
+SCORE_BYTES = 32 << 20
+
+
+def score_slices(n_queries: int, n_items: int, budget_bytes: int = SCORE_BYTES) -> list[slice]:
+    """Slices of the query rows so that scores against ``n_items`` items fit
+    the budget (one row at least)."""
+    step = max(1, budget_bytes // (8 * max(1, n_items)))
+    return [slice(a, min(a + step, n_queries)) for a in range(0, n_queries, step)]
+
+
 def _tag_mask(qtags, itags) -> np.ndarray | None:
     """Allowed (query, item) pairs: the item's tags overlap the query's tags;
     a query without tags allows every item.  None when nothing is filtered."""
@@ -166,53 +197,75 @@ def _tag_mask(qtags, itags) -> np.ndarray | None:
     return allowed
 
 
+def _best(scores: np.ndarray, pids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best finite scores of a row, by (score desc, id asc):
+    a partial selection finds the k-th score, and only columns at or above it
+    are sorted."""
+    if len(scores) > k:
+        kth = scores[np.argpartition(-scores, k - 1)[k - 1]]
+        cand = np.flatnonzero(scores >= kth)
+    else:
+        cand = np.arange(len(scores))
+    cand = cand[np.isfinite(scores[cand])]
+    return cand[np.lexsort((pids[cand], -scores[cand]))[:k]]
+
+
+class _Scorer:
+    """Scores query rows against item batches in bounded slices, and keeps the
+    k best per query or yields the pairs over a threshold."""
+
+    def __init__(self, qids, Q, qtags, k, threshold, exclude_self, round_to):
+        self.qids, self.Q, self.qtags = qids, Q, qtags
+        self.k, self.threshold, self.exclude_self, self.round_to = k, threshold, exclude_self, round_to
+        self.best: list = [(np.empty(0), np.empty(0, np.int64))] * len(qids)
+
+    def add(self, pids, D, itags):
+        """Yields frames of pairs over the threshold; top-k rows are kept."""
+        for rows in score_slices(len(self.qids), len(pids)):
+            S = np.round(self.Q[rows] @ D.T, self.round_to)
+            if self.exclude_self:
+                S[self.qids[rows, None] == pids[None, :]] = -np.inf
+            if self.qtags is not None:
+                mask = _tag_mask(self.qtags[rows], itags)
+                if mask is not None:
+                    S[~mask] = -np.inf
+            if self.threshold is not None:
+                r, c = np.nonzero(S > self.threshold)
+                yield pd.DataFrame({"qid": self.qids[rows][r], "pid": pids[c], "sim": S[r, c]})
+                continue
+            for i in range(S.shape[0]):
+                top = _best(S[i], pids, self.k)
+                s0, p0 = self.best[rows.start + i]
+                s, p = np.concatenate([s0, S[i, top]]), np.concatenate([p0, pids[top]])
+                keep = np.lexsort((p, -s))[:self.k]
+                self.best[rows.start + i] = (s[keep], p[keep])
+
+    def result(self) -> pd.DataFrame:
+        if not len(self.qids):
+            return pd.DataFrame({"qid": np.empty(0, np.int64), "pid": np.empty(0, np.int64), "sim": np.empty(0)})
+        return pd.DataFrame({"qid": np.repeat(self.qids, [len(s) for s, _ in self.best]),
+                             "pid": np.concatenate([p for _, p in self.best]),
+                             "sim": np.concatenate([s for s, _ in self.best])})
+
+
+def _matrix(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["vec"].to_numpy()).astype(np.float64)
+
+
+def _tags_of(frame: pd.DataFrame) -> list | None:
+    return [list(t) if t is not None else None for t in frame["tags"]] if "tags" in frame.columns else None
+
+
 def _knn_blocks(q: pd.DataFrame, it: pd.DataFrame, k: int | None, threshold: float | None,
                 exclude_self: bool, round_to: int) -> pd.DataFrame:
     empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "pid": pd.Series([], dtype="int64"),
                           "sim": pd.Series([], dtype="float64")})
     if len(q) == 0 or len(it) == 0:
         return empty
-    Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-    D = np.stack(it["vec"].to_numpy()).astype(np.float64)
-    qids = q["qid"].to_numpy(np.int64)
-    pids = it["pid"].to_numpy(np.int64)
-    S = np.round(Q @ D.T, round_to)
-    if exclude_self:
-        S[qids[:, None] == pids[None, :]] = -np.inf
-    if "tags" in q.columns and "tags" in it.columns:
-        mask = _tag_mask(list(q["tags"]), list(it["tags"]))
-        if mask is not None:
-            S[~mask] = -np.inf
-    if threshold is not None:
-        r, c = np.nonzero(S > threshold)
-        return pd.DataFrame({"qid": qids[r], "pid": pids[c], "sim": S[r, c]})
-    kk = min(k, D.shape[0])
-    out_q, out_p, out_s = [], [], []
-    order_p = np.argsort(pids, kind="stable")
-    S2 = S[:, order_p]
-    p_sorted = pids[order_p]
-    for i in range(Q.shape[0]):
-        row = S2[i]
-        # stable sort on -sim keeps ascending pid order among equal sims
-        top = np.argsort(-row, kind="stable")[:kk]
-        top = top[np.isfinite(row[top])]
-        out_q.append(np.full(len(top), qids[i], dtype=np.int64))
-        out_p.append(p_sorted[top])
-        out_s.append(row[top])
-    if not out_q:
-        return empty
-    return pd.DataFrame({"qid": np.concatenate(out_q), "pid": np.concatenate(out_p),
-                         "sim": np.concatenate(out_s)})
-
-
-def _topk_merge(best_s, best_p, S, pids, k):
-    """Merge a block of scores into the running top-k per query row, order
-    (sim desc, pid asc)."""
-    P = np.broadcast_to(pids, S.shape)
-    cs = S if best_s is None else np.concatenate([best_s, S], axis=1)
-    cp = P if best_p is None else np.concatenate([best_p, P], axis=1)
-    order = np.lexsort((cp, -cs), axis=1)[:, :k]
-    return np.take_along_axis(cs, order, axis=1), np.take_along_axis(cp, order, axis=1)
+    qtags = _tags_of(q) if "tags" in it.columns else None
+    sc = _Scorer(q["qid"].to_numpy(np.int64), _matrix(q), qtags, k, threshold, exclude_self, round_to)
+    found = list(sc.add(it["pid"].to_numpy(np.int64), _matrix(it), _tags_of(it)))
+    return pd.concat([empty, *found]) if threshold is not None else sc.result()
 
 
 def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
@@ -220,39 +273,24 @@ def broadcast_knn(queries: DataFrame, items: DataFrame, k: int | None = None,
                   round_to: int = 6) -> DataFrame:
     """Small query side: its matrix is broadcast (the caller checked its
     size), the items are streamed partition by partition with no shuffle;
-    each partition keeps a running top-k per query (or the pairs over the
-    threshold), so it emits at most |queries| x k rows."""
+    each partition keeps a running top-k per query (or yields the pairs over
+    the threshold), so it emits at most |queries| x k rows.  Scores exist in
+    slices of ``SCORE_BYTES`` only."""
     spark = queries.sparkSession
     tagged = "tags" in queries.columns and "tags" in items.columns
     qp = queries.select("qid", "vec", *(["tags"] if tagged else [])).toPandas()
     qids = qp["qid"].to_numpy(np.int64)
-    Q = np.stack(qp["vec"].to_numpy()).astype(np.float64) if len(qp) else np.zeros((0, 0))
-    qtags = [list(t) if t is not None else None for t in qp["tags"]] if tagged else None
-    bq = spark.sparkContext.broadcast((qids, Q, qtags))
+    Q = _matrix(qp) if len(qp) else np.zeros((0, 0))
+    bq = spark.sparkContext.broadcast((qids, Q, _tags_of(qp) if tagged else None))
 
     def fn(batches):
         qids_, Q_, qtags_ = bq.value
-        best_s = best_p = None
+        sc = _Scorer(qids_, Q_, qtags_, k, threshold, exclude_self, round_to)
         for pdf in batches:
-            if len(pdf) == 0 or len(qids_) == 0:
-                continue
-            D = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            pids = pdf["pid"].to_numpy(np.int64)
-            S = np.round(Q_ @ D.T, round_to)
-            if exclude_self:
-                S[qids_[:, None] == pids[None, :]] = -np.inf
-            if qtags_ is not None:
-                mask = _tag_mask(qtags_, list(pdf["tags"]))
-                if mask is not None:
-                    S[~mask] = -np.inf
-            if threshold is not None:
-                r, c = np.nonzero(S > threshold)
-                yield pd.DataFrame({"qid": qids_[r], "pid": pids[c], "sim": S[r, c]})
-            else:
-                best_s, best_p = _topk_merge(best_s, best_p, S, pids, k)
-        if threshold is None and best_s is not None:
-            r, c = np.nonzero(np.isfinite(best_s))
-            yield pd.DataFrame({"qid": qids_[r], "pid": best_p[r, c], "sim": best_s[r, c]})
+            if len(pdf) and len(qids_):
+                yield from sc.add(pdf["pid"].to_numpy(np.int64), _matrix(pdf), _tags_of(pdf))
+        if threshold is None:
+            yield sc.result()
 
     cols = [F.col("pid").cast("long"), "vec"] + (["tags"] if tagged else [])
     return items.select(*cols).mapInPandas(fn, "qid long, pid long, sim double")
@@ -283,11 +321,15 @@ def block_pairs_join(queries: DataFrame, items: DataFrame, k: int | None = None,
     into hash blocks and every (query block, item block) pair meets in one
     cogroup."""
     # both sides are reused (count, then the join): materialise once
-    # (an input that is already a materialised plan hits the memo)
-    queries, items = materialize(queries), materialize(items)
-    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    same = items is queries
+    queries = materialize(queries)
+    items = queries if same else materialize(items)
+    sizes = [F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")]
+    if "tags" in queries.columns:
+        sizes.append(F.sum(F.octet_length(F.array_join("tags", "")) + 64 * F.size("tags")).alias("t"))
+    st = queries.agg(*sizes).first().asDict()
     nq = n_queries if n_queries is not None else st["n"]
-    if nq * 8 * (st["d"] or 0) <= broadcast_bytes:
+    if nq * 8 * (st["d"] or 0) + (st.get("t") or 0) <= broadcast_bytes:
         return broadcast_knn(queries, items, k, threshold, exclude_self, round_to)
     if block_rows is None:
         block_rows = derived_block_rows(st["d"] or 1)

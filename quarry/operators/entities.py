@@ -160,7 +160,7 @@ def merge_bio_spans(tagged: DataFrame, seq_keys: list[str], legacy_gap: bool = F
     (standard BIO; an O resets).  With ``legacy_gap`` an I-x continues the
     last entity of type x even across O tokens."""
     w = Window.partitionBy(*seq_keys).orderBy("pos")
-    typ = F.when(F.col("tag") != "O", F.substring("tag", 3, 1 << 20))
+    typ = F.when(F.col("tag") != "O", F.col("tag").substr(F.lit(3), F.length("tag")))
     t = tagged.withColumn("_t", typ)
     if legacy_gap:
         prev = F.last("_t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))

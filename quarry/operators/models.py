@@ -63,68 +63,93 @@ def cluster_sample(assign: DataFrame, n: int = 20, cluster_col: str = "cluster",
     return assign.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
 
 
+def content_pairs(tokens: Column, connectors: tuple[str, ...] = ()) -> Column:
+    """Array of (a, mid, b, start, end) for neighbouring content words of a
+    token array: connector words stand between them (``mid``, joined by
+    spaces) and never start or end a pair; start and end are positions."""
+    placed = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
+                      lambda x: ~x["t"].isin(*connectors) if connectors else F.lit(True))
+    bound = F.transform(F.array(placed), lambda u: F.zip_with(
+        F.slice(u, F.lit(1), F.greatest(F.size(u) - 1, F.lit(0))),
+        F.slice(u, F.lit(2), F.greatest(F.size(u) - 1, F.lit(0))),
+        lambda x, y: F.struct(
+            x["t"].alias("a"),
+            F.array_join(F.slice(tokens, x["i"] + 2, y["i"] - x["i"] - 1), " ").alias("mid"),
+            y["t"].alias("b"), x["i"].alias("start"), y["i"].alias("end"))))
+    return F.get(bound, F.lit(0))
+
+
 def phrase_counts(docs: DataFrame, tokens_col: str = "tokens", min_count: int = 40,
                   stop: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, n_a, n_b, n_ab, score) for adjacent token pairs, stop words
-    never start or end a pair; score = (n_ab - min_count) * V / (n_a * n_b)
-    with V the number of distinct tokens; pairs with n_ab >= min_count.
+    """(a, mid, b, n_a, n_b, n_ab, score) for neighbouring content words;
+    stop words connect a pair ("state of the art") instead of ending it and are
+    not counted themselves; score = (n_ab - min_count) * V / (n_a * n_b) with V
+    the number of distinct content words; pairs with n_ab >= min_count.
 
     ``docs`` holds one token array per sequence: pairs are formed inside each
-    row (the array zipped with itself shifted by one), so tokens are never
-    shuffled by sequence; only the two counting aggregations shuffle, after
-    map-side combining."""
+    row, so tokens are never shuffled by sequence; only the two counting
+    aggregations shuffle, after map-side combining."""
     toks = F.col(tokens_col)
-    n = F.size(toks)
-    adj = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))),
-                     F.slice(toks, 2, F.greatest(n - 1, F.lit(0))),
-                     lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    pairs = docs.select(F.inline(adj))
+    pairs = docs.select(F.inline(content_pairs(toks, tuple(stop)))).select("a", "mid", "b")
+    words = docs.select(F.explode(toks).alias("token"))
     if stop:
-        pairs = pairs.filter(~F.col("a").isin(*stop) & ~F.col("b").isin(*stop))
+        words = words.filter(~F.col("token").isin(*stop))
     # unigram counts are used three times (vocabulary size, two joins):
     # materialised once (vocabulary-sized)
-    uni = materialize(docs.select(F.explode(toks).alias("token")).groupBy("token")
-                      .agg(F.count(F.lit(1)).alias("n")))
+    uni = materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     vocab = uni.count()
-    bi = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)
+    bi = pairs.groupBy("a", "mid", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)
     ua = uni.select(F.col("token").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("token").alias("b"), F.col("n").alias("n_b"))
     j = bi.join(ua, "a").join(ub, "b")
-    return j.select("a", "b", "n_a", "n_b", "n_ab",
+    return j.select("a", "mid", "b", "n_a", "n_b", "n_ab",
                     ((F.col("n_ab") - min_count) * F.lit(float(vocab)) / (F.col("n_a") * F.col("n_b")))
                     .alias("score"))
 
 
-def apply_phrases(tokens: DataFrame, phrases: DataFrame, seq_keys: list[str],
-                  threshold: float = 10.0, joiner: str = "_") -> DataFrame:
-    """Greedy left-to-right merge of scored pairs (a, b) into 'a_b'.
+def apply_phrases(docs: DataFrame, phrases: DataFrame, id_col: str, tokens_col: str = "tokens",
+                  threshold: float = 10.0, joiner: str = "_", connectors: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy left-to-right merge of pairs that score over ``threshold``
+    into one token, connectors between them included.
 
-    Pair positions are found by an equi-join with the phrase table; each
-    sequence then folds its (bounded) token list once."""
-    w = Window.partitionBy(*seq_keys).orderBy("pos")
-    adj = tokens.select(*seq_keys, "pos", F.col("token").alias("a"), F.lead("token").over(w).alias("b"))
-    good = phrases.filter(F.col("score") >= threshold).select("a", "b").distinct()
-    starts = adj.join(good, ["a", "b"], "left_semi").select(*seq_keys, "pos").withColumn("_s", F.lit(True))
-    t = tokens.join(starts, [*seq_keys, "pos"], "left")
-    seq = t.groupBy(*seq_keys).agg(F.array_sort(F.collect_list(
-        F.struct("pos", "token", F.coalesce("_s", F.lit(False)).alias("s")))).alias("l"))
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("merge"))
-
-    def step(acc, x):
-        merged = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1),
-                          F.array(F.concat(F.element_at(acc["out"], -1), F.lit(joiner), x["token"])))
-        out = F.when(acc["merge"], merged).otherwise(F.concat(acc["out"], F.array(x["token"])))
-        return F.struct(out.alias("out"), (~acc["merge"] & x["s"]).alias("merge"))
-    return seq.select(*seq_keys, F.aggregate("l", init, step)["out"].alias("tokens"))
+    Of a run of overlapping candidate pairs the first, third, fifth ... are
+    merged, which is what a walk from the left does; runs come from windows
+    over the candidates, so the work is linear in the length of a text."""
+    toks = F.col(tokens_col)
+    pairs = docs.select(id_col, F.posexplode(content_pairs(toks, tuple(connectors))).alias("u", "p")) \
+        .select(id_col, "u", "p.a", "p.mid", "p.b", "p.start", "p.end")
+    good = phrases.filter(F.col("score") > threshold).select("a", "mid", "b").distinct()
+    cand = pairs.join(good, ["a", "mid", "b"], "left_semi")
+    by_doc = Window.partitionBy(id_col).orderBy("u")
+    runs = cand.withColumn("_run", F.col("u") - F.row_number().over(by_doc))
+    place = F.row_number().over(Window.partitionBy(id_col, "_run").orderBy("u"))
+    merged = runs.withColumn("_place", place).filter(F.col("_place") % 2 == 1)
+    glued = merged.select(id_col, F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("pos"),
+                          F.lit(True).alias("_glued"))
+    rows = docs.select(id_col, F.posexplode(toks).alias("pos", "token")).join(glued, [id_col, "pos"], "left")
+    seq = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "token", F.coalesce("_glued", F.lit(False)).alias("g")))).alias("l"))
+    # a separator that no white-space token can hold stands before every new token
+    text = F.array_join(F.transform("l", lambda x: F.concat(F.when(x["g"], F.lit(joiner)).otherwise(F.lit("\n")), x["token"])), "")
+    out = seq.select(id_col, F.split(F.substring(text, F.lit(2), F.length(text)), "\n").alias(tokens_col))
+    none = docs.select(id_col).join(out.select(id_col), id_col, "left_anti")
+    return out.unionByName(none.withColumn(tokens_col, F.array().cast("array<string>")))
 
 
 # ------------------------------------------------------------------ V5 / V6 / V14 / V15 / V19
 def train_skipgram(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 300,
-                   window: int = 10, min_count: int = 5, max_iter: int = 24, seed: int = 1200):
+                   window: int = 10, min_count: int = 5, max_iter: int = 24, seed: int = 1200,
+                   partitions: int | None = None):
     """V5: MLlib Word2Vec (skip-gram, hierarchical softmax); defaults follow
     the original configuration (300 dims, window 10, min count 5, 24 epochs;
-    sub-sampling has no MLlib counterpart)."""
-    return Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter,
+    sub-sampling has no MLlib counterpart).
+
+    Training runs in as many partitions as the input has (``partitions``
+    overrides), whose models are averaged after each epoch.  MLlib keeps the
+    vocabulary x dim x 2 matrix on the driver and in every task: that, not the
+    corpus, bounds the memory (``min_count`` is the handle on it)."""
+    n = partitions or max(1, sentences.rdd.getNumPartitions())
+    return Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter, numPartitions=n,
                     seed=seed, inputCol=tokens_col, outputCol="_v").fit(sentences)
 
 
@@ -164,39 +189,60 @@ def cooccurrence_counts(docs: DataFrame, tokens_col: str, window: int = 10) -> D
     return sym.groupBy("a", "b").agg(F.sum("w").alias("x"))
 
 
-def glove_factorize(cooc: DataFrame, rank: int = 50, x_max: float = 10.0, max_iter: int = 10,
+def positive_pmi(cooc: DataFrame) -> DataFrame:
+    """(a, b, ppmi) = max(0, ln(x(a,b) * x(.,.) / (x(a,.) * x(.,b)))) of the
+    co-occurrence weights; pairs at 0 are left out.  Marginals are aggregations
+    joined on their word; the grand total is one number."""
+    cooc = materialize(cooc)
+    pa = cooc.groupBy("a").agg(F.sum("x").alias("xa"))
+    pb = cooc.groupBy("b").agg(F.sum("x").alias("xb"))
+    total = cooc.agg(F.sum("x")).first()[0] or 0.0
+    pmi = F.log(F.col("x") * F.lit(total) / (F.col("xa") * F.col("xb")))
+    return cooc.join(pa, "a").join(pb, "b").select("a", "b", pmi.alias("ppmi")).filter(F.col("ppmi") > 0)
+
+
+def glove_factorize(cooc: DataFrame, rank: int = 300, max_iter: int = 10,
                     reg: float = 0.05, seed: int = 1200) -> DataFrame:
-    """V6 (factorisation, substitute for the GloVe solver): MLlib ALS on
-    log(1 + x) of the co-occurrence counts, with GloVe's x_max weighting
-    folded into the rating ((x / x_max)^0.75 capped at 1 scales the target),
-    then word vector = user factor + item factor.  Token ids come from the
-    distributed global rank (no driver-side vocabulary)."""
+    """V6 (factorisation, substitute for the GloVe solver): MLlib ALS on the
+    positive PMI of the co-occurrence counts; word vector = user factor + item
+    factor.  Token ids come from the distributed global rank (no driver-side
+    vocabulary); words without a positive entry have no vector."""
     from pyspark.ml.recommendation import ALS
-    vocab = global_rank(cooc.select(F.col("a").alias("token")).distinct(), [F.col("token")], "tid")
-    va = vocab.select(F.col("token").alias("a"), F.col("tid").cast("int").alias("ia"))
-    vb = vocab.select(F.col("token").alias("b"), F.col("tid").cast("int").alias("ib"))
-    w = F.least(F.lit(1.0), F.pow(F.col("x") / x_max, 0.75))
-    r = cooc.join(va, "a").join(vb, "b").select("ia", "ib", (w * F.log1p("x")).alias("r"))
+    ppmi = materialize(positive_pmi(cooc))
+    vocab = materialize(global_rank(ppmi.select(F.col("a").alias("token")).distinct(), [F.col("token")], "tid")
+                        .select("token", F.col("tid").cast("int").alias("tid")))
+    va = vocab.select(F.col("token").alias("a"), F.col("tid").alias("ia"))
+    vb = vocab.select(F.col("token").alias("b"), F.col("tid").alias("ib"))
+    r = ppmi.join(va, "a").join(vb, "b").select("ia", "ib", F.col("ppmi").alias("r"))
     model = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="ia", itemCol="ib",
                 ratingCol="r", seed=seed, nonnegative=False).fit(r)
     u = model.userFactors.select(F.col("id").alias("tid"), F.col("features").alias("u"))
     v = model.itemFactors.select(F.col("id").alias("tid"), F.col("features").alias("v"))
-    j = vocab.select("token", F.col("tid").cast("int").alias("tid")).join(u, "tid").join(v, "tid")
+    j = vocab.join(u, "tid").join(v, "tid")
     return j.select("token", F.zip_with("u", "v", lambda x, y: x + y).alias("vector"))
 
 
 def kmeans_assign(vectors: DataFrame, k: int, id_col: str, vector_col: str = "vector",
                   seed: int = 1200, max_iter: int = 20) -> DataFrame:
     """MLlib KMeans (k-means|| init) and the cluster of every row."""
-    v = vectors.select(id_col, array_to_vector(vector_col).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(v)
+    model, v = kmeans_fit(vectors, k, id_col, vector_col, seed, max_iter)
     return model.transform(v).select(id_col, F.col("prediction").alias("cluster"))
 
 
-def compound_embeddings(word_vectors: DataFrame, ks=(5, 10), min_freq_tokens: DataFrame | None = None,
+def kmeans_fit(vectors: DataFrame, k: int, id_col: str, vector_col: str = "vector",
+               seed: int = 1200, max_iter: int = 20):
+    """The KMeans model and the feature rows it was fitted on."""
+    v = vectors.select(id_col, array_to_vector(vector_col).alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=max_iter).fit(v), v
+
+
+def compound_embeddings(word_vectors: DataFrame, ks=(500, 1000, 1500, 2000, 3000),
+                        min_freq_tokens: DataFrame | None = None,
                         seed: int = 1200) -> DataFrame:
-    """Token -> map(k -> cluster id) over several k."""
+    """Token -> map(k -> cluster id) over several k, for the tokens of
+    ``min_freq_tokens`` when given.  The vectors are computed once for all k."""
     wv = word_vectors if min_freq_tokens is None else word_vectors.join(min_freq_tokens, "token", "left_semi")
+    wv = materialize(wv)
     out = None
     for k in ks:
         a = kmeans_assign(wv, k, "token", seed=seed).select("token", F.lit(k).alias("k"), "cluster")

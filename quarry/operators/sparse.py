@@ -15,26 +15,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.strategy import checked_broadcast, reuse
+from ..plans.strategy import checked_broadcast
 from ..resources import stop_words
 
-# Token pattern: runs of >= 2 letters/digits/underscore (Unicode classes,
-# written so that Java regex and RE2 read them identically).
-TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# Token rule: runs of two or more characters that are not white space (the
+# Unicode white space, spelt out so that engines read it identically); "c++",
+# "c#", ".net" and "java.util.Map" are tokens.
+TOKEN_PATTERN = r"[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]{2,}"
 
+# ``stop``: True for the English list of ``resources``, False for none, or a
+# collection of words.
+Stop = bool | tuple[str, ...] | list[str] | frozenset[str]
 
-def analyzer(text: Column, stop: bool = True) -> Column:
-    """lowercase -> word tokens of >= 2 chars -> minus English stop words."""
+
+def _stop_list(stop: Stop) -> tuple[str, ...]:
+    return (stop_words() if stop else ()) if isinstance(stop, bool) else tuple(sorted(stop))
+
+
+def analyzer(text: Column, stop: Stop = True) -> Column:
+    """lowercase -> tokens of two or more non-space characters -> minus stop words."""
     toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
-    if stop:
-        # a literal IN-list this long is planned as a hash set (InSet)
-        sw = stop_words()
-        toks = F.filter(toks, lambda t: ~t.isin(*sw))
-    return toks
+    words = _stop_list(stop)
+    # a literal IN-list this long is planned as a hash set (InSet)
+    return F.filter(toks, lambda t: ~t.isin(*words)) if words else toks
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, field_col: str | None = None,
-                stop: bool = True, prepartitioned: bool = False) -> DataFrame:
+                stop: Stop = True, prepartitioned: bool = False) -> DataFrame:
     """(id, [field,] term, tf) — raw term counts per document (and field).
 
     The input is hash-partitioned by the document id once, so the count, the
@@ -45,8 +52,8 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, field_col: str | No
     # stop words are removed as rows after the explode (a code-generated
     # filter on a hashed IN set), not inside an interpreted array lambda
     ex = d.select(*keys, F.explode(analyzer(F.col(text_col), stop=False)).alias("term"))
-    if stop:
-        ex = ex.filter(~F.col("term").isin(*stop_words()))
+    if words := _stop_list(stop):
+        ex = ex.filter(~F.col("term").isin(*words))
     return ex.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -62,7 +69,7 @@ def idf_table(tf: DataFrame, id_col: str, n_docs: int | None = None) -> DataFram
                      (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, stop: bool = True) -> DataFrame:
+def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, stop: Stop = True) -> DataFrame:
     """V3: fit the vocabulary + idf on a document table -> (term, df, idf)."""
     tf = term_counts(docs, id_col, text_col, stop=stop)
     n = docs.count()  # documents are unique by id (model contract); empty ones count too
@@ -70,12 +77,12 @@ def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, stop: bool = True) ->
 
 
 def tfidf_transform(idf: DataFrame, docs: DataFrame, id_col: str, text_col: str,
-                    field_col: str | None = None, stop: bool = True,
+                    field_col: str | None = None, stop: Stop = True,
                     max_broadcast_terms: int = 5_000_000) -> DataFrame:
     """V4: postings (id, [field,] term, weight) — tf*idf, L2-normalised per
     document (and field); terms unseen at fit time are dropped."""
     keys = [id_col] + ([field_col] if field_col else [])
-    tf = reuse(term_counts(docs, id_col, text_col, field_col, stop))
+    tf = term_counts(docs, id_col, text_col, field_col, stop)
     return postings_from_counts(tf, idf, keys, max_broadcast_terms)
 
 

@@ -16,13 +16,21 @@ def _lit_list(words) -> str:
 
 
 STOP_SQL = _lit_list(stop_words())
-TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
+# Two or more characters that are no white space; written here on its own.
+TOKEN_RE = "[^\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \\x{85}\\pZ]{2,}"
+WORD_RE = "[^\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \\x{85}\\pZ]+"
+
+
+def space_tokens(x: str) -> str:
+    return f"regexp_extract_all({x}, '{WORD_RE}')"
+
+
 
 # lambda name: (sql body, dependencies)
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "questions": ("""
         SELECT doc_id AS post_id,
-               substr(split_part(text, chr(10), 1), 1, 80) AS title,
+               split_part(text, chr(10), 1) AS title,
                text AS body,
                '<' || lang || '><' || source || '>' AS tags,
                CAST((n_chars % 41) - 3 AS INTEGER) AS score,
@@ -120,22 +128,23 @@ def _wv_dims(tok: str) -> str:
 CTES.update({
     # fixture word vectors, one column per dim
     "wv": (f"""SELECT token, {_wv_dims('token')} FROM (
-        SELECT DISTINCT term AS token FROM qtf) """, ("qtf",)),
-    # unit-normalised token vectors of question fields, averaged per (post, field)
+        SELECT token FROM (SELECT unnest({space_tokens('text')}) AS token FROM qfields)
+        GROUP BY token HAVING count(*) >= 2 UNION ALL SELECT '<unk>')""", ("qfields",)),
+    "uwv": (f"""SELECT token, {', '.join(f'v{i} / n AS v{i}' for i in range(8))} FROM (
+        SELECT *, sqrt({' + '.join(f'v{i} * v{i}' for i in range(8))}) AS n FROM wv)""", ("wv",)),
+    # all tokens of a text; a missing one is <unk>, and so is an empty text
     "dense_docs": (f"""
-        SELECT post_id, field, {', '.join(f'avg(v{i} / n) AS v{i}' for i in range(8))}
-        FROM (SELECT f.post_id, f.field, w.*, sqrt({' + '.join(f'w.v{i} * w.v{i}' for i in range(8))}) AS n
-              FROM (SELECT post_id, field, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS token
-                    FROM qfields) f JOIN wv w USING (token)
-              WHERE f.token NOT IN {STOP_SQL})
-        GROUP BY post_id, field""", ("qfields", "wv")),
+        SELECT post_id, field, {', '.join(f'avg(coalesce(w.v{i}, u.v{i})) AS v{i}' for i in range(8))}
+        FROM (SELECT post_id, field, unnest(CASE WHEN len(a) = 0 THEN ['<unk>'] ELSE a END) AS token
+              FROM (SELECT post_id, field, {space_tokens("coalesce(text, '')")} AS a FROM qfields)) f
+        LEFT JOIN uwv w ON w.token = f.token, (SELECT * FROM uwv WHERE token = '<unk>') u
+        GROUP BY post_id, field""", ("qfields", "uwv")),
     "dense_queries": (f"""
-        SELECT query_id, {', '.join(f'avg(v{i} / n) AS v{i}' for i in range(8))}
-        FROM (SELECT f.query_id, w.*, sqrt({' + '.join(f'w.v{i} * w.v{i}' for i in range(8))}) AS n
-              FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS token
-                    FROM queries) f JOIN wv w USING (token)
-              WHERE f.token NOT IN {STOP_SQL})
-        GROUP BY query_id""", ("queries", "wv")),
+        SELECT query_id, {', '.join(f'avg(coalesce(w.v{i}, u.v{i})) AS v{i}' for i in range(8))}
+        FROM (SELECT query_id, unnest(CASE WHEN len(a) = 0 THEN ['<unk>'] ELSE a END) AS token
+              FROM (SELECT query_id, {space_tokens("coalesce(text, '')")} AS a FROM queries)) f
+        LEFT JOIN uwv w ON w.token = f.token, (SELECT * FROM uwv WHERE token = '<unk>') u
+        GROUP BY query_id""", ("queries", "uwv")),
     "dense_raw": (f"""
         SELECT query_id, post_id, sum(
             ({' + '.join(f'q.v{i} * d.v{i}' for i in range(8))})

@@ -258,10 +258,11 @@ def ortho_cols(t: str) -> dict[str, str]:
 
 def replace_code_with_tokens(x: str) -> str:
     """T4 in SQL: split on <pre ...>, each later piece = code tokens + rest."""
-    code = "CASE WHEN instr(p, '</pre>') > 0 THEN split_part(p, '</pre>', 1) ELSE p END"
+    at = "instr(lower(p), '</pre>')"
+    code = f"CASE WHEN {at} > 0 THEN substr(p, 1, {at} - 1) ELSE p END"
     toks = code_token_strings(unescape(rr(code, "<[^>]*>", " ")))
     piece = (f"CASE WHEN i = 1 THEN p ELSE concat_ws(' ', array_to_string({toks}, ' '), "
-             "CASE WHEN instr(p, '</pre>') > 0 THEN substr(p, instr(p, '</pre>') + 6) ELSE '' END) END")
+             f"CASE WHEN {at} > 0 THEN substr(p, {at} + 6) ELSE '' END) END")
     return (f"array_to_string(list_transform(string_split_regex({x}, '(?i)<pre[^>]*>'), "
             f"lambda p, i: {piece}), ' ')")
 

@@ -76,7 +76,7 @@ FIELDS = ["title", "body"]
 
 def build_dense_index(questions: DataFrame, word_vectors: DataFrame,
                       fields: dict[str, str] | None = None, id_col: str = "post_id",
-                      oov: str = "skip") -> DataFrame:
+                      oov: str = "unk") -> DataFrame:
     """V8/V9 (dense): (post_id, field, vector) mean unit word vectors."""
     long = stack_fields(questions, id_col, fields or {"title": "title", "body": "body"})
     return dense.doc_vectors(long, word_vectors, id_col, "text", "field", oov=oov)
@@ -106,8 +106,10 @@ def dense_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFra
 def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFrame,
                   postings: DataFrame, k: int, mean: bool = False,
                   fields=FIELDS, meta: DataFrame | None = None,
-                  query_tags: DataFrame | None = None, ranked: bool = True) -> DataFrame:
-    """Exact top-k of dense_sum + sparse_sum.
+                  query_tags: DataFrame | None = None, ranked: bool = True,
+                  weights: dict | None = None) -> DataFrame:
+    """Exact top-k of dense_sum + sparse_sum; ``weights`` (field ->
+    weight) scale the fields of both halves.
 
     Sparse weights are non-negative, so a pair without term overlap can only
     enter the hybrid top-k if it is in the dense top-k: the candidates are the
@@ -116,7 +118,7 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
     ids; no all-pairs table is materialised).  The concatenated unit vectors
     are built once and serve both the block k-NN and the candidate scoring."""
     from ..plans.strategy import materialize
-    qcat = materialize(dense.field_concat(qv_dense.withColumnRenamed("query_id", "qid"), "qid", fields))
+    qcat = materialize(dense.field_concat(qv_dense.withColumnRenamed("query_id", "qid"), "qid", fields, weights))
     dcat = materialize(dense.field_concat(index_dense.withColumnRenamed("post_id", "pid"), "pid", fields))
     qk, dk = qcat, dcat
     if query_tags is not None and meta is not None:
@@ -126,7 +128,7 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
         dk = dcat.join(meta.select(F.col("post_id").alias("pid"), F.col("etags").alias("tags")), "pid", "left")
     dtop = dense.knn_join_vectors(qk, dk, k).select(
         F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), F.lit(True).alias("_d"))
-    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12).select(
+    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12, weights=weights).select(
         "query_id", "post_id", F.col("sim").alias("s_sim"))
     cands = sp.join(dtop, ["query_id", "post_id"], "full_outer")
     j = (cands.join(qcat.withColumnRenamed("qid", "query_id").withColumnRenamed("vec", "qv"),
@@ -140,13 +142,15 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
 
 
 def hybrid_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
-                  k: int = 10, mean: bool = False) -> DataFrame:
+                  k: int = 10, mean: bool = False, weights: dict | None = None) -> DataFrame:
     """P1 (hybrid)."""
+    if weights is not None:
+        check_weights(weights, FIELDS)
     idf, postings = build_sparse_index(questions)
     qs = sparse_query_vectors(idf, queries)
     index = build_dense_index(questions, word_vectors)
     qd = dense_query_vectors(queries, word_vectors)
-    ranked = hybrid_scores(qd, index, qs, postings, k, mean)
+    ranked = hybrid_scores(qd, index, qs, postings, k, mean, weights=weights)
     return ranked.join(questions.select("post_id", "title"), "post_id") \
         .select("query_id", "rank", "post_id", "sim", "title")
 
@@ -155,8 +159,12 @@ def rerank(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
            first_k: int = 200, k: int = 20, fields=FIELDS) -> DataFrame:
     """Sparse first stage (top first_k) re-scored by dense similarity, top k."""
     idf, postings = build_sparse_index(questions)
-    first = sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, first_k)
-    index = build_dense_index(questions, word_vectors)
+    from ..plans.strategy import materialize
+    first = materialize(sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, first_k)
+                        .select("query_id", "post_id"))
+    # vectors of the first stage's posts only
+    wanted = questions.join(first.select("post_id").distinct(), "post_id", "left_semi")
+    index = build_dense_index(wanted, word_vectors)
     qd = dense_query_vectors(queries, word_vectors)
     qcat = dense.field_concat(qd, "query_id", fields).withColumnRenamed("vec", "qv")
     dcat = dense.field_concat(index, "post_id", fields).withColumnRenamed("vec", "dv")
@@ -211,6 +219,8 @@ def search(questions: DataFrame, queries: DataFrame, meta: DataFrame, model: str
     top tags per query (A7))."""
     from ..operators.relational import top_tags
     has_tags = "tags" in queries.columns
+    if weights is not None:
+        check_weights(weights, FIELDS)
     if model == "sparse":
         idf, postings = build_sparse_index(questions)
         scores = sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, None,
@@ -225,7 +235,7 @@ def search(questions: DataFrame, queries: DataFrame, meta: DataFrame, model: str
             idf, postings = build_sparse_index(questions)
             qs = sparse_query_vectors(idf, queries)
             scores = hybrid_scores(qd, index, qs, postings, k, meta=meta, query_tags=qtags,
-                                   ranked=False)
+                                   ranked=False, weights=weights)
     else:
         raise ValueError(f"unknown model {model!r}")
     if has_tags:

@@ -1,7 +1,7 @@
 """Physical-strategy helpers shared by the operators.
 
 ``checked_broadcast`` is the only place a broadcast hint is added: the side
-is counted first and hinted only below a row bound; above it the plain join
+is counted and measured first and hinted only below a bound of rows and bytes; above it the plain join
 is kept (sort-merge / shuffle-hash, re-planned by AQE at run time).
 """
 
@@ -13,67 +13,59 @@ from pyspark import StorageLevel
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of a side that may be broadcast without a further check.
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-# semantic hash of an analysed plan -> [(plan, checkpointed DataFrame)]
-_MATERIALIZED: dict = {}
-
-
-def _plan_key(df: DataFrame):
-    """(semantic hash + output schema, analysed plan); sameResult ignores
-    output names, so the schema is part of the key."""
-    try:
-        plan = df._jdf.queryExecution().analyzed()
-        return (plan.semanticHash(), df.schema.simpleString()), plan
-    except Exception:  # noqa: BLE001  (no JVM plan access: no memo)
-        return None, None
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage: a reliable checkpoint into the
     shared folder named by ``spark.checkpoint.dir`` (persisted only while the
     checkpoint is written, so it is not computed twice and no memory stays
     pinned).  Survives executor loss without recomputing the lineage.
 
-    Plans that produce the same result (same semantic hash and ``sameResult``)
-    share one checkpoint within the session."""
+    The returned frame is the handle: callers pass it on where the same rows
+    are needed again, and its files are removed once it is no longer
+    referenced.  Nothing is remembered between calls, so a table that was
+    overwritten in place is read anew."""
     from ..session import ensure_checkpoint_dir
-    h, plan = _plan_key(df)
-    if h is not None:
-        for p, m in _MATERIALIZED.get(h, []):
-            if p.sameResult(plan):
-                return m
     ensure_checkpoint_dir(df.sparkSession)
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
     c = p.checkpoint(eager=True)
     p.unpersist()
-    if h is not None:
-        _MATERIALIZED.setdefault(h, []).append((plan, c))
     return c
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """The materialised copy of ``df`` when one exists in this session, else
-    ``df`` itself (never forces a write)."""
-    h, plan = _plan_key(df)
-    if h is not None:
-        for p, m in _MATERIALIZED.get(h, []):
-            if p.sameResult(plan):
-                return m
-    return df
+# Bytes of a side that may be broadcast: its rows' own size, measured.
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+def _row_bytes(field, col):
+    """Estimated bytes of one value of a column (an expression over the rows)."""
+    t = field.dataType
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(t, T.ArrayType):
+        if isinstance(t.elementType, T.StringType):
+            return F.coalesce(F.octet_length(F.array_join(col, "")), F.lit(0)) + 16 * F.coalesce(F.size(col), F.lit(0)) + 16
+        return 8 * F.greatest(F.coalesce(F.size(col), F.lit(0)), F.lit(0)) + 16
+    if isinstance(t, (T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col.alias("x")))), F.lit(0)) + 16
+    return F.lit(16)
 
-    The side is materialised first (see ``materialize``), so the row check and
-    the join that follows share one computation."""
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows and about
+    ``max_bytes`` bytes.
+
+    The side is materialised first, so the check and the join that follows
+    share one computation."""
     m = materialize(df)
-    n = m.count()
-    return F.broadcast(m) if n <= max_rows else m
+    size = sum((_row_bytes(f, F.col(f"`{f.name}`")) for f in m.schema.fields), F.lit(0)).cast("long")
+    n, total = m.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(m) if n <= max_rows and total <= max_bytes else m
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -112,7 +104,3 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFram
     return out.withColumn(name, (F.col("_off") + F.col("_idx") + 1).cast("long")) \
         .drop("_pid", "_mid", "_idx", "_off")
 
-
-def clear_materialized() -> None:
-    """Forget the checkpoint memo (the files are cleaned with their RDDs)."""
-    _MATERIALIZED.clear()

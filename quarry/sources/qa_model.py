@@ -32,7 +32,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("post_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("body"),
         F.concat(F.lit("<"), "lang", F.lit("><"), "source", F.lit(">")).alias("tags"),
         ((F.col("n_chars") % 41) - 3).cast("int").alias("score"),
@@ -138,12 +138,13 @@ def word_vector_expr(token: F.Column) -> F.Column:
                      for i in range(WORD_DIMS)])
 
 
-def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, vector): every analyzer token of question titles and bodies,
-    plus '<unk>'."""
-    from ..operators.sparse import analyzer
+def word_vectors(spark: SparkSession, sf_dir: str, min_count: int = 2) -> DataFrame:
+    """(token, vector): every white-space token that question titles and
+    bodies hold ``min_count`` times, plus '<unk>'."""
+    from ..operators.dense import space_tokens
     q = questions(spark, sf_dir)
-    txt = q.select(F.col("title").alias("t")).unionByName(q.select(F.col("body").alias("t")))
-    toks = txt.select(F.explode(analyzer(F.col("t"))).alias("token")).distinct()
+    txt = q.select(F.explode(F.array("title", "body")).alias("t"))
+    toks = txt.select(F.explode(space_tokens("t")).alias("token")).groupBy("token").count() \
+        .filter(F.col("count") >= min_count).select("token")
     unk = spark.range(1).select(F.lit("<unk>").alias("token"))
     return toks.unionByName(unk).select("token", word_vector_expr(F.col("token")).alias("vector"))

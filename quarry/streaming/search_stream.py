@@ -4,7 +4,7 @@ micro-batch is answered with the batch search plan against a persisted index.
 This replaces an interactive request loop: requests are rows of a stream,
 the index tables are read once per batch from Parquet (the index job writes
 them, see ``plans.corpus.build_index``), results are appended to a sink folder.
-Progress is tracked in a checkpoint under the shared checkpoint folder, so a
+Progress is tracked in the checkpoint folder that the caller names, so a
 restarted driver resumes without answering a query twice.
 """
 
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sparse
 from ..plans.search import sparse_query_vectors
-from ..session import scratch_path
 
 QUERY_SCHEMA = "query_id long, text string"
 
@@ -31,11 +30,12 @@ def answer_batch(idf: DataFrame, postings: DataFrame, meta: DataFrame | None,
 
 
 def start_search_stream(spark: SparkSession, query_dir: str, index_dir: str, out_dir: str,
-                        k: int = 10, checkpoint: str | None = None, fmt: str = "json",
+                        checkpoint: str, k: int = 10, fmt: str = "json",
                         trigger_once: bool = False):
-    """Start the streaming search; returns the StreamingQuery."""
+    """Start the streaming search; returns the StreamingQuery.  ``checkpoint``
+    is a folder on shared storage that stays the same over restarts; a restart
+    with it goes on after the files already answered."""
     stream = spark.readStream.schema(QUERY_SCHEMA).format(fmt).load(query_dir)
-    ckpt = checkpoint or scratch_path(spark, "search-stream")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         idf = spark.read.parquet(f"{index_dir}/idf")
@@ -50,6 +50,6 @@ def start_search_stream(spark: SparkSession, query_dir: str, index_dir: str, out
         # failure rewrites its own output instead of appending duplicates
         res.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
 
-    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt)
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="5 seconds")
     return w.start()
