@@ -3,6 +3,9 @@ metrics and facts about trained models."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import oracle as O
@@ -209,7 +212,7 @@ def e8_folds(spark, sf):
     SELECT reg AS reg_param, TRUE AS mean_in_range, TRUE AS std_in_range FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE)) t(reg)""")
 def e8(spark, sf):
     _, rows = MD.cross_validate(_labelled(spark, sf))
-    return spark.createDataFrame([(float(p["regParam"]), 0.5 <= m <= 1.0, 0.0 <= s <= 0.5) for p, m, s in rows],
+    return spark.createDataFrame([(float(p["regParam"]), bool(0.5 <= m <= 1.0), bool(0.0 <= s <= 0.5)) for p, m, s in rows],
                                  "reg_param double, mean_in_range boolean, std_in_range boolean")
 
 
@@ -235,8 +238,6 @@ def v5(spark, sf):
 
 def _nearest(model, rows, id_col):
     """Whether every row's cluster has a centre at the smallest distance."""
-    import numpy as np
-    import pandas as pd
     centres = np.stack(model.clusterCenters())
 
     @F.pandas_udf("boolean")
@@ -245,7 +246,6 @@ def _nearest(model, rows, id_col):
         d = (v * v).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * v @ centres.T
         return pd.Series(d[np.arange(len(v)), c.to_numpy()] <= d.min(1) + 1e-6)
 
-    from pyspark.ml.functions import vector_to_array
     return rows.select(id_col, ok(vector_to_array("features"), F.col("prediction")).alias("nearest"))
 
 

@@ -76,9 +76,19 @@ def test_streaming_search_answers_each_query_once(spark, tmp_path):
         for r in rows:
             fh.write(json.dumps({"query_id": r["query_id"], "text": r["text"]}) + "\n")
     out = str(tmp_path / "out")
-    sq = start_search_stream(spark, str(qdir), cfg.out_dir, out, k=3, trigger_once=True)
+    ckpt = str(tmp_path / "progress")
+    sq = start_search_stream(spark, str(qdir), cfg.out_dir, out, ckpt, k=3, trigger_once=True)
     sq.awaitTermination(120)
     res = spark.read.parquet(out)
+    first = res.collect()
+    # a restart goes on after the files already answered
+    with open(qdir / "batch2.json", "w") as fh:
+        fh.write(json.dumps({"query_id": 10_000, "text": rows[0]["text"]}) + "\n")
+    sq = start_search_stream(spark, str(qdir), cfg.out_dir, out, ckpt, k=3, trigger_once=True)
+    sq.awaitTermination(120)
+    again = spark.read.parquet(out).collect()
+    assert len([r for r in again if r["query_id"] != 10_000]) == len(first)
+    assert any(r["query_id"] == 10_000 for r in again)
     assert res.select("query_id").distinct().count() == len(rows)
     assert res.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3
 

@@ -26,7 +26,7 @@ def con():
 
 def test_every_query_is_registered_with_names():
     assert set(SQL) <= set(QUERIES)
-    assert len(QUERIES) >= 120
+    assert len([n for n in QUERIES if n not in SQL and not n.startswith("op") and n != "pipeline"]) == 0
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -42,7 +42,9 @@ def test_query_matches_oracle(spark, con, name):
     assert canon(srows, cols) == canon(drows, dcols)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_rows_only_queries_run(spark, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() >= 0
+# No SQL states these results; tests/llm holds them against brute force.
+BEYOND_SQL = ("op1_", "op2_", "op3_", "op5_", "op6_", "op7_", "op8_", "pipeline")
+
+
+def test_only_the_training_data_queries_have_no_sql():
+    assert all(n.startswith(BEYOND_SQL) for n in set(QUERIES) - set(SQL))

@@ -74,6 +74,8 @@ def test_emoticons(spark):
     assert one(spark, T.emoticon_label, "bad :(") == "SAD"
     assert one(spark, T.emoticon_label, ":) :(") == "BOTH_HS"
     assert one(spark, T.emoticon_label, "plain") == "NA"
+    for text in ("http://example.org", "f(x)", "List<3", "(8 bits)", "x;)"):
+        assert one(spark, T.emoticon_label, text) == "NA", text
 
 
 def test_code_blocks_and_tokens(spark):
@@ -114,7 +116,7 @@ def test_orthographic_features(spark):
 
 def test_parse_tags_without_topic(spark):
     assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java><swing>") == ["swing"]
-    assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java>") == ["<unk>"]
+    assert one(spark, lambda c: T.parse_tags_without(c, "java"), "<java>") == []
 
 
 def test_remove_paths_unicode_boundaries(spark):
@@ -122,3 +124,26 @@ def test_remove_paths_unicode_boundaries(spark):
     assert one(spark, T.remove_paths, "x C:\\\\dir\\\\subé") == "x  "
     assert one(spark, T.remove_paths, "é\\\\dir\\\\sub y") == "é  y"
     assert one(spark, T.remove_paths, "  \\\\dir\\\\sub y") == "  \\\\dir\\\\sub y"
+
+
+def test_search_tokens_are_runs_of_non_space(spark):
+    from quarry.operators.sparse import analyzer
+    got = one(spark, analyzer, "The C++ and c#, .net java.util.Map x")
+    assert got == ["c++", "c#,", ".net", "java.util.map"]
+    assert one(spark, lambda c: analyzer(c, stop=("c++",)), "the C++") == ["the"]
+
+
+def test_upper_case_pre_keeps_the_prose(spark):
+    from quarry.functions.code import replace_code_with_tokens
+    got = one(spark, replace_code_with_tokens, "a <PRE>m.get(x);</PRE> prose")
+    assert got.endswith("prose") and got.startswith("a ")
+
+
+def test_long_strings_list_form(spark):
+    assert one(spark, T.remove_long_strings_list, "a " + "x" * 30 + " b " + "y" * 29) == "a  b " + "y" * 29
+
+
+def test_tag_lists_of_an_empty_table(spark):
+    df = spark.createDataFrame([("<java>",), ("<java><x>",)], "tags string")
+    assert [r.tags for r in T.tag_lists(df, "java").collect()] == [[], ["x"]]
+    assert [r.tags for r in T.tag_lists(df.limit(0), "java").collect()] == [["<unk>"]]
