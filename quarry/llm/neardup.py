@@ -137,7 +137,7 @@ def _frequency(paths: list, v: np.ndarray) -> np.ndarray:
     return out
 
 
-_LISTS = "whole boolean, value long, rep long, n long, pos int, own int"
+_LISTS = "whole boolean, value long, rep long, n long, pos int, own int, before array<long>"
 
 
 def _list_rows(paths: list):
@@ -147,7 +147,7 @@ def _list_rows(paths: list):
                 reps, ns = b.column(0).to_pylist(), b.column(1).to_pylist()
                 kept = [_values(x) for x in b.column(2).to_pylist()]
                 freq = _frequency(paths, np.concatenate(kept)) if kept else np.empty(0, np.int64)
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(8)]
                 at = 0
                 for rep, n, v in zip(reps, ns, kept):
                     f = freq[at:at + len(v)]
@@ -157,22 +157,29 @@ def _list_rows(paths: list):
                     if n > PART:
                         _prefix(cols, False, rep, n, v[:K], f[:K], K - NEEDED + 1)
                 flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
+                ends = np.concatenate([[0], np.cumsum(flat[6])]).astype(np.int32)
+                before = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[7].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[0].astype(bool)), *(pa.array(c.astype(np.int64)) for c in flat[1:4]),
-                     *(pa.array(c.astype(np.int32)) for c in flat[4:])],
-                    names=["whole", "value", "rep", "n", "pos", "own"])
+                     *(pa.array(c.astype(np.int32)) for c in flat[4:6]), before],
+                    names=["whole", "value", "rep", "n", "pos", "own", "before"])
     return run
 
 
 def _prefix(cols: list, whole: bool, rep: int, n: int, v: np.ndarray, f: np.ndarray, length: int) -> None:
-    """The shared values among the ``length`` rarest, with their places."""
+    """The shared values among the ``length`` rarest, with their places and
+    the shared values before each."""
     order = np.lexsort((v, f))[:length]
     pos = np.flatnonzero(f[order] > 1)
     if not len(pos):
         return
     own = int((f == 1).sum()) * 1000 // len(f)
-    for c, x in zip(cols, (whole, None, rep, n, None, own)):
-        c.append(v[order[pos]].view(np.int64) if c is cols[1] else pos if c is cols[4] else np.full(len(pos), x))
+    shared = v[order[pos]].view(np.int64)
+    count = np.arange(len(pos))
+    parts = (np.full(len(pos), whole), shared, np.full(len(pos), rep), np.full(len(pos), n), pos,
+             np.full(len(pos), own), count, np.concatenate([shared[:i] for i in count]))
+    for c, x in zip(cols, parts):
+        c.append(x)
 
 
 def _private_limit(n: Column, m: Column) -> Column:
@@ -224,8 +231,11 @@ def remaining_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
     mixed = staged(named.join(largest.drop("_groups"), ["whole", "value"]), "mixed-lists")
     x, y = mixed.filter(F.col("group") != F.col("largest")).alias("x"), mixed.alias("y")
     once = (F.col("y.group") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep"))
+    # a pair meets in the first list it shares: there all tests above are at
+    # their widest, and it holds several groups as the pair's groups differ
+    first = ~F.arrays_overlap("x.before", "y.before")
     met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.whole") == F.col("y.whole"))
-                 & (F.col("x.group") != F.col("y.group")) & once & _can_link("x", "y"))
+                 & (F.col("x.group") != F.col("y.group")) & once & _can_link("x", "y") & first)
     return _ordered(met, "x.rep", "y.rep")
 
 
