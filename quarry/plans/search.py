@@ -107,7 +107,7 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
                   postings: DataFrame, k: int, mean: bool = False,
                   fields=FIELDS, meta: DataFrame | None = None,
                   query_tags: DataFrame | None = None, ranked: bool = True,
-                  weights: dict | None = None) -> DataFrame:
+                  weights: dict | None = None, term_buckets: int | None = None) -> DataFrame:
     """Exact top-k of dense_sum + sparse_sum; ``weights`` (field ->
     weight) scale the fields of both halves.
 
@@ -128,7 +128,8 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
         dk = dcat.join(meta.select(F.col("post_id").alias("pid"), F.col("etags").alias("tags")), "pid", "left")
     dtop = dense.knn_join_vectors(qk, dk, k).select(
         F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), F.lit(True).alias("_d"))
-    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12, weights=weights).select(
+    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12, weights=weights,
+                                term_buckets=term_buckets).select(
         "query_id", "post_id", F.col("sim").alias("s_sim"))
     cands = sp.join(dtop, ["query_id", "post_id"], "full_outer")
     j = (cands.join(qcat.withColumnRenamed("qid", "query_id").withColumnRenamed("vec", "qv"),
@@ -213,29 +214,36 @@ def tag_filter(scores: DataFrame, queries: DataFrame, meta: DataFrame,
 
 def search(questions: DataFrame, queries: DataFrame, meta: DataFrame, model: str = "sparse",
            k: int = 10, word_vectors: DataFrame | None = None, weights: dict | None = None,
-           n_top_tags: int = 8):
+           n_top_tags: int = 8, stored: dict | None = None):
     """Batch search.  ``queries`` (query_id, text[, tags array]); model
     'sparse', 'dense' or 'hybrid'.  Returns (ranked rows with metadata (P2),
-    top tags per query (A7))."""
+    top tags per query (A7)).  ``stored`` holds index frames that were built
+    before (idf, postings, dense, term_buckets); without it the index is built
+    from ``questions``."""
+    stored = stored or {}
     from ..operators.relational import top_tags
     has_tags = "tags" in queries.columns
     if weights is not None:
         check_weights(weights, FIELDS)
+    def sparse_index():
+        return (stored["idf"], stored["postings"]) if stored else build_sparse_index(questions)
+
+    buckets = stored.get("term_buckets")
     if model == "sparse":
-        idf, postings = build_sparse_index(questions)
+        idf, postings = sparse_index()
         scores = sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, None,
-                                        weights=weights)
+                                        weights=weights, term_buckets=buckets)
     elif model in ("dense", "hybrid"):
-        index = build_dense_index(questions, word_vectors)
+        index = stored["dense"] if stored else build_dense_index(questions, word_vectors)
         qd = dense_query_vectors(queries, word_vectors)
         qtags = queries.select("query_id", "tags") if has_tags else None
         if model == "dense":
             scores = dense_topk_tagged(qd, index, k, meta, qtags, weights).drop("rank")
         else:
-            idf, postings = build_sparse_index(questions)
+            idf, postings = sparse_index()
             qs = sparse_query_vectors(idf, queries)
             scores = hybrid_scores(qd, index, qs, postings, k, meta=meta, query_tags=qtags,
-                                   ranked=False, weights=weights)
+                                   ranked=False, weights=weights, term_buckets=buckets)
     else:
         raise ValueError(f"unknown model {model!r}")
     if has_tags:
@@ -256,3 +264,17 @@ def dense_topk_tagged(qd: DataFrame, index: DataFrame, k: int, meta: DataFrame |
         iv = iv.join(meta.select(F.col("post_id").alias("pid"), F.col("etags").alias("tags")), "pid", "left")
     r = dense.knn_join_vectors(qv, iv, k)
     return r.select(F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), "sim", "rank")
+
+
+def search_stored(spark, index_dir: str, queries: DataFrame, model: str = "sparse", k: int = 10,
+                  word_vectors: DataFrame | None = None, weights: dict | None = None, n_top_tags: int = 8):
+    """P1 over an index that the index job (P7) wrote: nothing is rebuilt, and
+    of the postings only the term buckets of the queries are read."""
+    def read(name):
+        return spark.read.parquet(f"{index_dir}/{name}")
+
+    stored = {"idf": read("idf"), "postings": read("postings"),
+              "term_buckets": spark.read.json(f"{index_dir}/_meta").first()["term_buckets"]}
+    if model in ("dense", "hybrid"):
+        stored["dense"] = read("dense").select("post_id", "field", "vector")
+    return search(None, queries, read("metadata"), model, k, word_vectors, weights, n_top_tags, stored)

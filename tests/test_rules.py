@@ -97,3 +97,26 @@ def test_an_existing_session_keeps_its_settings(spark):
         assert get_spark("again").conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("model", ["sparse", "dense", "hybrid"])
+def test_a_stored_index_answers_like_a_fresh_one(spark, model):
+    from quarry.plans import corpus as P
+    from quarry.session import scratch_path
+    from quarry.sources import qa_model as M
+    from .conftest import SF_SMALL
+    q = M.questions(spark, SF_SMALL).withColumn("snippet_count", F.lit(1)).withColumn(
+        "best", F.lit(None).cast("struct<answer_id:bigint,score:int,code:array<string>>"))
+    wv = M.word_vectors(spark, SF_SMALL)
+    cfg = P.IndexConfig(out_dir=scratch_path(spark, "stored"), conditions=(), build_dense_index=True)
+    P.build_index(q, cfg, wv)
+    queries = M.search_queries(spark, SF_SMALL)
+    weights = {"title": 0.3, "body": 0.7}
+    meta = spark.read.parquet(f"{cfg.out_dir}/metadata")
+    got, _ = search.search_stored(spark, cfg.out_dir, queries, model, 5, wv, weights)
+    want, _ = search.search(q, queries, meta, model, 5, wv, weights)
+    cols = ["query_id", "rank", "post_id", "sim"]
+    rows = {tuple(r) for r in got.select(*cols).collect()}
+    assert rows and rows == {tuple(r) for r in want.select(*cols).collect()}
+    plain, _ = search.search(q, queries, meta, model, 5, wv)
+    assert rows != {tuple(r) for r in plain.select(*cols).collect()}
