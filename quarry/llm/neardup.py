@@ -182,15 +182,6 @@ def _prefix(cols: list, whole: bool, rep: int, n: int, v: np.ndarray, f: np.ndar
         c.append(x)
 
 
-def _private_limit(n: Column, m: Column) -> Column:
-    """Most values of a sketch that a linked partner can lack.  Of a set of n
-    shingles a partner of m lacks at most the share f = 1 - 3 (n + m) / (7 n);
-    the sketch is a uniform sample of the set, so four standard deviations are
-    allowed on top of f K, and a little more where f K is small and skewed."""
-    f = F.greatest(F.lit(0.0), 1 - (n + m) * 3 / (n * 7))
-    return f * K + 4 * F.sqrt(f * (1 - f) * K) + F.greatest(F.lit(0.0), 3 - f * K / 6)
-
-
 def _can_link(x: str, y: str) -> Column:
     """Whether two list entries leave room for the overlap a link needs: by
     sizes, and by the places of the shared value in the two orders (if it is
@@ -199,8 +190,8 @@ def _can_link(x: str, y: str) -> Column:
     p, q = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     sizes = F.least(n, m) * 4 >= F.greatest(n, m) * 3
     whole = F.col(f"{x}.whole") & (F.least(n - p, m - q) * 7 >= (n + m) * 3)
-    part = ~F.col(f"{x}.whole") & (F.greatest(n, m) > WHOLE) & (F.greatest(p, q) <= K - NEEDED) \
-        & (p <= _private_limit(n, m)) & (q <= _private_limit(m, n))
+    # values that the partner's sketch lacks, though its set may hold them
+    part = ~F.col(f"{x}.whole") & (F.greatest(n, m) > WHOLE) & (F.greatest(p, q) <= K - NEEDED)
     return sizes & (whole | part)
 
 

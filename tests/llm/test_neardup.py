@@ -71,6 +71,17 @@ def test_chains_without_a_common_centre(spark):
     assert got == brute(rows) and {c for _, _, c, _ in got} == {0}
 
 
+@pytest.mark.parametrize("small, large", [(400, 500), (1000, 1250)])
+def test_a_set_inside_a_larger_one(spark, small, large):
+    """Part of the smaller sketch lies beyond the larger set's last kept hash."""
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(large + 4)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:small + 4]))]
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(kept for *_, kept in got) == 40
+
+
 def test_empty_and_keep_one(spark, odd_rows):
     df = frame(spark, odd_rows)
     kept = neardup.keep_one(df)
