@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    return decontam.clean(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return decontam.clean(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), every_item=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

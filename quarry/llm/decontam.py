@@ -13,7 +13,8 @@ Everything is DataFrame functions; there is no Python on the executors.
 Defined results: null and empty texts hold no windows; items of fewer than
 ``window`` template words, or whose windows all have fewer than
 ``min_literals`` words beside placeholders, are too weak as evidence and match
-nothing; items with equal templates count as one, named by the smallest id; of
+nothing; items with equal templates count as one, named by the smallest id,
+unless ``every_item`` is set: then each is judged by its own values; of
 rows that repeat a doc_id the windows are taken together; rows without a
 doc_id cannot be named and are not reported; empty tables give no rows; other
 columns are ignored by ``contaminated`` and kept by ``clean``.
@@ -89,18 +90,26 @@ def _placeholder(w: Column) -> Column:
     return w.isin(NAME, NUMBER, UNIT)
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_literals: int) -> DataFrame:
-    """item_id, ipos, h, slots (position, type, value) and n_windows of the
-    windows that are evidence, one item per template."""
+_ITEM = ["item_id", "template", "variant"]
+
+
+def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_literals: int,
+                 every_item: bool = False) -> DataFrame:
+    """item_id, template, variant, ipos, h, slots (position, type, value) and
+    n_windows of the windows that are evidence; one item per template, or all."""
     it = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")) \
         .filter("item_id is not null")
     it = it.select("item_id", F.transform(template_words(F.col("text")), _typed).alias("words"),
                    raw_words(F.col("text")).alias("raw"))
-    it = it.groupBy("words").agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id"))
+    if every_item:
+        it = it.distinct().withColumn("template", F.xxhash64("words")).withColumn("variant", F.xxhash64("raw"))
+    else:
+        it = it.groupBy("words").agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id")) \
+            .withColumn("template", F.col("item_id")).withColumn("variant", F.lit(0).cast("long"))
     rows = _slot_windows(it, window, "ipos")
     rows = rows.filter(F.lit(window) - F.size("slots") >= min_literals)
-    per = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    return rows.join(per, "item_id").select("item_id", "ipos", "h", "slots", "n_windows")
+    per = rows.groupBy(*_ITEM).agg(F.count(F.lit(1)).alias("n_windows"))
+    return rows.join(per, _ITEM).select(*_ITEM, "ipos", "h", "slots", "n_windows")
 
 
 def _slot_windows(df: DataFrame, window: int, pos: str) -> DataFrame:
@@ -116,22 +125,23 @@ def _slot_windows(df: DataFrame, window: int, pos: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", *, window: int = 8, min_literals: int = 4,
-                 min_cover: float = 0.5) -> DataFrame:
+                 min_cover: float = 0.5, every_item: bool = False) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, cover (share
     of the item's windows found), n_slots, n_changed, kind (``verbatim`` or
-    ``reparameterised``)."""
+    ``reparameterised``).  ``every_item``: items of one template are judged and
+    reported one by one, not as the one of the smallest id."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bench = staged(item_windows(items, item_id, item_text, window, min_literals), "item-windows")
+    bench = staged(item_windows(items, item_id, item_text, window, min_literals, every_item), "item-windows")
     enough = F.col("found") >= F.col("n_windows") * F.lit(min_cover)
 
-    # all documents: which of them hold enough windows of which item
-    narrow = staged(bench.select("h", "item_id", "ipos", "n_windows"), "item-hashes")
+    # all documents: which of them hold enough windows of which template
+    narrow = staged(bench.select("h", "template", "ipos", "n_windows").distinct(), "item-hashes")
     every = src.filter("doc_id is not null").select(
         "doc_id", F.explode(window_hashes(template_words(F.col("text")), window)).alias("h"))
     hits = every.join(bounded(narrow), "h")
-    pairs = (hits.groupBy("doc_id", "item_id", "ipos", "n_windows").agg(F.lit(1).alias("_one"))
-             .groupBy("doc_id", "item_id", "n_windows").agg(F.count("_one").alias("found"))
-             .filter(enough).select("doc_id", "item_id"))
+    pairs = (hits.groupBy("doc_id", "template", "ipos", "n_windows").agg(F.lit(1).alias("_one"))
+             .groupBy("doc_id", "template", "n_windows").agg(F.count("_one").alias("found"))
+             .filter(enough).select("doc_id", "template"))
     pairs = staged(pairs, "template-pairs")
 
     # these documents again, with the values behind the placeholders
@@ -139,27 +149,32 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     held = src.join(bounded(chosen), "doc_id", "left_semi")
     held = held.select("doc_id", template_words(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw"))
     windows = _slot_windows(held, window, "pos")
-    wanted = bench.join(pairs.select("item_id").distinct(), "item_id", "left_semi") \
+    wanted = bench.join(pairs.select("template").distinct(), "template", "left_semi") \
         .withColumnRenamed("slots", "islots")
-    met = (windows.join(wanted, "h").join(pairs, ["doc_id", "item_id"], "left_semi")
+    met = (windows.join(wanted, "h").join(pairs, ["doc_id", "template"], "left_semi")
            .withColumn("diag", F.col("pos") - F.col("ipos")))
     slots = met.select(
-        "doc_id", "item_id", "n_windows", "diag", "ipos",
+        "doc_id", *_ITEM, "n_windows", "diag", "ipos",
         F.explode_outer(F.transform("islots", lambda s, i: F.struct(
             (s["at"] + F.col("ipos")).alias("at"), s["t"].alias("t"), s["v"].alias("iv"),
             F.get("slots", i)["v"].alias("dv")))).alias("s"))
-    along = slots.groupBy("doc_id", "item_id", "n_windows", "diag").agg(
+    along = slots.groupBy("doc_id", *_ITEM, "n_windows", "diag").agg(
         F.collect_set("ipos").alias("ipos"), F.count_distinct("s.t", "s.iv").alias("values"),
         F.count_distinct("s.t", "s.iv", "s.dv").alias("mappings"),
         F.count_distinct("s.at").alias("n_slots"),
         F.count_distinct(F.when(F.col("s.iv") != F.col("s.dv"), F.col("s.at"))).alias("n_changed"))
     fine = along.filter(F.col("values") == F.col("mappings"))
-    found = fine.groupBy("doc_id", "item_id", "n_windows").agg(
+    found = fine.groupBy("doc_id", *_ITEM, "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("found"),
         F.max_by("n_slots", F.size("ipos")).alias("n_slots"), F.max_by("n_changed", F.size("ipos")).alias("n_changed"))
     kind = F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim")
-    return found.filter(enough).select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("cover"),
-                                       "n_slots", "n_changed", kind.alias("kind"))
+    out = found.filter(enough).select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("cover"),
+                                      "n_slots", "n_changed", kind.alias("kind"))
+    if not every_item:
+        return out
+    # an id that several item rows share is named once, by its closest row
+    best = F.max_by(F.struct("cover", "n_slots", "n_changed", "kind"), F.struct("cover", -F.col("n_changed"), "n_slots"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

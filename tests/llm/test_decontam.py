@@ -119,6 +119,17 @@ def test_plan_is_native(spark):
     assert not [w for w in ("Python", "Arrow", "Pandas") if w in plan]
 
 
+def test_items_of_one_template_are_judged_one_by_one(spark):
+    same, other = Q.replace("5 loaves", "12 loaves"), Q.replace("5 loaves", "41 loaves").replace("30", "7")
+    rows = [(1, other), (2, same), (3, "before it " + other.replace("Ann", "Eve"))]
+    bench = [(1, same), (2, other), (2, other), (3, "something else altogether in eight or more plain words")]
+    got = D.contaminated(frame(spark, rows), items(spark, bench), every_item=True).collect()
+    kinds = {(r.doc_id, r.item_id): (r.kind, r.n_changed) for r in got}
+    assert len(got) == len(kinds)
+    assert kinds[1, 2] == ("verbatim", 0) and kinds[2, 1] == ("verbatim", 0) and kinds[3, 2][0] == "reparameterised"
+    assert (1, 1) not in kinds and (3, 1) not in kinds and 3 not in {i for _, i in kinds}
+
+
 def test_window_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         D.window_hashes(D.F.col("x"), 6)
