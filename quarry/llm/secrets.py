@@ -4,9 +4,11 @@ The patterns give the base spans (kinds ``assign``, ``access``, ``hex``).  The
 entropy scan adds spans of kind ``entropy``: for every maximal run of token
 characters, a window of ``window`` characters moves over the run while the
 counts of its characters, per character class, are kept up to date; a window
-scores when the Shannon entropy of a class reaches that class's limit.
-Touching scoring windows are joined to one span.  Runs that an allow-list
-pattern explains, and entropy spans inside a base span, are left out.
+scores when its entropy reaches the limit of the narrowest class that holds it
+(of the run's class, if the window has no digit).  Touching scoring windows are
+joined to one span.  Left out are entropy spans inside a base span, and in runs
+that an allow-list pattern explains those whose parts between ``=`` and ``/``
+are explained one by one as well.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
 row by row; offsets are code points, the end exclusive.
@@ -34,6 +36,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
+PART = re.compile(r"[^=/]+")  # of a run
+
 # Shapes that look random and are not secret.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",   # UUIDs
@@ -65,14 +69,22 @@ def _class(run: str) -> str | None:
     return "base64" if lower and upper else "alnum"
 
 
-def hot_windows(run: str, width: int, limit: float) -> list[tuple[int, int]]:
+# places of a character in the counts of its window
+_KINDS_OF = {c: tuple(j for j, has in enumerate(("0" <= c <= "9", "a" <= c <= "z", "A" <= c <= "Z",
+                                                 c not in "0123456789abcdefABCDEF")) if has)
+             for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+
+
+def hot_windows(run: str, width: int, limit: float, limits: dict | None = None) -> list[tuple[int, int]]:
     """Joined spans of the windows of ``run`` whose entropy is at least
-    ``limit`` bits.  H = log2(w) - sum(c * log2 c) / w; one character enters
+    ``limit`` bits, or with ``limits`` that of the window's own class.  H = log2(w) - sum(c * log2 c) / w; one character enters
     and one leaves per step, so only two counts change."""
     if len(run) < width:
         return []
     xlog = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     most = width * (math.log2(width) - limit)
+    own = {k: width * (math.log2(width) - v) for k, v in (limits or {}).items()}
+    held = [0, 0, 0, 0]  # digits, lower, upper, not hex
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, ch in enumerate(run):
@@ -84,7 +96,17 @@ def hot_windows(run: str, width: int, limit: float) -> list[tuple[int, int]]:
             c = counts[old]
             counts[old] = c - 1
             total += xlog[c - 1] - xlog[c]
-        if i >= width - 1 and total <= most + 1e-9:
+        bound = most
+        if limits:
+            for j in _KINDS_OF[ch]:
+                held[j] += 1
+            if i >= width:
+                for j in _KINDS_OF[run[i - width]]:
+                    held[j] -= 1
+            digits, lower, upper, other = held
+            if digits:
+                bound = own["hex" if not other else "base64" if lower and upper else "alnum"]
+        if i >= width - 1 and total <= bound + 1e-9:
             s = i - width + 1
             if spans and s <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
@@ -116,9 +138,16 @@ def entropy_spans(text: str, rule: EntropyRule, base: list, allow: re.Pattern) -
     for m in RUN.finditer(text):
         run = m.group()
         kind = _class(run)
-        if kind is None or run in rule.allowed_values or allow.fullmatch(run):
+        if kind is None or run in rule.allowed_values:
             continue
-        for s, e in hot_windows(run, rule.window, rule.limits[kind]):
+        open_ = [(0, len(run))]
+        if allow.fullmatch(run):
+            open_ = [p.span() for p in PART.finditer(run) if not allow.fullmatch(p.group())]
+            if not open_:
+                continue
+        for s, e in hot_windows(run, rule.window, rule.limits[kind], None if kind == "hex" else rule.limits):
+            if not any(s < f and b < e for b, f in open_):
+                continue
             s, e = s + m.start(), e + m.start()
             if not any(b <= s and e <= f for _, b, f in base):
                 out.append(("entropy", s, e))

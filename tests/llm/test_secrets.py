@@ -80,6 +80,19 @@ def test_entropy_finds_keys_and_the_allow_list_holds():
     assert spans_of(f"token={key}") == []
 
 
+def test_windows_are_judged_by_their_own_class():
+    rng = random.Random(7)
+    for n in (32, 40, 64):
+        for _ in range(200):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+            if windows(key, 20, 3.0):
+                assert spans_of(f"sig={key}"), key
+    key = "q8Zr2LmX0vTn7BcYw5KdP3sH"
+    for text in (f"/sample/{key}", f"dummy={key}", f"a/sample/b/{key}"):
+        assert [s for s in spans_of(text) if s[2] == len(text)], text
+    assert spans_of("/sample/EXAMPLEq8Zr2LmX0vTn7BcYw5Kd") == []
+
+
 def test_redaction_masks_and_keeps_the_rest(spark):
     rows = [(1, "a token=abcdef123 b"), (2, None), (3, "clean"), (4, "")]
     df = frame(spark, rows)
