@@ -3,6 +3,8 @@ metrics and facts about trained models."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -119,6 +121,34 @@ def v21(spark, sf):
     return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
 
 
+_GLUED = """SELECT t.doc_id, t.token, t.pos, EXISTS (SELECT 1 FROM walk w WHERE w.doc_id = t.doc_id
+              AND t.pos > w.p0 AND t.pos <= w.p1) AS glued FROM tk t"""
+_ONCE = f"""SELECT doc_id, string_split(substr(string_agg(CASE WHEN glued THEN '_' ELSE chr(10) END || token, ''
+              ORDER BY pos), 2), chr(10)) AS a FROM ({_GLUED}) GROUP BY doc_id"""
+
+
+def _again(sql: str) -> str:
+    """The same step of the second pass."""
+    return re.sub(r"(?<!')\b(tk|cw|cp|un|bi|ph|good|walk)\b(?!')", r"\1_2", sql)
+
+
+_PASS = [*_phrase_ctes(_DOC_TOKENS), ("good", _GOOD), ("walk", _WALK)]
+
+
+@register("v21_apply_phrases_twice", O.with_ctes(
+    f"""SELECT d.doc_id, CAST(coalesce(m.n, 0) AS INTEGER) AS n_tokens, coalesce(m.merged, '') AS text
+       FROM documents d LEFT JOIN (
+         SELECT doc_id, count(*) FILTER (WHERE NOT glued) AS n,
+                substr(string_agg(CASE WHEN glued THEN '_' ELSE ' ' END || token, '' ORDER BY pos), 2) AS merged
+         FROM ({_again(_GLUED)}) GROUP BY doc_id) m USING (doc_id)""",
+    extra=_PASS + [("once", _ONCE)] + [(_again(n), _again(q)) for n, q in
+                                       [*_phrase_ctes("once"), ("good", _GOOD), ("walk", _WALK)]], recursive=True))
+def v21_twice(spark, sf):
+    d = M.table(spark, sf, "documents").select("doc_id", SP.analyzer(F.col("text"), stop=False).alias("tokens"))
+    out = MD.merge_phrases(d, "doc_id", "tokens", 40, 1.0, stop_words())
+    return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
+
+
 @register("v6_cooccurrence_counts", f"""
     WITH t0 AS (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS pos FROM {_DOC_TOKENS}),
     vocab AS (SELECT token FROM t0 GROUP BY token HAVING count(*) >= 5),

@@ -136,6 +136,20 @@ def apply_phrases(docs: DataFrame, phrases: DataFrame, id_col: str, tokens_col:
     return out.unionByName(none.withColumn(tokens_col, F.array().cast("array<string>")))
 
 
+def merge_phrases(docs: DataFrame, id_col: str, tokens_col: str = "tokens", min_count: int = 40,
+                  threshold: float = 10.0, connectors: tuple[str, ...] = (), passes: int = 2) -> DataFrame:
+    """V21 in full: pairs are merged, then counted and merged again over the
+    merged sequences, so that phrases of three and four content words form.
+    The sequences are materialised between the passes."""
+    out = docs.select(id_col, tokens_col)
+    for i in range(passes):
+        counts = phrase_counts(out, tokens_col, min_count, tuple(connectors))
+        out = apply_phrases(out, counts, id_col, tokens_col, threshold, connectors=tuple(connectors))
+        if i + 1 < passes:
+            out = materialize(out)
+    return out
+
+
 # ------------------------------------------------------------------ V5 / V6 / V14 / V15 / V19
 def train_skipgram(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 300,
                    window: int = 10, min_count: int = 5, max_iter: int = 24, seed: int = 1200,

@@ -120,3 +120,12 @@ def test_a_stored_index_answers_like_a_fresh_one(spark, model):
     assert rows and rows == {tuple(r) for r in want.select(*cols).collect()}
     plain, _ = search.search(q, queries, meta, model, 5, wv)
     assert rows != {tuple(r) for r in plain.select(*cols).collect()}
+
+
+def test_a_second_pass_forms_phrases_of_three_words(spark):
+    docs = spark.createDataFrame([(i, ["new", "york", "city", f"w{i}"]) for i in range(6)]
+                                 + [(10 + i, ["city", f"x{i}", "new", f"y{i}"]) for i in range(3)] + [(20, [])],
+                                 "id long, tokens array<string>")
+    for passes, want in ((1, ["new_york", "city", "w0"]), (2, ["new_york_city", "w0"])):
+        got = {r.id: r.tokens for r in MD.merge_phrases(docs, "id", min_count=2, threshold=0.5, passes=passes).collect()}
+        assert len(got) == 10 and got[0] == want and got[10] == ["city", "x0", "new", "y0"] and got[20] == []
