@@ -112,6 +112,12 @@ def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_units(table(spark, sf_dir, "documents"))
 
 
+@query("op10_later_occurrences", SQL["op10_repeated_units"].replace(" WHERE run_words >= 20", ""))
+def later_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence, whatever its neighbours."""
+    return repeats.repeated_units(table(spark, sf_dir, "documents"), min_words=1)
+
+
 @query("op7_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), every_item=True)

@@ -86,3 +86,11 @@ def test_removal_keeps_all_rows(spark, odd_rows):
 def test_cut():
     assert repeats.cut("a\nb\nc", [2], [3]) == "a\nc"
     assert repeats.cut("a\nb\nc", [4, 0], [5, 1]) == "b\n"
+
+
+def test_every_later_occurrence_is_reported(spark, tmp_path):
+    from quarry.llm.queries import QUERIES
+    rows = [(1, "Home | About\nfirst text"), (2, "second text\nHome | About\nthird"), (3, "home |  about")]
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.unit_no, r.kept_doc_id) for r in QUERIES["op10_later_occurrences"](spark, str(tmp_path)).collect())
+    assert got == [(2, 1, 1), (3, 0, 1)]
