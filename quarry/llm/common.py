@@ -32,6 +32,22 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, one row per key whose column ``n`` says
+    how many rows share it.  Keys of very many rows are broadcast, so that their
+    rows stay where they are; there are at most ``BROADCAST_ROWS`` of them
+    however large the table is, as each stands for that share of its rows.  The
+    others are shuffled.  Both tables must be staged: they are read twice."""
+    total, most = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(1000, -(-total // BROADCAST_ROWS))
+    cold = keyed.filter(F.col(n) < limit).drop(n)
+    if most < limit:
+        return rows.join(cold, on, how)
+    hot = F.broadcast(keyed.filter(F.col(n) >= limit).drop(n))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(cold, on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (a null id counts as '')."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

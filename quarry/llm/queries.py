@@ -87,6 +87,54 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op10_repeated_units", """
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^.!?\\n]+|[.!?\\n]+') AS a
+  FROM documents WHERE text <> ''),
+g AS (
+  SELECT doc_id, unnest(a) AS piece, generate_subscripts(a, 1) AS g FROM t),
+go AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY g) - length(piece) AS base FROM g),
+p AS (
+  SELECT doc_id, g, base, unnest(x) AS w, generate_subscripts(x, 1) AS i
+  FROM (SELECT *, regexp_extract_all(piece, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS x
+        FROM go WHERE regexp_matches(piece, '^[^.!?\\n]'))),
+po AS (
+  SELECT *, base + sum(length(w)) OVER (PARTITION BY doc_id, g ORDER BY i) AS "end" FROM p),
+w AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS words, lag(w) OVER (PARTITION BY doc_id, g ORDER BY i) AS prev
+  FROM po WHERE regexp_matches(w, '^[^\\x20\\x09-\\x0D]')),
+b AS (
+  SELECT *, sum(CASE WHEN prev IS NULL OR words > 16 AND substr(md5(prev), 1, 1) IN ('0', '1') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY doc_id ORDER BY g, i) - 1 AS unit_no
+  FROM w),
+u AS (
+  SELECT doc_id, unit_no, min("end" - length(w)) AS start, max("end") AS "end", count(*) AS n_words,
+         string_agg(w, ' ' ORDER BY g, i) AS norm
+  FROM b GROUP BY doc_id, unit_no),
+c AS (
+  SELECT *, sum(n_words) OVER (PARTITION BY doc_id ORDER BY unit_no) AS upto FROM u),
+j AS (
+  SELECT f.doc_id, f.unit_no AS first_no, l.unit_no AS last_no
+  FROM (SELECT *, upto - n_words + 20 AS wanted FROM c) f
+  ASOF JOIN c l ON f.doc_id = l.doc_id AND f.wanted <= l.upto),
+d AS (
+  SELECT j.doc_id, first_no, min(start) AS start, max("end") AS "end", sum(n_words) AS n_words,
+         md5(string_agg(norm, ' ' ORDER BY unit_no)) AS digest
+  FROM j JOIN u ON u.doc_id = j.doc_id AND unit_no BETWEEN first_no AND last_no
+  GROUP BY j.doc_id, first_no),
+k AS (
+  SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(first_no) OVER o AS kept_unit_no,
+         first_value("end") OVER o AS kept_end
+  FROM d WINDOW o AS (PARTITION BY digest ORDER BY doc_id, first_no))
+SELECT doc_id, first_no::INTEGER AS unit_no, start::BIGINT AS start, "end"::BIGINT AS "end", n_words::INTEGER AS n_words,
+       digest, kept_doc_id, kept_unit_no::INTEGER AS kept_unit_no
+FROM k WHERE doc_id <> kept_doc_id OR first_no <> kept_unit_no AND start >= kept_end""")
+def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_units(table(spark, sf_dir, "documents"))
+
+
+@query("op10_later_occurrences", """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text <> ''),
@@ -102,21 +150,12 @@ u AS (
   FROM o WHERE norm <> ''),
 f AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit_no) OVER w AS kept_unit_no
-  FROM u WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit_no)),
-r AS (
-  SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS run
-  FROM f WHERE doc_id <> kept_doc_id OR unit_no <> kept_unit_no),
-s AS (
-  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM r)
-SELECT doc_id, unit_no, start, "end", n_words, digest, kept_doc_id, kept_unit_no FROM s WHERE run_words >= 20""")
-def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_units(table(spark, sf_dir, "documents"))
-
-
-@query("op10_later_occurrences", SQL["op10_repeated_units"].replace(" WHERE run_words >= 20", ""))
+  FROM u WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit_no))
+SELECT doc_id, unit_no, start, "end", n_words, digest, kept_doc_id, kept_unit_no
+FROM f WHERE doc_id <> kept_doc_id OR unit_no <> kept_unit_no""")
 def later_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every later occurrence, whatever its neighbours."""
-    return repeats.repeated_units(table(spark, sf_dir, "documents"), min_words=1)
+    """Every later occurrence of a line, however short."""
+    return repeats.repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=1)
 
 
 @query("op7_benchmark_decontamination")
