@@ -54,7 +54,7 @@ def w1(spark, sf):
 
 @register("t34_results_to_json", O.with_ctes(
     "SELECT query_id, rank, CAST(to_json({'query_id': query_id, 'rank': rank, 'post_id': post_id}) AS VARCHAR) AS json "
-    "FROM (" + O.ranked("sparse_scores", 5) + ")", "sparse_scores"))
+    "FROM (" + O.ranked("sparse_all", 5) + ")", "sparse_all"))
 def t34(spark, sf):
     r = search.sparse_search(M.questions(spark, sf), M.search_queries(spark, sf), k=5)
     return r.select("query_id", "rank", T.results_to_json("query_id", "rank", "post_id").alias("json"))
@@ -112,6 +112,6 @@ def _tagged_search(model):
     return run
 
 
-register("p1_search_tags_sparse", _tagged_sql("sparse_scores"))(_tagged_search("sparse"))
+register("p1_search_tags_sparse", _tagged_sql("sparse_all"))(_tagged_search("sparse"))
 register("p1_search_tags_dense", _tagged_sql("dense_scores"))(_tagged_search("dense"))
 register("p1_search_tags_hybrid", _tagged_sql("hybrid_scores"))(_tagged_search("hybrid"))

@@ -13,8 +13,8 @@ from . import register
 
 @register("p1_sparse_search", O.with_ctes(
     "SELECT r.query_id, r.rank, r.post_id, r.sim, q.title FROM ("
-    + O.ranked("sparse_scores", 10) + ") r JOIN questions q USING (post_id)",
-    "sparse_scores", "questions"))
+    + O.ranked("sparse_all", 10) + ") r JOIN questions q USING (post_id)",
+    "sparse_all", "questions"))
 def p1_sparse_search(spark, sf):
     return search.sparse_search(M.questions(spark, sf), M.search_queries(spark, sf), k=10)
 

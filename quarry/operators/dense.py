@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import block_count, materialize
+from .buckets import Buckets, scored_candidates
 from .sparse import rank_results
 
 
@@ -70,10 +71,17 @@ def checked_vector_broadcast(vectors: DataFrame, budget_bytes: int = BROADCAST_B
 
 
 def lookup_vectors(tokens: DataFrame, vectors: DataFrame, oov: str = "unk",
-                   unk_token: str = "<unk>") -> DataFrame:
+                   unk_token: str = "<unk>", subwords: DataFrame | None = None) -> DataFrame:
     """(…, token) -> (…, token, vector); oov='unk' maps misses to the
-    unk vector, oov='skip' drops them.  The vocabulary is broadcast only
-    within a byte budget (rows x dims); beyond it a shuffle join on token."""
+    unk vector, oov='skip' drops them.  With ``subwords`` (a
+    ``models.subword_table``) misses are looked up by their character n-grams
+    first (Q17).  The vocabulary is broadcast only within a byte budget (rows x
+    dims); beyond it a shuffle join on token."""
+    if subwords is not None:
+        from .models import unseen_word_vectors
+        missing = tokens.select("token").distinct().join(vectors.select("token"), "token", "left_anti")
+        known = vectors.select("token", F.col("vector").cast("array<double>").alias("vector"))
+        vectors = known.unionByName(unseen_word_vectors(missing, subwords))
     v = checked_vector_broadcast(vectors.select(F.col("token").alias("_t"), F.col("vector")))
     j = tokens.join(v, tokens["token"] == v["_t"], "left").drop("_t")
     if oov == "skip":
@@ -363,25 +371,34 @@ def knn_join_vectors(qv: DataFrame, iv: DataFrame, k: int, exclude_self: bool =
 def knn_join_dense(queries: DataFrame, index: DataFrame, k: int, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = False,
                    weights: dict | None = None, block_rows: int | None = None,
-                   broadcast_bytes: int = 64 << 20) -> DataFrame:
+                   broadcast_bytes: int = 64 << 20, approximate: Buckets | None = None) -> DataFrame:
     """J9 (+V10 dense): exact top-k of summed per-field cosine.
 
     queries: (qid, field, vector); index: (pid, field, vector) long form.
-    Returns (qid, pid, sim, rank)."""
+    Returns (qid, pid, sim, rank).  ``approximate`` (opt-in): only posts that
+    share a random-projection bucket with the query are scored."""
     qv = field_concat(queries.withColumnRenamed(qid, "qid"), "qid", fields, weights)
     iv = field_concat(index.withColumnRenamed(pid, "pid"), "pid", fields)
-    ranked = knn_join_vectors(qv, iv, k, exclude_self, block_rows, broadcast_bytes)
+    if approximate:
+        ranked = rank_results(scored_candidates(qv, iv, approximate, exclude_self), k, "qid", "pid")
+    else:
+        ranked = knn_join_vectors(qv, iv, k, exclude_self, block_rows, broadcast_bytes)
     return ranked.select(F.col("qid").alias(qid), F.col("pid").alias(pid), "sim", "rank")
 
 
 def threshold_join(queries: DataFrame, index: DataFrame, t: float, fields: list[str],
                    qid: str = "query_id", pid: str = "post_id", exclude_self: bool = True,
                    mean: bool = True, block_rows: int | None = None,
-                   broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """All pairs whose (mean over fields, or summed) cosine exceeds t."""
+                   broadcast_bytes: int = 64 << 20, approximate: Buckets | None = None) -> DataFrame:
+    """All pairs whose (mean over fields, or summed) cosine exceeds t.
+    ``approximate`` (opt-in): of these, the pairs that share a random-projection
+    bucket; ``Buckets.expected_recall`` says how many that are."""
     w = {f: (1.0 / len(fields) if mean else 1.0) for f in fields}
     qv = field_concat(queries.withColumnRenamed(qid, "qid"), "qid", fields, w)
     iv = field_concat(index.withColumnRenamed(pid, "pid"), "pid", fields)
+    if approximate:
+        near = scored_candidates(qv, iv, approximate, exclude_self).filter(F.col("sim") > t)
+        return near.select(F.col("qid").alias(qid), F.col("pid").alias(pid), "sim")
     pairs = block_pairs_join(qv, iv, threshold=t, exclude_self=exclude_self, block_rows=block_rows,
                              broadcast_bytes=broadcast_bytes)
     return pairs.select(F.col("qid").alias(qid), F.col("pid").alias(pid), "sim")

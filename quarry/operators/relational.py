@@ -52,12 +52,11 @@ def attach_enrichment(questions: DataFrame, snippets: DataFrame | None = None,
 
 
 def final_frames(clean: DataFrame, db: DataFrame, id_col: str) -> DataFrame:
-    """Cleaned text joined with the table columns; the id sets must agree."""
-    out = clean.join(db, id_col, "inner")
-    missing = clean.join(db, id_col, "left_anti").limit(1).count()
-    if missing:
-        raise ValueError(f"final_frames: cleaned rows without a table row ({id_col})")
-    return out
+    """Cleaned text joined with the table columns; a cleaned row without a
+    table row fails the job that reads the result."""
+    joined = clean.join(db.withColumn("_there", F.lit(True)), id_col, "left")
+    missing = F.raise_error(F.lit(f"final_frames: cleaned rows without a table row ({id_col})")).cast("boolean")
+    return joined.filter(F.when(F.col("_there").isNull(), missing).otherwise(F.lit(True))).drop("_there")
 
 
 def index_dataset(clean_questions: DataFrame, index_ids: DataFrame,

@@ -58,12 +58,28 @@ def best_answer_snippet(meta: DataFrame) -> DataFrame:
         b["score"].alias("answer_score"))
 
 
-def api_token_counts(answers: DataFrame, keep=("IM", "OC", "MC")) -> DataFrame:
-    """(token, freq) of API tokens over all code of all answers."""
+API_KINDS = ("IM", "OC", "MC")
+
+
+def api_token_index(answers: DataFrame, keep=API_KINDS) -> DataFrame:
+    """(answer_id, post_id, kind, token, n): the API tokens of every
+    answer's code with their number, the table that a corpus build writes
+    (``plans.corpus.build_corpus_sides``) and later stages read."""
     blocks = C.extract_code_blocks("body")
-    toks = F.flatten(F.transform(blocks, lambda b: C.code_token_strings(b, keep, distinct=False)))
-    return (answers.select(F.explode(toks).alias("token"))
-            .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+    toks = F.flatten(F.transform(blocks, lambda b: C.code_tokens(b, keep)))
+    each = answers.select("answer_id", F.col("parent_id").alias("post_id"), F.explode(toks).alias("t"))
+    return each.groupBy("answer_id", "post_id", F.col("t.kind").alias("kind"), F.col("t.token").alias("token")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def api_token_counts(answers: DataFrame, keep=API_KINDS) -> DataFrame:
+    """(token, freq) of API tokens over all code of all answers."""
+    return index_token_counts(api_token_index(answers, keep))
+
+
+def index_token_counts(index: DataFrame) -> DataFrame:
+    """(token, freq) out of a written API-token index."""
+    return index.groupBy("token").agg(F.sum("n").alias("freq"))
 
 
 def snippet_pipeline(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sparse (TF-IDF) model, postings and sparse top-k search.
 
 Rows: A8 document_frequencies/idf, V3 tfidf_fit, V4 tfidf_transform,
-V13 (sparse query vectors), J10 knn_join_sparse.
+V13 (sparse query vectors), J10 knn_join_sparse, J11 threshold_join_sparse.
 
 Tables are long postings ``(id, field, term, weight)``; a query meets only the
 documents that share a term with it (term equi-join), so zero-overlap pairs
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.strategy import checked_broadcast
+from ..plans.strategy import checked_broadcast, materialize
 from ..resources import stop_words
 
 # Token rule: runs of two or more characters that are not white space (the
@@ -144,3 +144,115 @@ def rank_results(scores: DataFrame, k: int | None, qid: str = "query_id",
     w = Window.partitionBy(qid).orderBy(F.col(sim).desc(), F.col(pid))
     r = scores.withColumn("rank", F.row_number().over(w))
     return r.filter(F.col("rank") <= k) if k else r
+
+
+def fill_to_k(ranked: DataFrame, queries: DataFrame, posts: DataFrame, k: int, qid: str = "query_id",
+              pid: str = "post_id", tags_col: str | None = None, post_tags: str = "etags") -> DataFrame:
+    """Ranked rows (qid, pid, sim, rank) completed to min(k, posts) per query
+    with posts of score 0, in the order of their ids.
+
+    A query with fewer than k rows has all its scored posts among them, so the
+    first k posts by id hold enough others; no table of all pairs is built.
+    With ``tags_col`` (an array of the queries) a query that names tags is
+    completed from the posts that carry one of them: the first k posts of every
+    tag hold enough."""
+    ranked = materialize(ranked.select(qid, pid, "sim", "rank"))
+    have = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
+    names = [F.col(tags_col).alias("_tags")] if tags_col else []
+    short = queries.select(qid, *names).join(have, qid, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    short = materialize(short.filter(F.col("_n") < k))
+    if short.isEmpty():
+        return ranked
+    firsts = [r[0] for r in posts.select(pid).distinct().orderBy(pid).limit(k).collect()]
+    any_post = F.array(*[F.lit(i) for i in firsts]) if firsts else F.array().cast("array<long>")
+    free = F.size("_tags") <= 0 if tags_col else F.lit(True)
+    if tags_col:
+        free = F.col("_tags").isNull() | free
+    offered = short.filter(free).select(qid, "_n", F.explode(any_post).alias(pid))
+    if tags_col:
+        w = Window.partitionBy("_tag").orderBy(pid)
+        per_tag = posts.select(pid, F.explode(F.array_distinct(post_tags)).alias("_tag")) \
+            .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        asked = short.filter(~free).select(qid, "_n", F.explode(F.array_distinct("_tags")).alias("_tag"))
+        offered = offered.unionByName(asked.join(per_tag, "_tag").select(qid, "_n", pid).distinct())
+    more = offered.join(ranked.select(qid, pid), [qid, pid], "left_anti")
+    place = F.col("_n") + F.row_number().over(Window.partitionBy(qid).orderBy(pid))
+    more = more.withColumn("rank", place).filter(F.col("rank") <= k)
+    kinds = {f.name: f.dataType for f in ranked.schema.fields}
+    return ranked.unionByName(more.select(qid, F.col(pid).cast(kinds[pid]).alias(pid), F.lit(0.0).alias("sim"),
+                                          F.col("rank").cast("int").alias("rank")))
+
+
+# Scores are compared after rounding; bounds leave this much room for it.
+_ROUNDING = 1e-6
+
+
+def _stacked(postings: DataFrame, fields: list[str], weights: dict[str, float], pid: str) -> DataFrame:
+    """(id, field, term, w) of one vector per post: the unit vectors of its
+    fields side by side, each scaled so that a dot product of two such vectors
+    is the weighted sum of the fields' cosines."""
+    scale = F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(float(weights[f]) ** 0.5))])
+    return postings.filter(F.col("field").isin(*fields)).select(
+        F.col(pid).alias("id"), "field", "term", (F.col("weight") * scale[F.col("field")]).alias("w"))
+
+
+def indexed_part(vectors: DataFrame, t: float) -> DataFrame:
+    """The postings (id, field, term, w, rest, left_out) that an all-pairs join
+    over the threshold needs.
+
+    Each vector's terms are ordered from frequent to rare; ``rest`` is the norm
+    of those before a term.  While the norm up to and with a term stays below
+    t / (the largest norm of any vector), these terms alone cannot make a score
+    of t with any vector, so they are left out (``left_out``: their norm).  Of
+    two vectors that score t, the part that is left out further towards the rare
+    end cannot hold all common terms: a term that is kept in both is shared."""
+    df = vectors.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    v = vectors.join(checked_broadcast(df), ["field", "term"])
+    order = Window.partitionBy("id").orderBy(F.desc("df"), "field", "term")
+    upto = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    v = materialize(v.withColumn("upto", upto))
+    most = v.agg(F.max("upto")).first()[0] or 1.0
+    limit = max(0.0, t - _ROUNDING) ** 2 / most
+    out = F.max(F.when(F.col("upto") < limit, F.col("upto"))).over(Window.partitionBy("id"))
+    kept = v.withColumn("left_out", F.sqrt(F.coalesce(out, F.lit(0.0)))).filter(F.col("upto") >= limit)
+    # a term of one vector can meet no other
+    return kept.filter("df > 1").select("id", "field", "term", "w", "left_out",
+                                        F.sqrt(F.greatest(F.col("upto") - F.col("w") * F.col("w"), F.lit(0.0))).alias("rest"))
+
+
+def threshold_candidates(vectors: DataFrame, t: float) -> DataFrame:
+    """(a, b, part): pairs a < b that may score more than t, with the score of
+    the terms that both keep.
+
+    Pairs meet in the lists of kept terms.  If the term is the rarest they share,
+    their score is at most w_a w_b + rest_a rest_b, so a pair that scores t shows
+    at least one meeting above that bound; a pair whose part, together with what
+    can be left out of it, stays below t is no candidate either."""
+    x = materialize(indexed_part(vectors, t))
+    a, b = x.alias("a"), x.alias("b")
+    low = t - _ROUNDING
+    met = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
+    first = F.col("a.w") * F.col("b.w") + F.col("a.rest") * F.col("b.rest") >= low
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.w") * F.col("b.w")).alias("p"),
+                       first.alias("first"), F.greatest("a.left_out", "b.left_out").alias("left_out"))
+    sums = pairs.groupBy("a", "b").agg(F.sum("p").alias("part"), F.max("first").alias("first"), F.max("left_out").alias("left_out"))
+    return sums.filter(F.col("first") & (F.col("part") + F.col("left_out") >= low)).select("a", "b", "part")
+
+
+def threshold_join_sparse(postings: DataFrame, t: float, fields: list[str] | None = None, mean: bool = True,
+                          qid: str = "query_id", pid: str = "post_id", round_to: int = 6) -> DataFrame:
+    """J11 (sparse): all pairs of different posts, in both directions, whose
+    cosine (mean over the fields, or summed) exceeds ``t`` > 0 after rounding.
+
+    Candidates come from the rare ends of the vectors (``indexed_part``), so no
+    list of a frequent term is joined; they are scored on whole vectors."""
+    if t <= 0:
+        raise ValueError("the threshold must be positive: pairs without a common term score 0")
+    fields = fields or ["title", "body"]
+    v = materialize(_stacked(postings, fields, {f: 1 / len(fields) if mean else 1.0 for f in fields}, pid))
+    c = materialize(threshold_candidates(v, t).select("a", "b"))
+    left = c.join(v.withColumnRenamed("id", "a").withColumnRenamed("w", "wa"), "a")
+    both = left.join(v.withColumnRenamed("id", "b").withColumnRenamed("w", "wb"), ["b", "field", "term"])
+    scored = both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), round_to).alias("sim")).filter(F.col("sim") > t)
+    return scored.select(F.inline(F.array(F.struct(F.col("a").alias(qid), F.col("b").alias(pid), "sim"),
+                                          F.struct(F.col("b").alias(qid), F.col("a").alias(pid), "sim"))))

@@ -90,6 +90,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "sparse_scores": ("""
         SELECT query_id, post_id, round(sum(q.weight * p.weight), 6) AS sim
         FROM qpost q JOIN postings p USING (term) GROUP BY ALL""", ("qpost", "postings")),
+    # with the posts that share no term, at 0
+    "sparse_all": ("""
+        SELECT q.query_id, p.post_id, coalesce(s.sim, 0) AS sim FROM queries q CROSS JOIN questions p
+        LEFT JOIN sparse_scores s ON s.query_id = q.query_id AND s.post_id = p.post_id""",
+                   ("queries", "questions", "sparse_scores")),
 }
 
 

@@ -51,15 +51,20 @@ def sparse_search(questions: DataFrame, queries: DataFrame, k: int = 10,
                   weights: dict | None = None,
                   ranking: Callable[[DataFrame], DataFrame] | None = None,
                   on_results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """P1 (sparse): ranked (query_id, rank, post_id, sim, title).
+    """P1 (sparse): ranked (query_id, rank, post_id, sim, title), min(k, posts)
+    rows per query: posts without a common term follow by id, with score 0.
 
-    ``ranking`` (U1) replaces the default top-k ranking over the scored pairs;
-    ``on_results`` (U2) is applied to the final result DataFrame.
+    ``ranking`` (U1) replaces the default top-k ranking over the scored pairs
+    (and is not completed); ``on_results`` (U2) is applied to the final result
+    DataFrame.
     """
+    if weights is not None:
+        check_weights(weights, FIELDS)
     idf, postings = build_sparse_index(questions)
     qv = sparse_query_vectors(idf, queries)
     if ranking is None:
         ranked = sparse.knn_join_sparse(qv, postings, k, weights=weights)
+        ranked = sparse.fill_to_k(ranked, queries, questions, k)
     else:
         scored = sparse.knn_join_sparse(qv, postings, None, weights=weights)
         ranked = ranking(scored.drop("rank"))
@@ -96,6 +101,8 @@ def dense_query_vectors(queries: DataFrame, word_vectors: DataFrame, fields=FIEL
 def dense_search(questions: DataFrame, queries: DataFrame, word_vectors: DataFrame,
                  k: int = 10, weights: dict | None = None) -> DataFrame:
     """P1 (dense): ranked (query_id, rank, post_id, sim, title)."""
+    if weights is not None:
+        check_weights(weights, FIELDS)
     index = build_dense_index(questions, word_vectors)
     qv = dense_query_vectors(queries, word_vectors)
     ranked = dense.knn_join_dense(qv, index, k, FIELDS, weights=weights)
@@ -107,7 +114,7 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
                   postings: DataFrame, k: int, mean: bool = False,
                   fields=FIELDS, meta: DataFrame | None = None,
                   query_tags: DataFrame | None = None, ranked: bool = True,
-                  weights: dict | None = None, term_buckets: int | None = None) -> DataFrame:
+                  weights: dict | None = None) -> DataFrame:
     """Exact top-k of dense_sum + sparse_sum; ``weights`` (field ->
     weight) scale the fields of both halves.
 
@@ -128,8 +135,7 @@ def hybrid_scores(qv_dense: DataFrame, index_dense: DataFrame, qv_sparse: DataFr
         dk = dcat.join(meta.select(F.col("post_id").alias("pid"), F.col("etags").alias("tags")), "pid", "left")
     dtop = dense.knn_join_vectors(qk, dk, k).select(
         F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), F.lit(True).alias("_d"))
-    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12, weights=weights,
-                                term_buckets=term_buckets).select(
+    sp = sparse.knn_join_sparse(qv_sparse, postings, None, round_to=12, weights=weights).select(
         "query_id", "post_id", F.col("sim").alias("s_sim"))
     cands = sp.join(dtop, ["query_id", "post_id"], "full_outer")
     j = (cands.join(qcat.withColumnRenamed("qid", "query_id").withColumnRenamed("vec", "qv"),
@@ -214,41 +220,55 @@ def tag_filter(scores: DataFrame, queries: DataFrame, meta: DataFrame,
 
 def search(questions: DataFrame, queries: DataFrame, meta: DataFrame, model: str = "sparse",
            k: int = 10, word_vectors: DataFrame | None = None, weights: dict | None = None,
-           n_top_tags: int = 8, stored: dict | None = None):
+           n_top_tags: int = 8, stored: str | None = None):
     """Batch search.  ``queries`` (query_id, text[, tags array]); model
     'sparse', 'dense' or 'hybrid'.  Returns (ranked rows with metadata (P2),
-    top tags per query (A7)).  ``stored`` holds index frames that were built
-    before (idf, postings, dense, term_buckets); without it the index is built
-    from ``questions``."""
-    stored = stored or {}
+top tags per query (A7)).  ``stored`` names the folder of an index that was
+    built before; without it the index is built from ``questions``.
+
+    Over a stored index, queries without tags read what can still win only: the
+    blocks of postings and the cells of vectors whose bounds allow it."""
+    from ..operators import blockmax, cells
     from ..operators.relational import top_tags
+    spark = queries.sparkSession
     has_tags = "tags" in queries.columns
     if weights is not None:
         check_weights(weights, FIELDS)
-    def sparse_index():
-        return (stored["idf"], stored["postings"]) if stored else build_sparse_index(questions)
-
-    buckets = stored.get("term_buckets")
-    if model == "sparse":
-        idf, postings = sparse_index()
-        scores = sparse.knn_join_sparse(sparse_query_vectors(idf, queries), postings, None,
-                                        weights=weights, term_buckets=buckets)
-    elif model in ("dense", "hybrid"):
-        index = stored["dense"] if stored else build_dense_index(questions, word_vectors)
+    postings = maxima = None
+    if model in ("sparse", "hybrid"):
+        if stored:
+            idf = spark.read.parquet(f"{stored}/idf")
+            qs = sparse_query_vectors(idf, queries)
+            postings, maxima = blockmax.read_postings(spark, f"{stored}/sparse", qs)
+        else:
+            idf, postings = build_sparse_index(questions)
+            qs = sparse_query_vectors(idf, queries)
+    if model in ("dense", "hybrid"):
+        index = spark.read.parquet(f"{stored}/dense").select("post_id", "field", "vector") if stored \
+            else build_dense_index(questions, word_vectors)
         qd = dense_query_vectors(queries, word_vectors)
         qtags = queries.select("query_id", "tags") if has_tags else None
-        if model == "dense":
-            scores = dense_topk_tagged(qd, index, k, meta, qtags, weights).drop("rank")
+    if model == "sparse":
+        if stored and not has_tags:
+            scores = blockmax.search_blocks(qs, postings, maxima, k, weights).drop("rank")
         else:
-            idf, postings = sparse_index()
-            qs = sparse_query_vectors(idf, queries)
-            scores = hybrid_scores(qd, index, qs, postings, k, meta=meta, query_tags=qtags,
-                                   ranked=False, weights=weights, term_buckets=buckets)
+            scores = sparse.knn_join_sparse(qs, postings, None, weights=weights)
+    elif model == "dense":
+        if stored and not has_tags:
+            qv = dense.field_concat(qd.withColumnRenamed("query_id", "qid"), "qid", FIELDS, weights)
+            top = cells.search_cells(spark, f"{stored}/dense_cells", qv, k)
+            scores = top.select(F.col("qid").alias("query_id"), F.col("pid").alias("post_id"), "sim")
+        else:
+            scores = dense_topk_tagged(qd, index, k, meta, qtags, weights).drop("rank")
+    elif model == "hybrid":
+        scores = hybrid_scores(qd, index, qs, postings, k, meta=meta, query_tags=qtags, ranked=False, weights=weights)
     else:
         raise ValueError(f"unknown model {model!r}")
     if has_tags:
         scores = tag_filter(scores, queries, meta)
     ranked = sparse.rank_results(scores, k)
+    if model == "sparse":
+        ranked = sparse.fill_to_k(ranked, queries, meta, k, tags_col="tags" if has_tags else None)
     return metadata_frame(ranked, meta), top_tags(ranked, meta, n_top_tags)
 
 
@@ -269,12 +289,6 @@ def dense_topk_tagged(qd: DataFrame, index: DataFrame, k: int, meta: DataFrame |
 def search_stored(spark, index_dir: str, queries: DataFrame, model: str = "sparse", k: int = 10,
                   word_vectors: DataFrame | None = None, weights: dict | None = None, n_top_tags: int = 8):
     """P1 over an index that the index job (P7) wrote: nothing is rebuilt, and
-    of the postings only the term buckets of the queries are read."""
-    def read(name):
-        return spark.read.parquet(f"{index_dir}/{name}")
-
-    stored = {"idf": read("idf"), "postings": read("postings"),
-              "term_buckets": spark.read.json(f"{index_dir}/_meta").first()["term_buckets"]}
-    if model in ("dense", "hybrid"):
-        stored["dense"] = read("dense").select("post_id", "field", "vector")
-    return search(None, queries, read("metadata"), model, k, word_vectors, weights, n_top_tags, stored)
+    of the postings only the buckets that hold terms of the queries are read."""
+    meta = spark.read.parquet(f"{index_dir}/metadata")
+    return search(None, queries, meta, model, k, word_vectors, weights, n_top_tags, index_dir)

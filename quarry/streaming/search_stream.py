@@ -12,18 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import sparse
+from ..operators import blockmax
 from ..plans.search import sparse_query_vectors
 
 QUERY_SCHEMA = "query_id long, text string"
 
 
-def answer_batch(idf: DataFrame, postings: DataFrame, meta: DataFrame | None,
-                 batch: DataFrame, k: int, term_buckets: int | None = None) -> DataFrame:
+def answer_batch(spark: SparkSession, index_dir: str, meta: DataFrame | None, batch: DataFrame, k: int) -> DataFrame:
     """One micro-batch of queries -> ranked results (+ titles when given).
-    With ``term_buckets`` only the index buckets of the batch's terms are read."""
-    qv = sparse_query_vectors(idf, batch)
-    ranked = sparse.knn_join_sparse(qv, postings, k, term_buckets=term_buckets)
+    Only the index buckets of the batch's terms are read."""
+    qv = sparse_query_vectors(spark.read.parquet(f"{index_dir}/idf"), batch)
+    postings, maxima = blockmax.read_postings(spark, f"{index_dir}/sparse", qv)
+    ranked = blockmax.search_blocks(qv, postings, maxima, k)
     if meta is not None:
         ranked = ranked.join(meta.select("post_id", "title"), "post_id", "left")
     return ranked
@@ -38,14 +38,11 @@ def start_search_stream(spark: SparkSession, query_dir: str, index_dir: str, out
     stream = spark.readStream.schema(QUERY_SCHEMA).format(fmt).load(query_dir)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        idf = spark.read.parquet(f"{index_dir}/idf")
-        postings = spark.read.parquet(f"{index_dir}/postings")
-        buckets = spark.read.json(f"{index_dir}/_meta").first()["term_buckets"]
         try:
             meta = spark.read.parquet(f"{index_dir}/metadata")
         except Exception:  # noqa: BLE001  (metadata is optional)
             meta = None
-        res = answer_batch(idf, postings, meta, batch, k, term_buckets=buckets)
+        res = answer_batch(spark, index_dir, meta, batch, k)
         # one folder per epoch, overwritten on replay: a retried batch after a
         # failure rewrites its own output instead of appending duplicates
         res.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")

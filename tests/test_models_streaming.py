@@ -122,27 +122,23 @@ def test_dump_reader_rejects_bad_ids(spark, tmp_path):
     assert [r["Id"] for r in bad.collect()] == ["x2"]
 
 
-def test_stored_index_search_prunes_buckets(spark):
-    """Searching a stored index joins on (bucket, term): the postings scan
-    carries a partition filter on the bucket, and the results equal the
-    search over the in-memory index."""
+def test_bucketed_postings_are_pruned(spark):
+    """Postings written by term bucket: the scan carries a partition filter on
+    the bucket, and the results equal the search over the in-memory index."""
+    import re
     from quarry.operators import sparse as SP
     from quarry.plans import search
-    from quarry.streaming.search_stream import answer_batch
-    q = M.questions(spark, SF_SMALL)
-    cfg = P.IndexConfig(out_dir=scratch_path(spark, "idx2"), conditions=(), bucket_count=16)
-    P.build_index(q.withColumn("snippet_count", F.lit(1)).withColumn(
-        "best", F.lit(None).cast("struct<answer_id:bigint,score:int,code:array<string>>")), cfg)
-    idf = spark.read.parquet(f"{cfg.out_dir}/idf")
-    postings = spark.read.parquet(f"{cfg.out_dir}/postings")
-    batch = M.search_queries(spark, SF_SMALL)
-    got = answer_batch(idf, postings, None, batch, 5, term_buckets=16)
+    from quarry.sources import dump
+    idf, postings = search.build_sparse_index(M.questions(spark, SF_SMALL))
+    path = scratch_path(spark, "postings")
+    dump.write_table(postings, path, bucket_col="term", buckets=16)
+    stored = spark.read.parquet(path)
+    qv = search.sparse_query_vectors(idf, M.search_queries(spark, SF_SMALL))
+    got = SP.knn_join_sparse(qv, stored, 5, term_buckets=16)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    import re
     scans = [ln for ln in plan.split("\n") if "FileScan parquet" in ln and "postings" in ln]
     assert scans and all(re.search(r"PartitionFilters: \[_bucket#\d+ IN", s_) for s_ in scans)
-    qv = search.sparse_query_vectors(idf, batch)
-    want = SP.knn_join_sparse(qv, postings.drop("_bucket"), 5)
+    want = SP.knn_join_sparse(qv, postings, 5)
     cols = ["query_id", "post_id", "sim", "rank"]
     assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
 
