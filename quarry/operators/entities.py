@@ -68,7 +68,16 @@ def context_features(tok: DataFrame, seq_keys: list[str], with_brown: bool = Tru
 
     Input: seq_keys + (pos, token, is_* flags, brown, brown_p*)."""
     o = tok.withColumn("_o", ortho.orthographic_features("token"))
+    brown = with_brown and "brown" in tok.columns
+    # what a neighbour contributes, so that one lag and one lead serve all
+    # features; the features themselves are a projection of three tokens
+    own = [F.col("_o")["w"].alias("w"), F.col("_o")["wl"].alias("wl")]
+    if brown:
+        own += [F.col(c).alias(c) for c in ("brown", *(f"brown_p{p}" for p in BROWN_PREFIXES))]
+    own += [F.col(f"ce{k}").alias(f"ce{k}") for k in ce_ks]
     w = Window.partitionBy(*seq_keys).orderBy("pos")
+    o = o.withColumn("_c", F.struct(*own))
+    o = o.withColumn("_p", F.lag("_c").over(w)).withColumn("_x", F.lead("_c").over(w))
     feats = []
     for tag in ORTH_TAGS:
         feats.append(F.concat(F.lit(f"{tag}[0]="), F.col("_o")[tag]))
@@ -79,27 +88,23 @@ def context_features(tok: DataFrame, seq_keys: list[str], with_brown: bool = Tru
     def pair(name, col_a, col_b, oa, ob):
         return F.concat(F.lit(f"{name}[{oa}]|{name}[{ob}]="), col_a, F.lit("|"), col_b)
 
+    def at(name):
+        return F.col("_p")[name], F.col("_c")[name], F.col("_x")[name]
+
     for tag in ("w", "wl"):
-        cur = F.col("_o")[tag]
-        prev, nxt = F.lag(cur).over(w), F.lead(cur).over(w)
+        prev, cur, nxt = at(tag)
         feats.append(pair(tag, prev, cur, -1, 0))
         feats.append(pair(tag, cur, nxt, 0, 1))
-    if with_brown and "brown" in tok.columns:
-        b = F.col("brown")
-        bp, bn = F.lag(b).over(w), F.lead(b).over(w)
+    if brown:
+        bp, b, bn = at("brown")
         feats += [F.concat(F.lit("brown[-1]="), bp), F.concat(F.lit("brown[0]="), b),
                   F.concat(F.lit("brown[1]="), bn),
                   pair("brown", bp, b, -1, 0), pair("brown", b, bn, 0, 1), pair("brown", bp, bn, -1, 1)]
         for p in BROWN_PREFIXES:
-            c = F.col(f"brown_p{p}")
-            feats += [F.concat(F.lit(f"brown-p{p}[-1]="), F.lag(c).over(w)),
-                      F.concat(F.lit(f"brown-p{p}[0]="), c),
-                      F.concat(F.lit(f"brown-p{p}[1]="), F.lead(c).over(w))]
-    if ce_ks:
-        feats += _compound_cols(ce_ks, w)
-    first = F.lag(F.lit(1)).over(w).isNull()
-    last = F.lead(F.lit(1)).over(w).isNull()
-    feats += [F.when(first, F.lit("__BOS__")), F.when(last, F.lit("__EOS__"))]
+            feats += [F.concat(F.lit(f"brown-p{p}[{i}]="), c) for i, c in zip((-1, 0, 1), at(f"brown_p{p}"))]
+    for k in ce_ks:
+        feats += _compound_of(f"ce{k}", *at(f"ce{k}"))
+    feats += [F.when(F.col("_p").isNull(), F.lit("__BOS__")), F.when(F.col("_x").isNull(), F.lit("__EOS__"))]
     arr = F.filter(F.array(*feats), lambda x: x.isNotNull())
     return o.select(*seq_keys, "pos", "token", arr.alias("features"))
 
@@ -119,22 +124,18 @@ def compound_features(tok: DataFrame, seq_keys: list[str], ks) -> DataFrame:
     bigrams (-1,0) (0,1) and the (-1,+1) skip pair; absent neighbours give
     absent features.  Input: seq_keys + (pos, token, ce<k> columns)."""
     w = Window.partitionBy(*seq_keys).orderBy("pos")
-    arr = F.filter(F.array(*_compound_cols(ks, w)), lambda v: v.isNotNull())
-    return tok.select(*seq_keys, "pos", "token", arr.alias("features"))
-
-
-def _compound_cols(ks, w) -> list:
-    feats = []
-    for k in ks:
-        n = f"ce{k}"
-        c = F.col(n)
-        p, x = F.lag(c).over(w), F.lead(c).over(w)
-        feats += [F.concat(F.lit(f"{n}[-1]="), p), F.concat(F.lit(f"{n}[0]="), c),
-                  F.concat(F.lit(f"{n}[1]="), x),
-                  F.concat(F.lit(f"{n}[-1]|{n}[0]="), p, F.lit("|"), c),
-                  F.concat(F.lit(f"{n}[0]|{n}[1]="), c, F.lit("|"), x),
-                  F.concat(F.lit(f"{n}[-1]|{n}[1]="), p, F.lit("|"), x)]
-    return feats
+    t = tok.withColumn("_c", F.struct(*[F.col(f"ce{k}").alias(f"ce{k}") for k in ks]))
+    t = t.withColumn("_p", F.lag("_c").over(w)).withColumn("_x", F.lead("_c").over(w))
+    feats = [f for k in ks for f in _compound_of(f"ce{k}", F.col("_p")[f"ce{k}"], F.col("_c")[f"ce{k}"], F.col("_x")[f"ce{k}"])]
+    return t.select(*seq_keys, "pos", "token", F.filter(F.array(*feats), lambda v: v.isNotNull()).alias("features"))
+
+
+def _compound_of(n: str, p, c, x) -> list:
+    return [F.concat(F.lit(f"{n}[-1]="), p), F.concat(F.lit(f"{n}[0]="), c),
+            F.concat(F.lit(f"{n}[1]="), x),
+            F.concat(F.lit(f"{n}[-1]|{n}[0]="), p, F.lit("|"), c),
+            F.concat(F.lit(f"{n}[0]|{n}[1]="), c, F.lit("|"), x),
+            F.concat(F.lit(f"{n}[-1]|{n}[1]="), p, F.lit("|"), x)]
 
 
 def gazetteer_tags(tok: DataFrame, seq_keys: list[str]) -> DataFrame:

@@ -10,13 +10,17 @@ except bounded model statistics.
 
 from __future__ import annotations
 
+import itertools
+import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, StringIndexer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,8 +159,9 @@ def train_skipgram(sentences: DataFrame, tokens_col: str = "tokens", dim: int =
                    window: int = 10, min_count: int = 5, max_iter: int = 24, seed: int = 1200,
                    partitions: int | None = None):
     """V5: MLlib Word2Vec (skip-gram, hierarchical softmax); defaults follow
-    the original configuration (300 dims, window 10, min count 5, 24 epochs;
-    sub-sampling has no MLlib counterpart).
+    the original configuration (300 dims, window 10, min count 5, 24 epochs).
+    Sub-sampling is a step of its own (``subsample``), drawn once and not anew
+    per epoch.
 
     Training runs in as many partitions as the input has (``partitions``
     overrides), whose models are averaged after each epoch.  MLlib keeps the
@@ -167,6 +172,69 @@ def train_skipgram(sentences: DataFrame, tokens_col: str = "tokens", dim: int =
                     seed=seed, inputCol=tokens_col, outputCol="_v").fit(sentences)
 
 
+def keep_probability(share: Column, threshold: float) -> Column:
+    """V5 sub-sampling: sqrt(t / f) + t / f of a word's share f of all tokens,
+    1 at most."""
+    x = F.lit(threshold) / share
+    return F.least(F.sqrt(x) + x, F.lit(1.0))
+
+
+def subsample(docs: DataFrame, id_col: str, tokens_col: str = "tokens", threshold: float = 1e-6, salt: str = "") -> DataFrame:
+    """V5 sub-sampling: (id, tokens) with frequent words thinned out.
+
+    An occurrence stays when the hash of its text and position (eight hex digits
+    of an MD5, as a number in [0, 1)) lies below its word's keep probability: the
+    same rows give the same sample, wherever they are read.  Word counts are
+    combined per task; they are broadcast only behind a check of their size."""
+    toks = docs.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    counts = materialize(docs.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    share = F.col("n") / F.lit(float(total))
+    kept = checked_broadcast(counts.select("token", keep_probability(share, threshold).alias("_p")))
+    key = F.concat(F.lit(salt), F.col(id_col).cast("string"), F.lit(":"), F.col("pos").cast("string"))
+    u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    left = toks.join(kept, "token").filter(u < F.col("_p"))
+    g = left.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_l"))
+    out = g.select(id_col, F.transform("_l", lambda x: x["token"]).alias(tokens_col))
+    none = docs.select(id_col).join(out.select(id_col), id_col, "left_anti")
+    return out.unionByName(none.withColumn(tokens_col, F.array().cast("array<string>")))
+
+
+# Q17: character n-grams of a word with its ends marked
+SUBWORD_SIZES = (3, 4, 5, 6)
+
+
+def character_grams(word: Column, sizes: tuple[int, ...] = SUBWORD_SIZES) -> Column:
+    """The distinct n-grams of '<word>'."""
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+    n = F.length(marked)
+
+    def of_size(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(marked, i, F.lit(k))))
+
+    return F.array_distinct(F.flatten(F.filter(F.array(*[of_size(k) for k in sizes]), lambda a: a.isNotNull())))
+
+
+def subword_table(vectors: DataFrame, buckets: int = 2_000_000, sizes: tuple[int, ...] = SUBWORD_SIZES) -> DataFrame:
+    """Q17: (bucket, vector): per hashed character n-gram the mean of the unit
+    vectors of the words that hold it."""
+    from .dense import unit_normalize
+    grams = vectors.select(F.explode(character_grams(F.col("token"), sizes)).alias("g"),
+                           array_to_vector(unit_normalize("vector")).alias("v"))
+    t = grams.select(F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"), "v")
+    return t.groupBy("bucket").agg(Summarizer.mean(F.col("v")).alias("_m")).select("bucket", vector_to_array("_m").alias("vector"))
+
+
+def unseen_word_vectors(words: DataFrame, table: DataFrame, word_col: str = "token", buckets: int = 2_000_000,
+                        sizes: tuple[int, ...] = SUBWORD_SIZES) -> DataFrame:
+    """Q17: (word, vector) of words without a vector of their own: the mean of
+    their n-grams' vectors.  A word of which no n-gram is known has no row."""
+    grams = words.select(word_col).distinct().select(word_col, F.explode(character_grams(F.col(word_col), sizes)).alias("g"))
+    met = grams.select(word_col, F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket")).join(table, "bucket")
+    return met.groupBy(word_col).agg(Summarizer.mean(array_to_vector("vector")).alias("_m")) \
+        .select(word_col, vector_to_array("_m").alias("vector"))
+
+
 def word_vector_table(model) -> DataFrame:
     """(token, vector array<float>) from a Word2Vec model."""
     return model.getVectors().select(F.col("word").alias("token"),
@@ -266,7 +334,9 @@ def compound_embeddings(word_vectors: DataFrame, ks=(500, 1000, 1500, 2000, 3000
 
 
 def pca_project(vectors: DataFrame, n: int, id_col: str, vector_col: str = "vector") -> DataFrame:
-    """MLlib PCA projection to n components."""
+    """MLlib PCA projection to n components, or to all that the vectors
+    have if these are fewer."""
+    n = min(n, vectors.agg(F.max(F.size(vector_col))).first()[0] or 1)
     v = vectors.select(id_col, array_to_vector(vector_col).alias("features"))
     model = PCA(k=n, inputCol="features", outputCol="_p").fit(v)
     return model.transform(v).select(id_col, vector_to_array("_p").alias("projection"))
@@ -338,30 +408,77 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 1200, label: str = "
         .drop("_h", "_g", "_off")
 
 
-def cross_validate(df: DataFrame, k: int = 5, seed: int = 1200, grid=None, metric: str = "accuracy",
-                   id_col: str = "id"):
-    """CrossValidator over a parameter grid with a stratified fold
-    column; returns (model, [(params, mean, std)])."""
-    pipe = noise_pipeline()
-    lr = pipe.getStages()[-1]
-    grid = grid or ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
-    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
-    data = stratified_folds(with_tokens(df), k, seed, id_col=id_col)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=k,
-                        foldCol="fold", seed=seed)
-    model = cv.fit(data)
-    std = getattr(model, "stdMetrics", None) or [0.0] * len(grid)
-    rows = [({p.name: v for p, v in pm.items()}, m, s) for pm, m, s in zip(grid, model.avgMetrics, std)]
-    return model, rows
-
-
-def holdout_evaluate(df: DataFrame, test_fraction: float = 0.2, seed: int = 1200, id_col: str = "id"):
+MEASURES = ("accuracy", "precision", "f1")
+
+
+def out_of_fold(df: DataFrame, settings: list[dict], k: int = 5, seed: int = 1200, id_col: str = "id",
+                parallelism: int = 4) -> DataFrame:
+    """(setting, fold, id, label, pred): every row predicted once per
+    setting (arguments of ``noise_pipeline``) by a model of the other folds.
+    The folds are stratified and the same for all settings."""
+    data = materialize(stratified_folds(with_tokens(df), k, seed, id_col=id_col))
+
+    def fitted(job):
+        i, fold = job
+        model = noise_pipeline(**settings[i]).fit(data.filter(F.col("fold") != fold))
+        return model.transform(data.filter(F.col("fold") == fold)).select(
+            F.lit(i).alias("setting"), "fold", F.col(id_col), F.col("label").cast("int").alias("label"),
+            F.col("prediction").cast("int").alias("pred"))
+
+    # independent Spark jobs, submitted side by side
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(fitted, itertools.product(range(len(settings)), range(k))))
+    return materialize(reduce(DataFrame.unionByName, parts))
+
+
+def fold_scores(predictions: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """(setting, <measure>_mean, <measure>_std) of accuracy, precision
+    and f1 over the folds, all measures from one pass over the predictions; std
+    is that of the folds as a whole population."""
+    def n(label, pred):
+        return F.sum(((F.col("label") == label) & (F.col("pred") == pred)).cast("long"))
+
+    f = predictions.groupBy("setting", "fold").agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    p, r = tp / (tp + fp + eps), tp / (tp + fn + eps)
+    f = f.select("setting", "fold", ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), p.alias("precision"),
+                 (2 * p * r / (p + r + eps)).alias("f1"))
+    return f.groupBy("setting").agg(*[g(m).alias(f"{m}_{name}") for m in MEASURES
+                                      for name, g in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def grid(**choices) -> list[dict]:
+    """All combinations of the given values, in the order of the arguments."""
+    return [dict(zip(choices, values)) for values in itertools.product(*choices.values())]
+
+
+def cross_validate(df: DataFrame, settings: list[dict] | None = None, k: int = 5, seed: int = 1200,
+                   measure: str = "accuracy", id_col: str = "id"):
+    """Cross-validation of every setting; returns (best setting by
+    ``measure``, ties to the first; scores per setting; predictions)."""
+    settings = settings or grid(reg=[0.01, 0.1], vocab_size=[2000, 12000])
+    predictions = out_of_fold(df, settings, k, seed, id_col)
+    scores = materialize(fold_scores(predictions))
+    best = scores.orderBy(F.desc(f"{measure}_mean"), "setting").first()   # one row per setting
+    return settings[best["setting"]], scores, predictions
+
+
+def is_held_out(id_col, fraction: float = 0.2, salt: str = "") -> Column:
+    """Whether a row belongs to the held-out part: the first eight hex
+    digits of the MD5 of its id, taken modulo 1000, lie below the fraction."""
+    digest = F.md5(F.concat(F.lit(salt), F.col(id_col).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000 < int(fraction * 1000)
+
+
+def holdout_predictions(df: DataFrame, test_fraction: float = 0.2, id_col: str = "id", **setting) -> DataFrame:
+    """The held-out rows with the predictions of a model of the others."""
+    held = is_held_out(id_col, test_fraction)
+    return predict_noise(train_post_classifier(df.filter(~held), **setting), df.filter(held))
+
+
+def holdout_evaluate(df: DataFrame, test_fraction: float = 0.2, id_col: str = "id", **setting) -> DataFrame:
     """Deterministic hash split, train, evaluate on the held-out part."""
-    h = F.abs(F.xxhash64(F.col(id_col), F.lit(seed))) % 1000
-    train = df.filter(h >= int(test_fraction * 1000))
-    test = df.filter(h < int(test_fraction * 1000))
-    model = train_post_classifier(train)
-    return classifier_metrics(predict_noise(model, test))
+    return classifier_metrics(holdout_predictions(df, test_fraction, id_col, **setting))
 
 
 def train_token_tagger(features: DataFrame, tag_col: str = "tag", num_features: int = 1 << 18):
@@ -380,3 +497,85 @@ def tag_tokens(model, features: DataFrame) -> DataFrame:
     out = model.transform(features)
     return out.withColumn("pred_tag", F.element_at(lab, F.col("prediction").cast("int") + 1)) \
         .drop("hf", "rawPrediction", "probability", "prediction", "label")
+
+
+# log odds of a step that the tag scheme forbids
+_NEVER = -1e9
+
+
+def may_follow(prev: str | None, tag: str) -> bool:
+    """Whether ``tag`` may follow ``prev`` (None: the sentence begins): an I-x
+    follows a B-x or an I-x only."""
+    return not tag.startswith("I-") or prev in ("B-" + tag[2:], tag)
+
+
+def tag_transitions(tagged: DataFrame, labels: list[str], seq_keys: list[str], tag_col: str = "tag",
+                    smoothing: float = 1.0) -> tuple[list[float], list[list[float]]]:
+    """Log odds of the first tag of a sentence, and of tag j after tag i,
+    against how often j occurs at all, counted over the training sentences with
+    additive smoothing; steps that the scheme forbids are ruled out.  One row
+    per pair of tags reaches the driver."""
+    w = Window.partitionBy(*seq_keys).orderBy("pos")
+    pairs = tagged.select(F.lag(tag_col).over(w).alias("prev"), F.col(tag_col).alias("tag"))
+    n = {(r["prev"], r["tag"]): r["count"] for r in pairs.groupBy("prev", "tag").count().collect()}
+    total = sum(n.values()) + smoothing * len(labels)
+    share = {b: (sum(c for (_, x), c in n.items() if x == b) + smoothing) / total for b in labels}
+
+    def odds(a, b):
+        if not may_follow(a, b):
+            return _NEVER
+        among = sum(n.get((a, x), 0) + smoothing for x in labels if may_follow(a, x))
+        return math.log((n.get((a, b), 0) + smoothing) / among / share[b])
+
+    return [odds(None, b) for b in labels], [[odds(a, b) for b in labels] for a in labels]
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value``, computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def best_path(emissions: Column, start: list[float], steps: list[list[float]]) -> Column:
+    """The indices of the tags of the best path through a sentence.
+    ``emissions``: one array of scores per token, a score per tag.
+
+    A forward fold keeps the best score that ends in each tag and, per token,
+    the tag each came from; a backward fold follows these from the best end."""
+    into = F.array(*[F.array(*[F.lit(float(row[j])) for row in steps]) for j in range(len(start))])
+
+    def best(scores: Column) -> Column:
+        """The best (score, place); ties go to the first tag."""
+        pairs = F.transform(scores, lambda v, i: F.struct(v.alias("v"), (-i).alias("i")))
+        return F.array_max(pairs)
+
+    def forward(acc: Column, e: Column) -> Column:
+        came = F.transform(into, lambda col: best(F.zip_with(acc["scores"], col, lambda a, b: a + b)))
+        return _let(came, lambda c: F.struct(
+            F.zip_with(c, e, lambda x, y: x["v"] + y).alias("scores"),
+            F.concat(acc["back"], F.array(F.transform(c, lambda x: -x["i"]))).alias("back")))
+
+    first = F.zip_with(F.get(emissions, F.lit(0)), F.array(*[F.lit(float(x)) for x in start]), lambda a, b: a + b)
+    init = F.struct(first.alias("scores"), F.array().cast("array<array<int>>").alias("back"))
+    rest = F.slice(emissions, F.lit(2), F.greatest(F.size(emissions) - 1, F.lit(0)))
+    done = F.aggregate(rest, init, forward)
+    # the path is built from its end; reversed once at the end
+    return _let(done, lambda d: F.reverse(F.aggregate(
+        F.reverse(d["back"]), F.array(-best(d["scores"])["i"]),
+        lambda path, row: F.concat(path, F.array(F.get(row, F.element_at(path, -1)))))))
+
+
+def tag_sequences(model, features: DataFrame, seq_keys: list[str], start: list[float],
+                  steps: list[list[float]]) -> DataFrame:
+    """(seq_keys, pos, token, pred_tag): the best sequence of tags of every
+    sentence, by the model's log probabilities of the tags and the log odds of
+    the steps between them (``tag_transitions``)."""
+    lab = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    n = len(model.stages[0].labels)
+    scored = model.transform(features).select(
+        *seq_keys, "pos", "token", F.transform(F.slice(vector_to_array("probability"), 1, n),
+                                               lambda p: F.log(F.greatest(p, F.lit(1e-30)))).alias("e"))
+    sents = scored.groupBy(*seq_keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "e"))).alias("t"))
+    paths = sents.select(*seq_keys, "t", best_path(F.transform("t", lambda x: x["e"]), start, steps).alias("path"))
+    each = paths.select(*seq_keys, F.explode(F.zip_with("t", "path", lambda t, j: F.struct(
+        t["pos"].alias("pos"), t["token"].alias("token"), F.get(lab, j).alias("pred_tag")))).alias("x"))
+    return each.select(*seq_keys, "x.pos", "x.token", "x.pred_tag")
