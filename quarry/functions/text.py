@@ -31,9 +31,8 @@ LONG_PACKAGE_RE = r"([a-zA-Z0-9_$]{2,50}\.){5,}[a-zA-Z0-9_$]{2,50}"
 # of \b differs between regex engines and JVM versions): the character before
 # the path is captured and put back by the replacement, and the path must end
 # with a word character.
-_W, _NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
-PATH_RE = (r"(^|" + _NW + r")([Cc]:(?:\\\S{2,})+\\\S+" + _W + r")"
-           r"|(" + _W + r")((?:\\\S{2,})+\\\S+" + _W + r")")
+PATH_RE = (r"(^|[^\p{L}\p{N}_])([Cc]:(?:\\\S{2,})+\\\S+[\p{L}\p{N}_])"
+           r"|([\p{L}\p{N}_])((?:\\\S{2,})+\\\S+[\p{L}\p{N}_])")
 LARGE_TOKEN_RE = r"[a-f0-9]{50,}|[*=+~#!_-]{3,}"
 SYMBOLS_RE = r"[!\"%&$^*@`~(),?=/|<:;>{}\[\]-]"
 
