@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import arrays, tokens
-from .common import bounded, staged
+from .common import bounded, join_counted, staged
 from .graph import components
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def _frequency(paths: list, v: np.ndarray) -> np.ndarray:
     return out
 
 
-_LISTS = "whole boolean, value long, rep long, n long, pos int, own int, before array<long>"
+_LISTS = "whole boolean, value long, rep long, n long, most long, pos int, own int, before array<long>"
 
 
 def _list_rows(paths: list):
@@ -147,7 +147,7 @@ def _list_rows(paths: list):
                 reps, ns = b.column(0).to_pylist(), b.column(1).to_pylist()
                 kept = [_values(x) for x in b.column(2).to_pylist()]
                 freq = _frequency(paths, np.concatenate(kept)) if kept else np.empty(0, np.int64)
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 at = 0
                 for rep, n, v in zip(reps, ns, kept):
                     f = freq[at:at + len(v)]
@@ -157,12 +157,12 @@ def _list_rows(paths: list):
                     if n > PART:
                         _prefix(cols, False, rep, n, v[:K], f[:K], K - NEEDED + 1)
                 flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
-                ends = np.concatenate([[0], np.cumsum(flat[6])]).astype(np.int32)
-                before = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[7].astype(np.int64)))
+                ends = np.concatenate([[0], np.cumsum(flat[7])]).astype(np.int32)
+                before = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[8].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[0].astype(bool)), *(pa.array(c.astype(np.int64)) for c in flat[1:4]),
-                     *(pa.array(c.astype(np.int32)) for c in flat[4:6]), before],
-                    names=["whole", "value", "rep", "n", "pos", "own", "before"])
+                    [pa.array(flat[0].astype(bool)), *(pa.array(c.astype(np.int64)) for c in flat[1:5]),
+                     *(pa.array(c.astype(np.int32)) for c in flat[5:7]), before],
+                    names=["whole", "value", "rep", "n", "most", "pos", "own", "before"])
     return run
 
 
@@ -173,10 +173,14 @@ def _prefix(cols: list, whole: bool, rep: int, n: int, v: np.ndarray, f: np.ndar
     pos = np.flatnonzero(f[order] > 1)
     if not len(pos):
         return
-    own = int((f == 1).sum()) * 1000 // len(f)
+    private = int((f == 1).sum())
+    own = private * 1000 // len(f)
+    # a set that is kept whole shares with another such set no value that the
+    # corpus holds once; of a sketch nothing is known about the values beyond
+    most = n - private if whole else n
     shared = v[order[pos]].view(np.int64)
     count = np.arange(len(pos))
-    parts = (np.full(len(pos), whole), shared, np.full(len(pos), rep), np.full(len(pos), n), pos,
+    parts = (np.full(len(pos), whole), shared, np.full(len(pos), rep), np.full(len(pos), n), np.full(len(pos), most), pos,
              np.full(len(pos), own), count, np.concatenate([shared[:i] for i in count]))
     for c, x in zip(cols, parts):
         c.append(x)
@@ -184,12 +188,14 @@ def _prefix(cols: list, whole: bool, rep: int, n: int, v: np.ndarray, f: np.ndar
 
 def _can_link(x: str, y: str) -> Column:
     """Whether two list entries leave room for the overlap a link needs: by
-    sizes, and by the places of the shared value in the two orders (if it is
-    the first one shared, all before it is private)."""
+    sizes, by the values of whole sets that the corpus holds once, and by the
+    places of the shared value in the two orders (if it is the first one shared,
+    all before it is private)."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     p, q = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     sizes = F.least(n, m) * 4 >= F.greatest(n, m) * 3
-    whole = F.col(f"{x}.whole") & (F.least(n - p, m - q) * 7 >= (n + m) * 3)
+    most = F.least(f"{x}.most", f"{y}.most")
+    whole = F.col(f"{x}.whole") & (F.least(n - p, m - q, most) * 7 >= (n + m) * 3)
     # values that the partner's sketch lacks, though its set may hold them
     part = ~F.col(f"{x}.whole") & (F.greatest(n, m) > WHOLE) & (F.greatest(p, q) <= K - NEEDED)
     return sizes & (whole | part)
@@ -202,14 +208,34 @@ def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
 def pivot_pairs(lists: DataFrame) -> DataFrame:
     """Each list's members against its pivot."""
     pivots = lists.groupBy("whole", "value").agg(
-        F.min(F.struct("own", "rep", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("_n")).filter("_n > 1") \
-        .select("whole", "value", "p.rep", "p.n", "p.pos")
+        F.min(F.struct("own", "rep", "n", "most", "pos")).alias("p"), F.count(F.lit(1)).alias("_n")).filter("_n > 1") \
+        .select("whole", "value", "p.rep", "p.n", "p.most", "p.pos")
     x, y = lists.alias("x"), pivots.alias("y")
     met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.whole") == F.col("y.whole"))
                  & (F.col("x.rep") != F.col("y.rep")) & _can_link("x", "y"))
     return _ordered(met, "x.rep", "y.rep")
 
 
+def _size_class(n: Column) -> Column:
+    """Sets that can link are at most one class apart."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(4 / 3))).cast("int")
+
+
+def able(mixed: DataFrame) -> DataFrame:
+    """The members that a partner in their list leaves room for.
+
+    A whole set that can share ``most`` values links with a set of m values only
+    if 7 most >= 3 (n + m); the smallest m in the list, among the sizes that can
+    link at all, decides.  So a family of texts just under the limit leaves its
+    lists as a whole, before its members are compared."""
+    sized = mixed.withColumn("_c", _size_class(F.col("n")))
+    least = sized.groupBy("whole", "value", "_c").agg(F.min("n").alias("_least"))
+    near = least.select("whole", "value", F.explode(F.array(*[F.col("_c") + d for d in (-1, 0, 1)])).alias("_c"), "_least") \
+        .groupBy("whole", "value", "_c").agg(F.min("_least").alias("_least"))
+    room = ~F.col("whole") | (F.col("most") * 7 >= (F.col("n") + F.greatest("_least", F.ceil(F.col("n") * 3 / 4))) * 3)
+    return sized.join(near, ["whole", "value", "_c"]).filter(room).drop("_c", "_least")
+
+
 def remaining_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """In lists of several groups: members outside the largest against members
     of other groups."""
@@ -219,7 +245,7 @@ def remaining_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = named.groupBy("whole", "value", "group").agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.groupBy("whole", "value").agg(F.max_by("group", F.struct("_n", -F.col("group"))).alias("largest"),
                                                   F.count(F.lit(1)).alias("_groups")).filter("_groups > 1")
-    mixed = staged(named.join(largest.drop("_groups"), ["whole", "value"]), "mixed-lists")
+    mixed = staged(able(named.join(largest.drop("_groups"), ["whole", "value"])), "mixed-lists")
     x, y = mixed.filter(F.col("group") != F.col("largest")).alias("x"), mixed.alias("y")
     once = (F.col("y.group") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep"))
     # a pair meets in the first list it shares: there all tests above are at
@@ -277,7 +303,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: by the union sketch, then on whole sets."""
-    pairs = staged(pairs, "candidates")
     side = reps.select("rep", "n", "kept")
     both = (pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("kept").alias("ka")), "a")
             .join(side.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("kept").alias("kb")), "b")
@@ -303,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = staged(src.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, words long, n long, kept binary"), "sketches")
     named = rows.filter("doc_id is not null and words > 0")
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = staged(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "equal-texts")
     # one sketch per class of equal texts, combined before the shuffle
     reps = staged(named.filter("kept is not null").groupBy("k1", "k2")
                   .agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "n", "kept")).alias("s"))
@@ -324,16 +349,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(more, reps, src)
     # groups stand for the links found so far
     edges = groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
-    # rows that share an id are one document
-    same = classes.join(named.select("k1", "k2", "doc_id").distinct(), ["k1", "k2"]) \
-        .groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    edges = edges.unionByName(same.select("a", "b"))
+    # rows that share an id are one document: an id with several texts links
+    # each of their classes with the first
+    several = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")) \
+        .filter("lo <> hi").select("doc_id")
+    texts = named.join(bounded(staged(several, "several-texts")), "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+    texts = staged(texts.join(classes, ["k1", "k2"]).select("doc_id", "rep"), "texts-of-an-id")
+    first_of = texts.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    edges = edges.unionByName(texts.join(first_of, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")))
     final = staged(components(edges), "components")
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles")).join(of_class, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+        .select("k1", "k2", "n_rows", F.coalesce("component", "rep").alias("component"))
+    thin = rows.select("doc_id", "k1", "k2", "words", F.col("n").alias("n_shingles"))
+    inside = join_counted(thin.filter("doc_id is not null and words > 0"), staged(of_class, "classes-components"),
+                          ["k1", "k2"], "n_rows")
+    # texts without words, and rows without an id, are in no class
+    outside = thin.filter("doc_id is null or words <= 0").withColumn("component", F.lit(None).cast("long"))
+    out = inside.unionByName(outside)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

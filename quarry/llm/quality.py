@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, tokens
-from .common import staged
+from .common import bounded, staged
 
 STATISTICS = ("log_words", "log_word_bytes", "upper", "symbols", "bars", "exclamations", "stops", "digits",
               "beyond_ascii", "lines", "same_as_before", "log_type_share", "spread")
@@ -178,6 +178,16 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
     return fit(sums, pool, ridge)
 
 
+def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
+             text_col: str = "text", **options) -> Model:
+    """``train`` on the documents that have a label: only these are measured."""
+    ids = staged(labels.filter(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("labelled"))
+                 .filter("labelled is not null").distinct(), "labelled-ids")
+    some = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    some = some.join(bounded(ids), some[id_col] == ids["labelled"], "left_semi")
+    return train(measured(some, id_col, text_col), labels, label_col, **options)
+
+
 def _apply(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(STATISTICS)

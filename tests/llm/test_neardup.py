@@ -119,3 +119,40 @@ def test_components(spark, seed):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
+
+
+def test_a_family_just_under_the_limit_is_not_compared(spark, monkeypatch):
+    """Texts of one template, each pair just short of a link: their members
+    leave the lists before the join, so the work is linear in their number."""
+    rng = random.Random(9)
+    met = []
+    real = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    for size in (100, 200):
+        common = [f"t{i}c" for i in range(100)]
+        rows = []
+        for i in range(size):
+            own = [f"o{i}n{j}w" for j in range(16)]
+            rows.append((i, " ".join(common[:50] + own + common[50:])))
+        rows += [(1000, rows[3][1] + " end"), (1001, rows[5][1])]
+        got = run(spark, rows)
+        assert got == brute(rows)
+        assert sum(met[-2:]) <= 2 * size
+    rng.shuffle(met)
+
+
+def test_an_id_with_several_texts_links_them_all(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, 30, 5000) for _ in range(4)]
+    rows = [(10, texts[0]), (50, texts[0]), (50, texts[1]), (50, texts[2]), (20, texts[2]), (30, texts[1]), (40, texts[3])]
+    got = {(i, c) for i, _, c, _ in run(spark, rows)}
+    assert got == {(10, 10), (50, 10), (20, 10), (30, 10), (40, 40)}
+
+
+def test_a_hot_class_is_joined_apart(spark):
+    """More equal texts, and more empty ones, than a key may have in the join."""
+    rng = random.Random(4)
+    t = prose(rng, 40, 5000)
+    rows = [(5000 + i, t) for i in range(1200)] + [(i, "") for i in range(1200)] + [(9000, edited(rng, t, 0.02))]
+    got = {i: c for i, _, c, _ in run(spark, rows)}
+    assert {got[5000 + i] for i in range(1200)} == {5000} and got[9000] == 5000 and all(got[i] == i for i in range(1200))
