@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from .common import unique_name
 
 _OPEN: OrderedDict = OrderedDict()
-_MOST_OPEN = 512
+_MOST_OPEN = 16_384   # mapped files of a worker; a map holds no memory of its own
+_LISTS: OrderedDict = OrderedDict()
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
@@ -50,6 +51,50 @@ def write_shard(folder: str, columns: dict[str, np.ndarray]) -> str:
     return path
 
 
+class Listing:
+    """A list, one entry per shard, that a file in the shared folder holds: a
+    task's closure carries the file's name, and a worker reads it once."""
+
+    def __init__(self, path: str | None, n: int):
+        self.path, self.n = path, n
+
+    @staticmethod
+    def write(folder: str, entries: list) -> Listing:
+        path = f"{folder}/{unique_name('listing')}"
+        store, at = store_of(path)
+        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(at, compression=None) as out:
+            out.write(json.dumps(entries).encode())
+        return Listing(path, len(entries))
+
+    @staticmethod
+    def empty(n: int) -> Listing:
+        """``n`` entries of None, without a file."""
+        return Listing(None, n)
+
+    def _entries(self) -> list:
+        if self.path not in _LISTS:
+            store, at = store_of(self.path)
+            with store.open_input_stream(at, compression=None) as src:
+                _LISTS[self.path] = json.loads(src.read())
+            if len(_LISTS) > 16:
+                _LISTS.popitem(last=False)
+        return _LISTS[self.path]
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        return None if self.path is None else self._entries()[i]
+
+    def array(self) -> np.ndarray:
+        """The entries as numbers; kept beside the list."""
+        key = (self.path, "array")
+        if key not in _LISTS:
+            _LISTS[key] = np.asarray(self._entries(), np.int64)
+        return _LISTS[key]
+
+
 def _map(path: str) -> mmap.mmap:
     store, at = store_of(path)
     if isinstance(store, fs.LocalFileSystem):

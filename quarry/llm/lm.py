@@ -65,10 +65,10 @@ class Discounts:
 @dataclass(frozen=True)
 class Model:
     """Names of the shards and the few numbers that scoring needs."""
-    vocab: tuple      # paths: keys, counts
-    first: tuple      # number of each vocabulary shard's first word, and V at the end
-    words: tuple      # paths: total, n1, n2, n3, before (same split as vocab)
-    pairs: tuple      # paths: keys, low, over_at, over (None: an empty shard)
+    vocab: arrays.Listing   # paths: keys, counts
+    first: arrays.Listing   # number of each vocabulary shard's first word, and V at the end
+    words: arrays.Listing   # paths: total, n1, n2, n3, before (same split as vocab)
+    pairs: arrays.Listing   # paths: keys, low, over_at, over (None: an empty shard)
     n_tokens: int
     n_words: int
     pair_types: int
@@ -184,7 +184,7 @@ def _count_pairs(model: Model, shards: int):
 
 def _word_blocks(model: Model, ids: np.ndarray, values: np.ndarray, kind: int):
     """Rows (vocabulary shard, kind, numbers, values) of a statistic."""
-    sid = np.clip(np.searchsorted(model.first, ids, side="right") - 1, 0, len(model.vocab) - 1)
+    sid = np.clip(np.searchsorted(model.first.array(), ids, side="right") - 1, 0, len(model.vocab) - 1)
     at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1]))) if len(sid) else []
     return [(int(sid[a]), kind, arrays.planes(arrays.delta(ids[a:b].astype(np.uint64))),
              arrays.planes(values[a:b].astype(np.uint64))) for a, b in zip(at, np.append(at[1:], len(sid)))]
@@ -260,11 +260,12 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 23
     sizes = [0] * shards
     for r in words:  # one row per shard
         vocab[r.shard], sizes[r.shard] = r.path, r.n
-    first = tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)]))
+    first = [int(x) for x in np.concatenate([[0], np.cumsum(sizes)])]
     if first[-1] >= 2 ** 32 - 1:
         raise ValueError("more than 2^32 different words")
     empty = Discounts.of([0, 0, 0, 0])
-    model = Model(tuple(vocab), first, (None,) * shards, (None,) * shards, sum(r.total for r in words), first[-1],
+    names, starts, none = arrays.Listing.write(folder, vocab), arrays.Listing.write(folder, first), arrays.Listing.empty(shards)
+    model = Model(names, starts, none, none, sum(r.total for r in words), first[-1],
                   0, empty, empty, (0, 0, 0))
     if not words:
         return model
@@ -285,7 +286,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 23
     for r in stats:
         by_word[r.shard] = r.path
         m += r.n
-    return Model(tuple(vocab), first, tuple(by_word), tuple(pairs), model.n_tokens, model.n_words, types,
+    return Model(names, starts, arrays.Listing.write(folder, by_word), arrays.Listing.write(folder, pairs), model.n_tokens, model.n_words, types,
                  Discounts.of(list(n)), Discounts.of(list(m[:4])), (int(m[0]), int(m[1]), int(m[4])))
 
 
@@ -294,7 +295,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_bytes: int = 1 << 23
 def _gather(model: Model, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """(count, total, n1, n2, n3, before) of word numbers; zeros for -1."""
     out = [np.zeros(len(ids), np.float64) for _ in range(6)]
-    sid = np.clip(np.searchsorted(model.first, ids, side="right") - 1, 0, len(model.vocab) - 1)
+    sid = np.clip(np.searchsorted(model.first.array(), ids, side="right") - 1, 0, len(model.vocab) - 1)
     sid[ids < 0] = -1
     for s in np.unique(sid[sid >= 0]):
         rows = np.flatnonzero(sid == s)

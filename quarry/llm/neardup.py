@@ -119,7 +119,7 @@ def _merge_values(folder: str):
     return run
 
 
-def _frequency(paths: list, v: np.ndarray) -> np.ndarray:
+def _frequency(paths: arrays.Listing, v: np.ndarray) -> np.ndarray:
     """Number of classes that retain each value; 1 for values of one class."""
     out = np.ones(len(v), np.int64)
     sid = _value_shard(v, len(paths))
@@ -140,7 +140,7 @@ def _frequency(paths: list, v: np.ndarray) -> np.ndarray:
 _LISTS = "whole boolean, value long, rep long, n long, most long, pos int, own int, before array<long>"
 
 
-def _list_rows(paths: list):
+def _list_rows(paths: arrays.Listing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for r in (arrays.to_shards(reps.select("kept").mapInArrow(_count_values(shards), arrays.BLOCK_DDL), shards)
               .mapInArrow(_merge_values(folder), "shard int, path string").collect()):  # one row per shard
         paths[r.shard] = r.path
-    lists = staged(reps.select("rep", "n", "kept").mapInArrow(_list_rows(paths), _LISTS), "lists")
+    lists = staged(reps.select("rep", "n", "kept").mapInArrow(_list_rows(arrays.Listing.write(folder, paths)), _LISTS), "lists")
 
     first = pivot_pairs(lists)
     links = verified(first, reps, src)

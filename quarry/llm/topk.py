@@ -6,11 +6,14 @@ d(q, x) >= max over pivots of |d(q, p) - d(x, p)|, so with the norms
 
     q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2
 
-has an upper bound that needs no product.  Each task reads its part of the
-table in batches and evaluates, for every query, candidates in falling order
-of that bound until the bound is below the k-th score found so far.  Queries
-are a stated set; they travel in blocks of ``block`` rows, and every block
-meets every row of the table.
+has an upper bound that needs no product; |q| |x| is another.  Distances are
+widened by more than they can be off by rounding (``_off``), so no bound is too
+low.  Each task reads its part of the table in batches and evaluates, for every
+query, candidates in falling order of their bound until it is below the k-th
+score found so far; the search starts from the k-th score among the rows that
+pivots are chosen from.  Queries are a stated set; they travel in blocks of
+``block`` rows, every block meets every row of the table, and its results are
+written before the next block is sent.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part; vectors of another length than the query's are not candidates;
@@ -59,6 +62,13 @@ def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0))
 
 
+def _off(norms: np.ndarray, pivot_norm: float, dim: int) -> np.ndarray:
+    """More than a computed distance to a pivot can differ from the true one:
+    its square is off by at most (2 dim + 16) eps (|x| + |p|)^2, and the root of
+    a number that is off by e by at most the root of e."""
+    return np.sqrt((2 * dim + 16) * np.finfo(np.float64).eps) * (norms + pivot_norm)
+
+
 def _prepare(scale: int, pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,12 +102,15 @@ def choose_pivots(sample: np.ndarray, n_pivots: int) -> np.ndarray:
 class _Best:
     """The k best (score, id) per query, best first, ties to the smaller id."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floors: np.ndarray | None = None):
         self.k, self.rows = k, [(np.empty(0, object), np.empty(0, np.int64))] * n
+        self.floors = np.full(n, -np.inf) if floors is None else floors
+        self.evaluated = 0
 
     def kth(self, q: int) -> float:
+        """A score below this is not among the k best."""
         s = self.rows[q][0]
-        return float(s[-1]) if len(s) == self.k else -np.inf
+        return max(self.floors[q], float(s[-1]) if len(s) == self.k else -np.inf)
 
     def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s0, i0 = self.rows[q]
@@ -119,10 +132,11 @@ def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _search(queries, k: int, step: int = 256):
-    """``queries``: a broadcast of {dim: (ids, integer matrix, pivot distances or None)}."""
+    """``queries``: a broadcast of {dim: (ids, integer matrix, pivot distances
+    or None, largest norm of a pivot, scores to start from)}."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = queries.value
-        best = {d: _Best(len(x[0]), k) for d, x in blocks.items()}
+        best = {d: _Best(len(x[0]), k, x[4]) for d, x in blocks.items()}
         for b in batches:
             ids_all = b.column(0).to_numpy()
             dims = b.column(1).to_numpy()
@@ -143,9 +157,10 @@ def _search(queries, k: int, step: int = 256):
 
 
 def _batch(block, best: _Best, ids, v, pd, step: int) -> None:
-    qids, qv, qd = block
+    qids, qv, qd, pivot_norm, _ = block
     norms = (v.astype(np.float64) ** 2).sum(1)
     qnorms = (qv.astype(np.float64) ** 2).sum(1)
+    off, qoff = (_off(np.sqrt(n), pivot_norm, v.shape[1]) for n in (norms, qnorms))
     table = np.frombuffer(b"".join(pd), np.float64).reshape(len(ids), -1) if qd is not None and all(pd) else None
     for lo in range(0, len(qids), step):
         hi = min(lo + step, len(qids))
@@ -155,9 +170,11 @@ def _batch(block, best: _Best, ids, v, pd, step: int) -> None:
             low = np.abs(qd[lo:hi, :1] - table[None, :, 0])
             for p in range(1, table.shape[1]):
                 np.maximum(low, np.abs(qd[lo:hi, p:p + 1] - table[None, :, p]), out=low)
-        # rounding of distances and squares stays far below this slack
+        low = np.maximum(low - off[None, :] - qoff[lo:hi, None], 0)
+        # the squares' own rounding stays below this slack
         slack = 1.0 + 1e-9 * (qnorms[lo:hi, None] + norms[None, :])
-        upper = (qnorms[lo:hi, None] + norms[None, :] - low * low) / 2 + slack
+        upper = (qnorms[lo:hi, None] + norms[None, :] - low * low) / 2
+        upper = np.minimum(upper, np.sqrt(qnorms[lo:hi, None] * norms[None, :])) + slack
         for q in range(lo, hi):
             up = upper[q - lo]
             cand = np.flatnonzero((up >= best.kth(q)) & (ids != qids[q]))
@@ -166,9 +183,21 @@ def _batch(block, best: _Best, ids, v, pd, step: int) -> None:
                 part = cand[at:at + step]
                 if up[part[0]] < best.kth(q):
                     break
+                best.evaluated += len(part)
                 best.offer(q, _scores(v[part], qv[q]), ids[part])
 
 
+def starting_scores(qids, qv, ids, v, k: int) -> np.ndarray:
+    """Per query the k-th best score among some rows of the table: what is
+    below is not among the k best of all."""
+    out = np.full(len(qids), -np.inf)
+    for q in range(len(qids)):
+        s = _scores(v[ids != qids[q]], qv[q])
+        if len(s) >= k:
+            out[q] = float(np.partition(s, len(s) - k)[len(s) - k])
+    return out
+
+
 def topk_search(items: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vec_col: str = "embedding", *,
                 k: int = 10, scale: int = 1024, n_pivots: int = 32, pivot_sample: int = 1024,
                 block: int = 4096) -> DataFrame:
@@ -180,10 +209,12 @@ def topk_search(items: DataFrame, is_query: Callable[[Column], Column], id_col:
     empty = np.zeros((0, 0))
     sample = (src.filter(F.col("_v").isNotNull())
               .orderBy(F.xxhash64(id_col), F.col(id_col), F.hash("_v")).limit(pivot_sample)
-              .mapInArrow(_prepare(scale, empty), _TABLE).select("dim", "v").collect())
+              .mapInArrow(_prepare(scale, empty), _TABLE).select("id", "dim", "v").collect())
     common = max((r.dim for r in sample), key=[r.dim for r in sample].count, default=0)
-    pivots = choose_pivots(np.asarray([np.frombuffer(r.v, np.int64) for r in sample if r.dim == common]), n_pivots) \
-        if sample else empty
+    drawn = {d: (np.asarray([r.id for r in sample if r.dim == d], np.int64),
+                 np.asarray([np.frombuffer(r.v, np.int64) for r in sample if r.dim == d])) for d in {r.dim for r in sample}}
+    pivots = choose_pivots(drawn[common][1], n_pivots) if sample else empty
+    pivot_norm = float(np.sqrt((pivots * pivots).sum(1)).max(initial=0)) if pivots.ndim == 2 else 0.0
     tab = staged(src.mapInArrow(_prepare(scale, pivots), _TABLE), "pivot-table")
     qs = tab.filter(F.coalesce(is_query(F.col("id")), F.lit(False)))
     n = qs.count()
@@ -197,12 +228,14 @@ def topk_search(items: DataFrame, is_query: Callable[[Column], Column], id_col:
         dims: dict = {}
         for r in firsts.values():
             dims.setdefault(r.dim, []).append(r)
-        packed = {d: (np.asarray([r.id for r in rs], np.int64),
-                      np.asarray([np.frombuffer(r.v, np.int64) for r in rs]).reshape(len(rs), d),
-                      np.asarray([np.frombuffer(r.pd, np.float64) for r in rs]) if d == common and rs[0].pd else None)
-                  for d, rs in dims.items()}
-        part = tab.mapInArrow(_search(spark.sparkContext.broadcast(packed), k),
-                              "query_id long, vec_id long, score long")
+        packed = {}
+        for d, rs in dims.items():
+            ids, v = np.asarray([r.id for r in rs], np.int64), np.asarray([np.frombuffer(r.v, np.int64) for r in rs]).reshape(len(rs), d)
+            packed[d] = (ids, v, np.asarray([np.frombuffer(r.pd, np.float64) for r in rs]) if d == common and rs[0].pd else None,
+                         pivot_norm, starting_scores(ids, v, *drawn[d], k) if d in drawn else np.full(len(ids), -np.inf))
+        sent = spark.sparkContext.broadcast(packed)
+        part = staged(tab.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long"), "block-best")
+        sent.destroy()
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -65,7 +65,25 @@ def test_pivots_leave_candidates_out(monkeypatch):
     real = topk._scores
     monkeypatch.setattr(topk, "_scores", lambda x, q: seen.append(len(x)) or real(x, q))
     best = topk._Best(1, 10)
-    topk._batch((np.asarray([-1]), v[:1], pd[:1]), best, np.arange(2000), v, [p.tobytes() for p in pd], 64)
+    norm = float(np.sqrt((pivots * pivots).sum(1)).max())
+    topk._batch((np.asarray([-1]), v[:1], pd[:1], norm, None), best, np.arange(2000), v, [p.tobytes() for p in pd], 64)
     want = sorted((-int(s), i) for i, s in enumerate(v @ v[0]))[:10]
     assert list(zip(best.rows[0][0], best.rows[0][1])) == [(-s, i) for s, i in want]
     assert sum(seen) < 1000
+
+
+def test_bounds_hold_where_distances_cancel(spark):
+    """Long vectors a short distance apart: the computed distance may be 0."""
+    rng = random.Random(2)
+    base = [rng.gauss(0, 1) * 2.0 ** 16 for _ in range(6)]
+    rows = [(i, [float(np.float32(c + rng.randrange(-3, 4) * 2.0 ** -3)) for c in base]) for i in range(200)]
+    assert run(spark, rows, n_pivots=40, k=3) == brute(rows, 3, 10)
+
+
+def test_search_starts_from_the_sample():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-50, 50, (300, 5))
+    got = topk.starting_scores(np.asarray([7, 1000]), v[[7, 8]], np.arange(300), v, 4)
+    want = sorted(int(v[i] @ v[7]) for i in range(300) if i != 7)[-4]
+    assert got[0] == want and got[1] == sorted(int(x @ v[8]) for x in v)[-4]
+    assert topk.starting_scores(np.asarray([1]), v[:1], np.arange(3), v[:3], 4)[0] == -np.inf
