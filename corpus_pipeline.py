@@ -19,24 +19,27 @@ from quarry.llm.common import staged, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects.  It learns from
-    all labels of the documents at hand."""
-    model = quality.train(quality.measured(docs), table(spark, sf_dir, "labels"))
-    return quality.keep(docs, model)
+    all labels of the documents at hand.  Null and empty texts are scored as
+    texts without statistics; repeated rows are kept or dropped alike."""
+    return quality.keep(docs, quality.train_on(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
+    """Keep one document of each group of near duplicates.  Null, empty and
+    blank texts are in no group; rows that share an id are one document and stay
+    or go together."""
     return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
+    """Drop the documents that hold a benchmark item.  Null and empty texts hold
+    none; an empty benchmark drops nothing; rows that share an id go together."""
     return decontam.clean(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), every_item=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask the secrets; every document stays, and ``n_chars`` of a changed
-    text is its new length."""
+    text is its new length.  Null and empty texts stay as they are."""
     masked = secrets.redact(docs.withColumn("_before", F.length("text")))
     changed = F.length("text") != F.col("_before")
     if "n_chars" in docs.columns:
@@ -46,7 +49,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of at most 2048 ids."""
+    """Pack what is left into sequences of at most 2048 ids.  A null or empty
+    text is its end id alone; long texts are cut; repeated rows are packed each."""
     import public_tokenizers as pt
     return packing.pack(docs, tokenizer=str(pt.path("byte_bpe_50k.json")),
                         ranks=str(pt.path("byte_bpe_50k.tiktoken")), pattern=pt.PATTERN)
