@@ -99,3 +99,71 @@ def test_redaction_masks_and_keeps_the_rest(spark):
     out = secrets.redact(df)
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a [assign] b", 2: None, 3: "clean", 4: ""}
+
+
+TOKEN_CHARS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+HEX_CHARS = set("0123456789abcdefABCDEF")
+
+
+def kind_of(s):
+    if not any(c.isdigit() for c in s):
+        return None
+    if set(s) <= HEX_CHARS:
+        return "hex"
+    return "base64" if any(c.islower() for c in s) and any(c.isupper() for c in s) else "alnum"
+
+
+def explained(s):
+    return any(re.fullmatch(p, s) for p in secrets.ALLOW)
+
+
+def plain_entropy_spans(text, width=20):
+    """The rule by its words: every window counted afresh and judged alone."""
+    limits = {"hex": 3.0, "alnum": 3.5, "base64": 3.7}
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in TOKEN_CHARS:
+            end += 1
+        run = text[at:end]
+        kind = kind_of(run)
+        if len(run) >= width and kind:
+            parts, p = [], 0
+            for piece in re.split("([=/])", run):
+                if piece not in ("", "=", "/") and not explained(piece):
+                    parts.append((p, p + len(piece)))
+                p += len(piece)
+            open_ = parts if explained(run) else [(0, len(run))]
+            spans = []
+            for i in range(len(run) - width + 1):
+                w = run[i:i + width]
+                h = -sum(c / width * math.log2(c / width) for c in Counter(w).values())
+                if h >= limits[kind_of(w) or kind] - 1e-9:
+                    if spans and i <= spans[-1][1]:
+                        spans[-1][1] = i + width
+                    else:
+                        spans.append([i, i + width])
+            for s, e in spans:
+                inside = any(b <= at + s and at + e <= f for _, b, f in base(text))
+                if any(s < f and b < e for b, f in open_) and not inside:
+                    out.append(("entropy", at + s, at + e))
+        at = end + 1
+    return out
+
+
+def test_entropy_spans_equal_the_rule():
+    rng = random.Random(21)
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    every = "".join(sorted(TOKEN_CHARS))
+    found = 0
+    for _ in range(400):
+        pieces = [rng.choice([
+            key("0123456789abcdef", rng.randrange(15, 60)), key("0123456789ABCDEF", rng.randrange(15, 60)),
+            key(every, rng.randrange(15, 70)), key("ABCDEFGHIJK0123456789", rng.randrange(15, 50)), "release-notes-for-version-12",
+            "/usr/sample/" + key(every, 25), "sig=" + key("0123456789ABCDEF", 32), "token: " + key(every, 24), "aaaaaaaaaaaaaaaaaaaaaaaaa1",
+            "123e4567-e89b-12d3-a456-426614174000", key("ab1", 40), "2024-01-02-2024-01-03-2024", "é漢"]) for _ in range(rng.randrange(1, 5))]
+        text = rng.choice([" ", "\n", ", ", "é"]).join(pieces)
+        got = spans_of(text)
+        assert got == plain_entropy_spans(text), text
+        found += len(got)
+    assert found > 200

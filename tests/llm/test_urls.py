@@ -95,3 +95,61 @@ def test_empty_and_one_label(spark):
 @pytest.mark.parametrize("s,h", [("", 0.0), ("aaaa", 0.0), ("abab", 1.0), ("abcd", 2.0)])
 def test_entropy(s, h):
     assert urls.entropy(s) == pytest.approx(h)
+
+
+def plain_features(u, host, path):
+    """The lexical features, each written out anew."""
+    import math
+    from collections import Counter
+    u = u or ""
+
+    def bits(s):
+        raw = s.encode()
+        return -sum(c / len(raw) * math.log2(c / len(raw)) for c in Counter(raw).values()) if raw else 0.0
+
+    rest = u.split("://", 1)[1] if "://" in u else ""
+    before, _, after = rest.partition("?")
+    query = "" if "#" in before else after.split("#", 1)[0]
+    labels = host.split(".") if host else []
+    return [len(u), len(host), len(path), len(labels), len([p for p in path.split("/") if p]),
+            len([c for c in u if c.isdigit()]) / max(1, len(u)), len([c for c in host if c.isdigit()]) / max(1, len(host)),
+            bits(u), bits(host), len([p for p in query.split("&") if p]), len(query), u.count("-"),
+            max([0, *map(len, labels)]), 1.0 if "#" in u else 0.0, 1.0 if u.startswith("https:") else 0.0]
+
+
+def test_features_and_tree_votes_recomputed(spark):
+    """Every feature from its definition, and every score from the votes of the
+    single trees."""
+    import math
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import functions as F
+    rows = make(300)
+    df = frame(spark, rows)
+    parsed = urls.parsed(df, URL_RULES)
+    label = F.when(F.col("rule_verdict").isNotNull(), (F.col("rule_verdict") == "block").cast("double"))
+    labelled = parsed.withColumn("label", label)
+    model, stats, _ = urls.train(labelled)
+    by = {r.page_id: r for r in labelled.collect()}
+    seen = {}
+    for r in by.values():
+        if r.label is not None:
+            n, b = seen.get(r.suffix, (0, 0))
+            seen[r.suffix] = (n + 1, b + r.label)
+    score = {r.page_id: r for r in urls.judge(df, URL_RULES).collect()}
+    full = {r.page_id: r.features for r in urls.with_features(labelled, stats).collect()}
+    tested = 0
+    for i, u in rows:
+        host, path = split(u)
+        want = plain_features(u, host, path)
+        assert by[i].lexical == pytest.approx(want) and by[i].suffix == ".".join(host.split(".")[-2:])
+        n, b = seen.get(by[i].suffix, (0, 0))
+        own = by[i].label
+        share = (b - (own or 0) + 5) / (n - (own is not None) + 10)
+        assert list(full[i]) == pytest.approx([*want, share])
+        if own is None and tested < 40:
+            x = Vectors.dense([*want, share])
+            margin = sum(w * t.predict(x) for w, t in zip(model.treeWeights, model.trees))
+            p = 1 / (1 + math.exp(-2 * margin))
+            assert score[i].score == pytest.approx(p) and score[i].verdict == ("block" if p >= 0.5 else "allow")
+            tested += 1
+    assert tested == 40 and model.getNumTrees == 20
