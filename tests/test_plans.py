@@ -20,7 +20,7 @@ def test_no_cartesian_or_nested_loop(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("name", ["p1_sparse_search", "j10_knn_join_sparse", "w1_rank_results"])
+@pytest.mark.parametrize("name", ["v10_score_fields_weighted", "j10_knn_join_sparse", "w1_rank_results"])
 def test_topk_uses_group_limit(spark, name):
     assert "WindowGroupLimit" in plan(QUERIES[name](spark, SF_SMALL))
 
