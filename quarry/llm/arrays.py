@@ -108,10 +108,14 @@ def _map(path: str) -> mmap.mmap:
 
 
 def shard(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a shard, mapped; the last few hundred stay open."""
+    """The arrays of a shard, mapped.  Shards of one folder, that is of one
+    model, stay open; those of the folder before are let go, so that a worker
+    that lives through many jobs does not hold on to old models."""
     if path in _OPEN:
         _OPEN.move_to_end(path)
         return _OPEN[path]
+    if _OPEN and next(reversed(_OPEN)).rsplit("/", 1)[0] != path.rsplit("/", 1)[0]:
+        _OPEN.clear()
     m = _map(path)
     n = int.from_bytes(m[:8], "little")
     at, out = 8 + n, {}
@@ -237,7 +241,7 @@ class Tally:
         return merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of at most ``most`` bytes of text, or one row."""
     col = batch.column(text).cast(pa.large_string())
     if len(col) == 0:
