@@ -20,7 +20,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, StringIndexer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,24 +214,32 @@ def character_grams(word: Column, sizes: tuple[int, ...] = SUBWORD_SIZES) -> Col
     return F.array_distinct(F.flatten(F.filter(F.array(*[of_size(k) for k in sizes]), lambda a: a.isNotNull())))
 
 
+def vector_size(vectors: DataFrame) -> int:
+    """The numbers that the longest vector of a table has."""
+    return vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+
+
 def subword_table(vectors: DataFrame, buckets: int = 2_000_000, sizes: tuple[int, ...] = SUBWORD_SIZES) -> DataFrame:
     """Q17: (bucket, vector): per hashed character n-gram the mean of the unit
     vectors of the words that hold it."""
-    from .dense import unit_normalize
-    grams = vectors.select(F.explode(character_grams(F.col("token"), sizes)).alias("g"),
-                           array_to_vector(unit_normalize("vector")).alias("v"))
-    t = grams.select(F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"), "v")
-    return t.groupBy("bucket").agg(Summarizer.mean(F.col("v")).alias("_m")).select("bucket", vector_to_array("_m").alias("vector"))
+    from .dense import unit_normalize, vector_means
+    vectors = materialize(vectors.select("token", unit_normalize("vector").alias("vector")))
+    grams = vectors.select(F.explode(character_grams(F.col("token"), sizes)).alias("g"), "vector")
+    return vector_means(grams.select(F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"), "vector"), ["bucket"], vector_size(vectors))
 
 
 def unseen_word_vectors(words: DataFrame, table: DataFrame, word_col: str = "token", buckets: int = 2_000_000,
                         sizes: tuple[int, ...] = SUBWORD_SIZES) -> DataFrame:
     """Q17: (word, vector) of words without a vector of their own: the mean of
-    their n-grams' vectors.  A word of which no n-gram is known has no row."""
+    their n-grams' vectors.  A word of which no n-gram is known has no row.
+
+    The n-grams are many times the words, by whose size Spark would judge them
+    small and broadcast them: both sides of the join are shuffled instead."""
+    from .dense import vector_means
+    table = materialize(table)
     grams = words.select(word_col).distinct().select(word_col, F.explode(character_grams(F.col(word_col), sizes)).alias("g"))
-    met = grams.select(word_col, F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket")).join(table, "bucket")
-    return met.groupBy(word_col).agg(Summarizer.mean(array_to_vector("vector")).alias("_m")) \
-        .select(word_col, vector_to_array("_m").alias("vector"))
+    met = grams.select(word_col, F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket")).join(table.hint("merge"), "bucket")
+    return vector_means(met, [word_col], vector_size(table))
 
 
 def word_vector_table(model) -> DataFrame:

@@ -149,3 +149,21 @@ def test_cooccurrence_counts_each_pair_once(spark):
     x = MD.cooccurrence_counts(df, "tokens", 3)
     assert {(r.a, r.b): round(r.x, 9) for r in x.collect()} == {k: round(v, 9) for k, v in want.items()}
     assert "Union" not in plan(x)
+
+
+def test_ngrams_of_unseen_words_are_not_broadcast(spark):
+    """The n-grams of a few words are many rows: judged by the size of the words,
+    they would be broadcast from the driver."""
+    import numpy as np
+    from quarry.operators import models as MD
+    words = ["collection", "collector", "iterator"]
+    vec = {w: np.eye(3)[i] for i, w in enumerate(words)}
+    table = MD.subword_table(spark.createDataFrame([(w, vec[w].tolist()) for w in words], "token string, vector array<double>"))
+    bad = MD.materialize(spark.createDataFrame([("colection",), ("colection",), (None,)], "token string"))
+    out = MD.unseen_word_vectors(bad, table)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    grams = lambda w: {f"<{w}>"[i:i + n] for n in (3, 4, 5, 6) for i in range(len(w) + 3 - n)}
+    mean = {g: np.mean([vec[w] for w in words if g in grams(w)], axis=0) for w in words for g in grams(w)}
+    rows = out.collect()
+    assert [r.token for r in rows] == ["colection"]
+    assert np.allclose(rows[0].vector, np.mean([mean[g] for g in grams("colection") if g in mean], axis=0))
