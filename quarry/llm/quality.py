@@ -41,7 +41,12 @@ for _bytes, _k in _CLASSES:
     _CLASS[list(_bytes)] = _k
 
 
-def _counts(data: np.ndarray, off: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+# Bytes of text whose statistics a task computes at a time: its arrays are some
+# twelve times as large.
+SLICE_BYTES = 1 << 20
+
+
+def _counts(data: np.ndarray, off: np.ndarray, step: int = 1 << 19) -> np.ndarray:
     """Bytes of each class per text, over bounded pieces of the buffer."""
     n = len(off) - 1
     out = np.zeros((n, 10))
@@ -92,7 +97,7 @@ def statistics(texts) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in arrays.slices(whole, 1):
+        for b in arrays.slices(whole, 1, SLICE_BYTES):
             x = statistics(b.column(1))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["doc_id", "x"])
@@ -213,7 +218,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in arrays.slices(whole, at):
+            for b in arrays.slices(whole, at, SLICE_BYTES):
                 s = model.score(statistics(b.column(at)))
                 yield b.filter(pa.array(s >= threshold))
 

@@ -85,3 +85,28 @@ def test_keep_leaves_rows_alone(spark):
     good = {i for i, _ in rows if i % 4}
     assert len({r.doc_id for r in kept.collect()} & good) > 0.9 * len(good)
     assert kept.exceptAll(docs).count() == 0
+
+
+def test_memory_of_a_batch_and_kept_rows(spark):
+    """Statistics need little memory beside their batch, and a batch of several
+    slices keeps the rows that reach the threshold, unchanged."""
+    import tracemalloc
+    rng = random.Random(5)
+    text = prose(rng, 400)
+    n = 8_000_000 // len(text)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([text] * n)], names=["doc_id", "text"])
+    tracemalloc.start()
+    got = sum(b.num_rows for b in quality._measure(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == n and peak < 40 << 20
+
+    rows, labels = labelled(spark)
+    docs = frame(spark, rows + [(9001, None), (9002, ""), (5, rows[5][1]), (9003, prose(rng, 300_000)), (9004, junk(rng, 300_000))])
+    model = quality.train_on(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = quality.keep(docs, model)
+    assert kept.schema == docs.schema
+    score = lambda t: model.score(quality.statistics(pa.array([t], pa.string())))[0]
+    want = [tuple(r) for r in docs.collect() if score(r.text) >= 0.3]
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted((tuple(r) for r in kept.collect()), key=key) == sorted(want, key=key) and 0 < len(want) < docs.count()
