@@ -151,3 +151,63 @@ def test_search_with_tags_equals_filter_of_full_ranking(spark, model):
     assert got_set == want_set
     assert not [r for r in got.collect() if r["query_id"] % 7 == 0]
     assert top.count() > 0
+
+
+def test_term_neighbours_equal_all_pairs(spark):
+    """The k best posts of every source and field set, sparse and hybrid, over
+    many blocks, equal those of all pairs; no pair is shuffled."""
+    from quarry.plans import evaluate as EV
+    rng = np.random.default_rng(3)
+    sets = [["title"], ["body"], ["title", "body"]]
+    rows, vecs = {}, {}
+    for i in range(60):
+        if i != 7:  # a post without a vector
+            vecs[i] = rng.standard_normal(6)
+        for f in ("title", "body"):
+            same = i - i % 3 if i >= 45 else i   # groups of equal posts
+            g = np.random.default_rng(same * 2 + (f == "body"))
+            terms = [] if i == 9 and f == "title" else sorted(set(g.integers(0, 40, 5).tolist()))
+            w = g.random(len(terms)) + 0.1
+            for t, x in zip(terms, w / np.linalg.norm(w) if len(w) else []):
+                rows[i, f, f"t{t}"] = float(x)
+    postings = spark.createDataFrame([(i, f, t, w) for (i, f, t), w in rows.items()] + [(None, "title", "t1", 1.0)],
+                                     "post_id long, field string, term string, weight double")
+    asked = [*range(0, 60, 2), 7, 9, 1000]
+    sources = spark.createDataFrame([(i,) for i in asked], "source_id long")
+    tables = [spark.createDataFrame([(i, (v * (n + 1)).tolist()) for i, v in vecs.items()], "pid long, vec array<double>") for n in range(3)]
+    fields = ["body", "title"]
+    found = EV.term_neighbours(EV.post_rows(postings, sources, fields), sources, fields, sets, 4, tables, block_bytes=4_000)
+    best = {}
+    for r in found.collect():
+        best.setdefault((r.hybrid, r.no, r.query_id), []).append((-round(r.sim, 6), r.post_id))
+    want = {}
+    for no, own in enumerate(sets):
+        for q in asked:
+            for p in range(60):
+                s = sum(w * rows.get((p, f, t), 0.0) for (i, f, t), w in rows.items() if i == q and f in own)
+                if s > 0 and p != q:
+                    d = float(vecs[q] @ vecs[p]) * (no + 1) ** 2 if q in vecs and p in vecs else 0.0
+                    want.setdefault((False, no, q), []).append((-round(s, 6), p))
+                    want.setdefault((True, no, q), []).append((-round(s + d, 6), p))
+    cut = lambda d: {key: [p for _, p in sorted(v)[:4]] for key, v in d.items()}
+    assert cut(best) == cut(want) and len(want) > 150
+    # a few rows per source and block leave the tasks, not a row per pair
+    blocks = EV.block_count(60, 4_000 // (16 * 9 + 8 * 18))
+    assert max(len(v) for v in best.values()) <= 4 * blocks
+
+
+def test_dots_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from quarry.plans import evaluate as EV
+    monkeypatch.setattr(EV, "MATCHES", 7)
+    rng = np.random.default_rng(4)
+    # terms 0 to 11 of two fields: the remainder is the field
+    q, p = (np.where(rng.random((n, 12)) < 0.5, rng.random((n, 12)), 0.0) for n in (5, 9))
+    q[2] = 0
+    entries = lambda m: pd.DataFrame({"terms": [np.flatnonzero(r) for r in m], "weights": [r[r > 0] for r in m]})
+    who, t = np.nonzero(p)
+    order = np.argsort(t, kind="stable")
+    got = EV._dots(entries(q), slice(1, 4), (t[order], p[who, t][order], who[order]), 9, 2)
+    want = np.stack([q[1:4, f::2] @ p[:, f::2].T for f in (0, 1)])
+    assert np.abs(got - want).max() < 1e-12
