@@ -9,11 +9,12 @@ copy it once per worker into an unlinked local file and map that.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import mmap
 import tempfile
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,25 @@ _MOST_OPEN = 16_384   # mapped files of a worker; a map holds no memory of its o
 _LISTS: OrderedDict = OrderedDict()
 
 
+def give_back() -> None:
+    """Hand the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over a task's batches, with the freed memory given back at its
+    end: workers outlive their tasks, and several wait beside those that work."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or plain path."""
     if path.startswith("file:"):

@@ -307,15 +307,15 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     both = (pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("kept").alias("ka")), "a")
             .join(side.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("kept").alias("kb")), "b")
             .select("a", "b", "na", "nb", "ka", "kb"))
-    judged = staged(both.mapInArrow(_estimate, "a long, b long, state int"), "estimated")
+    judged = staged(both.mapInArrow(arrays.lean(_estimate), "a long, b long, state int"), "estimated")
     sure = judged.filter("state = 2").select("a", "b")
     open_ = judged.filter("state = 1").select("a", "b")
     ids = staged(open_.select(F.col("a").alias("rep")).unionByName(open_.select(F.col("b").alias("rep"))).distinct(), "open-ids")
     sets = staged(docs.join(bounded(ids), docs["doc_id"] == ids["rep"], "left_semi")
-                  .mapInArrow(_whole_sets, "rep long, s binary"), "whole-sets")
+                  .mapInArrow(arrays.lean(_whole_sets), "rep long, s binary"), "whole-sets")
     full = (open_.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    return staged(full.mapInArrow(_verify, "a long, b long").unionByName(sure).distinct(), "links")
+    return staged(full.mapInArrow(arrays.lean(_verify), "a long, b long").unionByName(sure).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = staged(src.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, words long, n long, kept binary"), "sketches")
+    rows = staged(src.mapInArrow(arrays.lean(_sketch), "doc_id long, k1 long, k2 long, words long, n long, kept binary"), "sketches")
     named = rows.filter("doc_id is not null and words > 0")
     classes = staged(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "equal-texts")
     # one sketch per class of equal texts, combined before the shuffle
@@ -337,10 +337,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, -(-total // shard_values))
     folder = scratch_path(spark, "llm-frequency")
     paths: list = [None] * shards
-    for r in (arrays.to_shards(reps.select("kept").mapInArrow(_count_values(shards), arrays.BLOCK_DDL), shards)
-              .mapInArrow(_merge_values(folder), "shard int, path string").collect()):  # one row per shard
+    for r in (arrays.to_shards(reps.select("kept").mapInArrow(arrays.lean(_count_values(shards)), arrays.BLOCK_DDL), shards)
+              .mapInArrow(arrays.lean(_merge_values(folder)), "shard int, path string").collect()):  # one row per shard
         paths[r.shard] = r.path
-    lists = staged(reps.select("rep", "n", "kept").mapInArrow(_list_rows(arrays.Listing.write(folder, paths)), _LISTS), "lists")
+    lists = staged(reps.select("rep", "n", "kept").mapInArrow(arrays.lean(_list_rows(arrays.Listing.write(folder, paths))), _LISTS), "lists")
 
     first = pivot_pairs(lists)
     links = verified(first, reps, src)

@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import lean
 from .common import staged
 
 END_ID = 1
 # Up to here the two byte-level BPE libraries classify every character alike
 # (tests/llm checks all of them); any other text goes to ``tokenizers`` itself.
 _BEYOND = re.compile("[^\x00-ɏ]")
-_ENCODERS: dict = {}
 
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -65,13 +65,6 @@ class Encoder:
         return self._exact.encode(text, add_special_tokens=False).ids
 
 
-def encoder(*key) -> Encoder:
-    """One encoder per Python worker."""
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -133,7 +126,7 @@ class _Windows:
 
 def _pack_partition(window: int, most: int, key: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(*key)
+        enc = Encoder(*key)  # of this task: waiting workers do not hold its tables
         packer = _Windows(window, most, TaskContext.get().partitionId())
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -201,7 +194,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.col(text_col).cast("string").alias("text"))
     key = (tokenizer, ranks, pattern)
-    pieces = staged(src.mapInArrow(_pack_partition(window, open_windows, key), _DDL), "pieces")
+    pieces = staged(src.mapInArrow(lean(_pack_partition(window, open_windows, key)), _DDL), "pieces")
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     done = pieces.filter("ids is null").select(out)
     left = pieces.filter("ids is not null")
@@ -211,7 +204,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     total = sizes.agg(F.sum("n")).first()[0] or 0
     merged = (left.join(base, "part")
               .select("doc_id", "start", "doc_tokens", (F.col("base") + F.col("at")).alias("pos"), "ids")
-              .mapInArrow(_merge(total, window, 1 << 62),
+              .mapInArrow(lean(_merge(total, window, 1 << 62)),
                           "doc_id long, start long, length long, ids_crc32 long, "
                           "doc_tokens long, sequence_id long, offset long"))
     return done.unionByName(merged)

@@ -106,7 +106,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the transformed statistics of every row."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_measure, "doc_id long, x array<double>")
+    return src.mapInArrow(arrays.lean(_measure), "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,7 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", learn:
     if learn is not None:
         rows = rows.filter(learn)
     got = (rows.join(lab, "doc_id").select("y", "x")
-           .mapInArrow(_moments, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect())
+           .mapInArrow(arrays.lean(_moments), "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect())
     d = len(STATISTICS)
     sums = np.zeros((2, 1 + d + d * d))
     for r in got:  # 2 * (1 + d + d^2) numbers
@@ -208,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
     The texts are read once: training and scoring share their statistics."""
     rows = staged(measured(docs, id_col, text_col), "quality-statistics")
     model = train(rows, labels, label_col, learn, **options)
-    return (rows.mapInArrow(_apply(model), "doc_id long, score double")
+    return (rows.mapInArrow(arrays.lean(_apply(model)), "doc_id long, score double")
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
@@ -222,4 +222,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
                 s = model.score(statistics(b.column(at)))
                 yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(arrays.lean(run), docs.schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import lean
+
 # Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -181,7 +183,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256
     (of the joined base spans) and spans (all spans, ``kind:start:end``)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_scan(rule), "doc_id long, n_assign long, n_access long, n_hex long, "
+    return src.mapInArrow(lean(_scan(rule)), "doc_id long, n_assign long, n_access long, n_hex long, "
                                        "base_sha256 string, spans string")
 
 
@@ -211,4 +213,4 @@ def redact(docs: DataFrame, text_col: str = "text", rule: EntropyRule = EntropyR
             texts = [None if (v := t.as_py()) is None else redacted(v, rule, allow) for t in b.column(at)]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -91,3 +91,35 @@ def test_best_fit_and_bound_on_open_windows():
 def test_cut_points():
     assert packing.cut_points(2048 + 1300, 2048) == [2048, 3072, 3328, 3344]
     assert packing.cut_points(4096, 2048) == []
+
+
+def _held(batches):
+    """The encoders that a worker holds before the task makes any."""
+    import gc
+    import pyarrow as pa
+    from quarry.llm.packing import Encoder
+    n = sum(isinstance(x, Encoder) for x in gc.get_objects())
+    for _ in batches:
+        pass
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
+def test_waiting_workers_hold_no_encoder(spark):
+    """Workers outlive their tasks and wait beside those of later stages."""
+    packing.pack(frame(spark, [(1, "a few words"), (2, "and a few more")]), **ARGS).collect()
+    held = spark.range(0, 16, 1, 16).mapInArrow(_held, "n long").collect()
+    assert [r.n for r in held] == [0] * 16
+
+
+def test_memory_is_given_back_when_a_task_ends(monkeypatch):
+    from quarry.llm import arrays
+    ended = []
+    monkeypatch.setattr(arrays, "give_back", lambda: ended.append(1))
+    task = arrays.lean(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and len(ended) == 1
+    part = task(iter([1, 2]))
+    next(part)
+    part.close()  # a reader that stops early
+    assert len(ended) == 2
+    monkeypatch.undo()
+    arrays.give_back()
