@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,43 @@ def test_frequent_terms_are_left_out_of_the_lists(spark):
         SP.threshold_join_sparse(postings, 0.0)
 
 
+@pytest.mark.parametrize("block_posts", [16, 40])
+def test_sparse_threshold_join_in_many_blocks(spark, block_posts, monkeypatch):
+    """Pairs within a block and across blocks, each once per direction; also of
+    terms that are added up one by one, a few matches at a time."""
+    docs = unit_postings(11)
+    want = {k for k, s in dots(docs, ["title", "body"], 0.5).items() if s > 0.3 + 1e-6}
+    got = [(r.query_id, r.post_id) for r in SP.threshold_join_sparse(frame(spark, docs), 0.3, block_posts=block_posts).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+
+
+def test_sparse_threshold_join_shuffles_no_pairs(spark):
+    """No table is joined with itself: pairs that share a term exist in numpy only."""
+    plan = SP.threshold_join_sparse(frame(spark, unit_postings(12)), 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("share,matches", [(0.0, 1 << 20), (2.0, 1 << 20), (0.05, 7)])
+def test_block_scores_are_dot_products(monkeypatch, share, matches):
+    """By matrices, by entries and by both, with an entry that stands twice."""
+    monkeypatch.setattr(SP, "DENSE_SHARE", share)
+    monkeypatch.setattr(SP, "MATCHES", matches)
+    monkeypatch.setattr(SP, "COLUMNS", 3)
+    rng = np.random.default_rng(5)
+
+    def block(n):
+        terms = [np.sort((40 * rng.random(rng.integers(0, 12)) ** 2).astype(np.int64)) for _ in range(n)]
+        terms[0] = np.array([1, 1, 3])
+        posts = pd.DataFrame({"terms": terms, "weights": [rng.random(len(t)) for t in terms]})
+        full = np.zeros((n, 40))
+        for i, (t, w) in enumerate(zip(posts["terms"], posts["weights"])):
+            np.add.at(full[i], t, w)
+        return SP._entries(posts, slice(None)), full
+
+    (a, x), (b, y) = block(30), block(21)
+    assert np.allclose(SP.block_scores(a, 30, b, 21), x @ y.T)
+
+
 def vectors(seed, n, dim=12, clusters=20):
     rng = np.random.default_rng(seed)
     centre = rng.standard_normal((clusters, dim))
