@@ -195,13 +195,13 @@ def merge_phrases(docs: DataFrame, id_col: str, tokens_col: str = "tokens", min_
                   threshold: float = 10.0, connectors: tuple[str, ...] = (), passes: int = 2) -> DataFrame:
     """V21 in full: pairs are merged, then counted and merged again over the
     merged sequences, so that phrases of three and four content words form.
-    The sequences are materialised between the passes."""
-    out = docs.select(id_col, tokens_col)
+    The sequences are materialised before and between the passes."""
+    out = materialize(docs.select(id_col, tokens_col), "zstd")
     for i in range(passes):
         counts = phrase_counts(out, tokens_col, min_count, tuple(connectors))
         out = apply_phrases(out, counts, id_col, tokens_col, threshold, connectors=tuple(connectors))
         if i + 1 < passes:
-            out = materialize(out)
+            out = materialize(out, "zstd")
     return out
 
 
