@@ -53,3 +53,17 @@ def test_phrases_are_merged_in_their_task(spark, ids):
     if len(set(ids)) == len(ids):
         assert not _exchanges(got)
 
+
+@pytest.mark.parametrize("ids", [list(range(50)), [*range(30), 3, 3, 5, None, None, 40, 40]])
+def test_tokens_are_thinned_out_in_their_task(spark, ids):
+    docs, _ = _docs(spark, ids)
+    docs = MD.materialize(docs)
+    n = docs.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    total = n.agg(F.sum("count")).first()[0]
+    chance = MD.keep_probability(F.col("count") / F.lit(float(total)), 0.02)
+    got = MD.subsample(docs, "id", threshold=0.02, salt="s")
+    want = MD._subsample_by_shuffle(docs, n.select("token", chance.alias("_p")), "id", "tokens", "s")
+    as_rows = lambda df: Counter((r.id, tuple(r.tokens)) for r in df.collect())
+    assert as_rows(got) == as_rows(want) and sum(len(r.tokens) for r in got.collect()) < total
+    if len(set(ids)) == len(ids):
+        assert not _exchanges(got)
