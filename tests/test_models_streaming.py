@@ -160,3 +160,22 @@ def test_write_table_hash_buckets(spark):
     assert back.count() == 200
     chk = back.withColumn("b", F.pmod(F.xxhash64("term"), F.lit(4)).cast("int"))
     assert chk.filter(F.col("b") != F.col("_bucket")).count() == 0
+
+
+def test_training_words_are_those_of_a_count_vectorizer(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+    from quarry.operators import models as MD
+    rows = [(i, float(i % 2), f"w{i % 3} w{i % 3} w{i % 5} " + " ".join(f"v{j}" for j in range(i % 7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label double, text string")
+    data = MD.materialize(MD.stratified_folds(MD.with_tokens(df), 3))
+    got = MD.training_words(data, 3, 100)
+    for fold in range(3):
+        rest = data.filter(F.col("fold") != fold)
+        assert set(got[fold]) == set(CountVectorizer(inputCol="tokens", outputCol="f", minDF=1.0).fit(rest).vocabulary)
+        n = {r.t: r["count"] for r in rest.select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}
+        assert got[fold] == sorted(n, key=lambda w: (-n[w], w))
+    assert MD.training_words(data, 3, 2) == [w[:2] for w in got]
+    # no model counts the words again
+    monkeypatch.setattr(CountVectorizer, "fit", None)
+    pred = MD.out_of_fold(df, MD.grid(reg=[0.01], vocab_size=[5, 50], max_iter=[3]), 3)
+    assert sorted((r.setting, r.id) for r in pred.collect()) == [(s, i) for s in range(2) for i in range(60)]
